@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillframe.llm.bpe import digests, encode_and_decode
+from quillframe.llm.hostrules import verdicts_of
 from quillframe.llm.minhash import near_duplicates
+from quillframe.llm.unigram import token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -23,3 +26,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose shingle sets have a similarity of 0.85 or more."""
     return near_duplicates(_documents(spark, sf_dir))
+
+
+@register
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's byte-level BPE ids, and of what they decode to."""
+    return digests(encode_and_decode(_documents(spark, sf_dir)))
+
+
+@register
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of the quality rules for every document."""
+    found = verdicts_of(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register
+def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of words and unigram tokens of every document."""
+    return token_counts(_documents(spark, sf_dir))
