@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillframe.llm.bpe import digests, encode_and_decode
 from quillframe.llm.hostrules import verdicts_of
 from quillframe.llm.minhash import near_duplicates
+from quillframe.llm.spotsigs import fingerprints
 from quillframe.llm.unigram import token_counts
 
 QUERIES = {}
@@ -45,3 +46,9 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of words and unigram tokens of every document."""
     return token_counts(_documents(spark, sf_dir))
+
+
+@register
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    return fingerprints(_documents(spark, sf_dir))
