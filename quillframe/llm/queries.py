@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quillframe.llm.bpe import digests, encode_and_decode
 from quillframe.llm.hostrules import verdicts_of
 from quillframe.llm.minhash import near_duplicates
+from quillframe.llm.repeats import digests as repeat_digests
 from quillframe.llm.spotsigs import fingerprints
 from quillframe.llm.unigram import token_counts
+from quillframe.llm.warc import round_trip
 
 QUERIES = {}
 ORACLES = {}
@@ -29,6 +31,27 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+@register
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written, normalised to one member per record, and read back."""
+    found = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 @register
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's byte-level BPE ids, and of what they decode to."""
@@ -52,3 +75,9 @@ def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses."""
     return fingerprints(_documents(spark, sf_dir))
+
+
+@register
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every text without its passages of 200 bytes or more that occur elsewhere."""
+    return repeat_digests(_documents(spark, sf_dir))
