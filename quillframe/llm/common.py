@@ -61,7 +61,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """From batches sorted by ``keys``: tables that hold whole groups, with the groups' boundaries.
+    """From batches sorted by ``keys``: tables that hold whole groups, with the groups' boundaries (0 and the number of rows among them).
 
     Only the last group of a batch waits for the next batch, so memory is one batch and one group.
     """

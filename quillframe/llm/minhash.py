@@ -101,7 +101,7 @@ def _colliding(coordinates: int, needed: int):
             i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
             sigs = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
             out = []
-            for a, z in zip(cuts, [*cuts[1:], table.num_rows], strict=True):
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 if z - a > 1:
                     out += [(cids[a + x], cids[a + y]) for x, y in forest(z - a, rows_of(sigs[a:z], own[a:z], i[a] != j[a]))]
             pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
@@ -143,7 +143,7 @@ def _confirmed(percent: int):
             cids, own = table.column("cid").to_numpy(), table.column("own").to_numpy()
             i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
             column, out = table.column("shingles"), []
-            for a, z in zip(cuts, [*cuts[1:], table.num_rows], strict=True):
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 if z - a > 1:
                     sets = [np.frombuffer(x, np.uint64) for x in column.slice(a, z - a).to_pylist()]
                     out += [(cids[a + x], cids[a + y]) for x, y in forest(z - a, linked_rows(sets, own[a:z], i[a] != j[a], percent))]

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quillframe.llm.bpe import digests, encode_and_decode
 from quillframe.llm.hostrules import verdicts_of
 from quillframe.llm.minhash import near_duplicates
+from quillframe.llm.packing import digests as piece_digests
+from quillframe.llm.packing import packed
 from quillframe.llm.repeats import digests as repeat_digests
 from quillframe.llm.spotsigs import fingerprints
 from quillframe.llm.unigram import token_counts
@@ -65,6 +67,12 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@register
+def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as tokens, packed with their lexical neighbours into windows of 2048."""
+    return piece_digests(packed(_documents(spark, sf_dir)))
+
+
 @register
 def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of words and unigram tokens of every document."""
