@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.llm.bpe import digests, encode_and_decode
 from quillframe.llm.hostrules import verdicts_of
+from quillframe.llm.langid import Columns, from_pages, identified
 from quillframe.llm.minhash import near_duplicates
 from quillframe.llm.packing import digests as piece_digests
 from quillframe.llm.packing import packed
@@ -89,3 +90,16 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every text without its passages of 200 bytes or more that occur elsewhere."""
     return repeat_digests(_documents(spark, sf_dir))
+
+
+@register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, from its text, its declared language and its host."""
+    return identified(_documents(spark, sf_dir))
+
+
+@register
+def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every web page, from its text, its markup's language, its host and its address suffix."""
+    pages = from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return identified(pages, Columns(id="page_id", url="url"))
