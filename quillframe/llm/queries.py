@@ -10,6 +10,7 @@ from quillframe.llm.langid import Columns, from_pages, identified
 from quillframe.llm.minhash import near_duplicates
 from quillframe.llm.packing import digests as piece_digests
 from quillframe.llm.packing import packed
+from quillframe.llm.quality import scored
 from quillframe.llm.repeats import digests as repeat_digests
 from quillframe.llm.spotsigs import fingerprints
 from quillframe.llm.unigram import token_counts
@@ -61,6 +62,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_and_decode(_documents(spark, sf_dir)))
 
 
+@register
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a network over pooled word vectors."""
+    return scored(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @register
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of the quality rules for every document."""
