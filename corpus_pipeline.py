@@ -1,12 +1,58 @@
-"""The corpus pipeline; filled in below by quillframe.llm."""
+"""The corpus pipeline: rules, language, near-duplicates, repeated passages, packing."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.llm.common import cut
+from quillframe.llm.hostrules import keep_good
+from quillframe.llm.langid import keep_identified
+from quillframe.llm.minhash import keep_one
+from quillframe.llm.packing import packed
+from quillframe.llm.repeats import without_repeats
+
+#: Packing cuts and mixes texts as no SQL does; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    """Applies the stages to documents."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that fail the rules, or the strict ones if their host is not trusted."""
+    return keep_good(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose language can't be told."""
+    return keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates with a similarity of 0.8 or more."""
+    return keep_one(docs, percent=80)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out passages of 200 bytes or more that occur elsewhere, and counts characters anew."""
+    return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 2048 ids."""
+    return packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each stage starts from the files that the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -202,3 +202,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     target = cut(target.where("n > 1 or component <> cid").select("fp", "component"))
     out = made.select("doc_id", "n_shingles", "fp").join(small(target), "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 85, width: int = 5, coordinates: int = COORDINATES) -> DataFrame:
+    """The rows of ``docs`` without the near-duplicates of another one: of each group the least ``doc_id`` stays.
+
+    Of rows that share a ``doc_id`` one stays.  Rows with a null ``doc_id``, and texts without words, stay.
+    """
+    found = cut(near_duplicates(docs, percent, width, coordinates).select("doc_id", "kept"))
+    gone = small(cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()))
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    shared = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if shared.isEmpty():
+        return rows
+    return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
