@@ -1,26 +1,8 @@
-"""The registry of queries: name -> callable, and name -> oracle SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillframe.plans import series, signals, tables, texts  # noqa: F401
+from quillframe.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "reconcile_flagship"
-
-
-def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its oracle if SQL can express it."""
-
-    def register(fn: Query) -> Query:
-        key = name or fn.__name__
-        QUERIES[key] = fn
-        if oracle is not None:
-            ORACLES[key] = oracle
-        return fn
-
-    return register
