@@ -23,12 +23,12 @@ def segment_facts(segments: DataFrame, item: str, ordinal: str, valid: str, name
 
     Repeats, the first ordinal and the number count every file with an ordinal; gaps only well named ones.
     """
-    each = segments.groupBy(item, ordinal).agg(F.count("*").alias("n"), F.bool_or(valid).alias("good"), F.count_if(~F.col(valid)).alias("bad"), *([F.array_sort(F.collect_list(F.when(~F.col(valid), F.col(name)))).alias("bad_names")] if name else []))
+    each = segments.groupBy(item, ordinal).agg(F.count("*").alias("_times"), F.bool_or(valid).alias("good"), F.count_if(~F.col(valid)).alias("bad"), *([F.array_sort(F.collect_list(F.when(~F.col(valid), F.col(name)))).alias("bad_names")] if name else []))
     facts = each.groupBy(item).agg(
-        F.array_sort(F.collect_list(F.when((F.col("n") > 1) & F.col(ordinal).isNotNull(), F.col(ordinal)))).alias("repeated"),
+        F.array_sort(F.collect_list(F.when((F.col("_times") > 1) & F.col(ordinal).isNotNull(), F.col(ordinal)))).alias("repeated"),
         F.sum("bad").alias("bad_files"),
         F.min(ordinal).alias("first"),
-        F.sum(F.when(F.col(ordinal).isNotNull(), F.col("n")).otherwise(0)).alias("segments"),
+        F.sum(F.when(F.col(ordinal).isNotNull(), F.col("_times")).otherwise(0)).alias("segments"),
         F.array_sort(F.collect_list(F.when(F.col("good"), F.col(ordinal)))).alias("ordinals"),
         *([F.slice(F.array_sort(F.flatten(F.collect_list("bad_names"))), 1, 3).alias("bad_names")] if name else []),
     )

@@ -21,13 +21,13 @@ def ordinal_summary(df: DataFrame, group: str, ordinal: str) -> DataFrame:
 
     Ordinals are counted per value first, so a group's array holds each ordinal once.
     """
-    each = df.where(F.col(ordinal).isNotNull()).groupBy(group, ordinal).agg(F.count("*").alias("n"))
+    each = df.where(F.col(ordinal).isNotNull()).groupBy(group, ordinal).agg(F.count("*").alias("_times"))
     per = each.groupBy(group).agg(
         F.min(ordinal).alias("first"),
         F.max(ordinal).alias("last"),
-        F.sum("n").alias("segments"),
+        F.sum("_times").alias("segments"),
         F.count("*").alias("distinct_ordinals"),
-        F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col(ordinal)))).alias("repeated"),
+        F.array_sort(F.collect_list(F.when(F.col("_times") > 1, F.col(ordinal)))).alias("repeated"),
         F.collect_list(ordinal).alias("present"),
     )
     return per.withColumn("missing", F.array_except(F.sequence("first", "last"), "present")).drop("present")

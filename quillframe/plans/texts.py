@@ -159,7 +159,7 @@ def segment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "n", names.segment_ordinal("name").alias("ordinal"), names.is_segment_name("name").alias("valid"), names.segment_title("name").alias("title"))
 
 
-@query("SELECT p_partkey, CAST(p_partkey * 100 AS BIGINT) AS reads FROM part")
+@query("SELECT p_partkey, CAST(floor(CAST(CAST(p_partkey / 10.0 AS DECIMAL(18, 1)) AS DOUBLE) * 1000) AS BIGINT) AS reads FROM part")
 def compact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts read back from their compact form."""
     shown = F.concat((F.col("p_partkey") / 10).cast("decimal(18,1)").cast("string"), F.lit("K"))
