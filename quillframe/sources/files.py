@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import clean_line
+from quillframe.functions.text import clean_line, strip
 from quillframe.functions.values import first_filled
 from quillframe.operators.compare import absent
 from quillframe.operators.dedup import last_wins
@@ -38,7 +38,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     number = F.coalesce(F.regexp_extract("text", f"(?i){head}", 1).try_cast("int"), name)
     has = F.rlike("text", F.lit(f"(?i){head}"))
     body = F.when(has, F.regexp_replace("text", f"(?is){head}\\n?", "")).otherwise(F.col("text"))
-    return files.select("path", number.alias("number"), F.when(has, F.trim(F.regexp_extract("text", f"(?i){head}", 2))).otherwise("").alias("title"), F.trim(body).alias("content"))
+    return files.select("path", number.alias("number"), F.when(has, F.trim(F.regexp_extract("text", f"(?i){head}", 2))).otherwise("").alias("title"), strip(body).alias("content"))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
