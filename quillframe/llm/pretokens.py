@@ -10,22 +10,22 @@ where the classes change.  The rules are those of two public tokenizer patterns:
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import numpy as np
+import regex
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = 0, 1, 2, 3, 4
 
-#: The code points with the Unicode property White_Space.
-WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
 
 @functools.cache
 def class_table() -> np.ndarray:
     """The class of every code point."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[WHITE_SPACE] = SPACE
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = "".join(map(chr, points))
+    table = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for run in regex.finditer(pattern, every):
+            table[points[run.start() : run.end()]] = kind
     return table
 
 
