@@ -22,6 +22,8 @@ CHAIN = 3
 DIGITS = 8
 SPARE = 8
 SHORT = 40
+#: Buckets of ids whose order one window finds.
+RUN = 4096
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -79,10 +81,14 @@ def with_next(docs: DataFrame, span: int = 512) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce(F.floor(F.col("doc_id") / span), F.lit(-(1 << 62)))
     tops = cut(docs.groupBy(key.alias("bucket")).agg(F.max("doc_id").alias("top"), F.count("*").alias("n")))
-    # One row per bucket: span ids make one row, so this order is over a small table.
-    below = F.lead("bucket").over(W.orderBy(F.desc("bucket")))
-    first = F.max("bucket").over(W.partitionBy())
-    chain = cut(tops.select(F.col("bucket").alias("above"), F.coalesce(below, first).alias("bucket")))
+    # The bucket below: within runs of RUN buckets by a window for each, across them by a table with one
+    # row per run, which is ``span * RUN`` ids; only that one is ordered as a whole.
+    run = F.floor(F.col("bucket") / RUN)
+    runs = tops.groupBy(run.alias("run")).agg(F.max("bucket").alias("highest"))
+    first = F.max("highest").over(W.partitionBy())
+    across = runs.select("run", F.coalesce(F.lead("highest").over(W.orderBy(F.desc("run"))), first).alias("across"))
+    inner = tops.select(F.col("bucket").alias("above"), run.alias("run"), F.lead("bucket").over(W.partitionBy(run).orderBy(F.desc("bucket"))).alias("inside"))
+    chain = cut(inner.join(across, "run").select("above", F.coalesce("inside", "across").alias("bucket")))
     tops = tops.join(chain, "bucket").select("bucket", "top", "above")
     keyed = docs.select(key.alias("bucket"), "doc_id", "text")
     heads = keyed.join(small(cut(tops)), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")))

@@ -292,3 +292,13 @@ def test_pages_as_evidence(spark):
     row = langid.from_pages(spark.createDataFrame([(1, "https://user@a.Example.de:8080/x", page), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()
     assert row[0]["lang"] == "de" and row[0]["source"] == "a.Example.de" and "var" not in row[0]["text"] and "Hof" in row[0]["text"]
     assert row[1]["lang"] == "" and row[1]["text"] == ""
+
+
+def test_next_documents_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RUN", 2)
+    ids = [-70, -3, 0, 1, 2, 5, 9, 31, 32, 33, 200, 1000, 1001]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(df, span=4).collect()}
+    assert got == {i: f"t{ids[k - 1]}" for k, i in enumerate(ids)}
+    one = spark.createDataFrame([(7, "only")], "doc_id long, text string")
+    assert spotsigs.with_next(one).first()["next_text"] == "only"
