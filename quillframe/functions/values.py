@@ -279,3 +279,41 @@ def tail(items: Column, n: int | None) -> Column:
 def without_key(json: Column, key: str) -> Column:
     """A JSON object without one of its keys."""
     return F.to_json(F.map_filter(F.from_json(json, "map<string,string>"), lambda k, v: k != key))
+
+
+def is_live(expires: Column, now: Column) -> Column:
+    """Not expired; null never expires."""
+    return expires.isNull() | (expires > now)
+
+
+def is_valid_token(expires: Column, revoked: Column, now: Column) -> Column:
+    """Neither revoked nor expired; a token without an expiry is not valid."""
+    return revoked.isNull() & F.coalesce(expires > now, F.lit(False))
+
+
+def overlaid(raw: Column, typed: dict[str, Column]) -> Column:
+    """A map of raw values with typed ones put over it; unknown keys stay."""
+    kept = F.map_filter(raw, lambda k, v: ~k.isin(list(typed)))
+    pairs = [x for name, c in typed.items() for x in (F.lit(name), c.cast("string"))]
+    return F.map_concat(kept, F.create_map(*pairs))
+
+
+def settings(defaults: Column, owned: Column, worker: Column, names: list[str]) -> Column:
+    """Defaults, then the owned values of known names, then the worker's values; the later count."""
+    known = F.map_filter(owned, lambda k, v: k.isin(names))
+    later = F.map_concat(F.map_filter(known, lambda k, v: ~F.map_contains_key(worker, k)), worker)
+    return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+
+def page_of(ordinal: Column, total: Column, size: int, newest_first: bool = False) -> Column:
+    """The listing page (from 1) on which an ordinal stands."""
+    place = (total - ordinal + 1) if newest_first else ordinal
+    return (F.floor((place - 1) / size) + 1).cast("int")
+
+
+def weighted(parts: Column, weights: Column) -> Column:
+    """Progress of weighted parts (maps from name to share done, and to weight); 0 without weights."""
+    names = F.map_keys(weights)
+    total = F.aggregate(F.map_values(weights).cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    done = F.aggregate(names, F.lit(0.0), lambda a, n: a + F.element_at(weights, n).cast("double") * F.coalesce(F.try_element_at(parts, n).cast("double"), F.lit(0.0)))
+    return F.when(total > 0, done / total).otherwise(0.0)

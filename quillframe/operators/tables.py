@@ -115,3 +115,28 @@ def write_segments(df: DataFrame, path: str, form: str, group: str) -> None:
 def fresh_inserts(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of a batch whose keys are not there yet; a replay adds nothing."""
     return batch.join(base.select(*keys), keys, "left_anti")
+
+
+def import_if_empty(target: DataFrame, source: DataFrame) -> DataFrame:
+    """The source's rows if the target has none, else the target's."""
+    return source.select(*target.columns) if target.isEmpty() else target
+
+
+def probed(items: DataFrame, files: DataFrame, item: str, name: str, wanted: list[str]) -> DataFrame:
+    """``items`` with a flag ``has_<name>`` for each wanted file name, in any case."""
+    flags = files.groupBy(item).agg(*(F.bool_or(F.lower(name) == w.lower()).alias(f"has_{w}") for w in wanted))
+    return items.join(flags, item, "left").fillna(False, [f"has_{w}" for w in wanted])
+
+
+def retried(df: DataFrame, chosen: Column, priority: str, *order: Column) -> DataFrame:
+    """Chosen rows get retry priorities above all others, the first in order the lowest.
+
+    They are what a user has picked for a retry, so they are ordered as one list.
+    """
+    from pyspark.sql import Window as W
+
+    top = df.agg(F.coalesce(F.max(priority), F.lit(0)).alias("_top"))
+    place = F.row_number().over(W.orderBy(*order))
+    picked = df.where(chosen).withColumn("_n", place)
+    rest = df.where(~F.coalesce(chosen, F.lit(False)))
+    return rest.unionByName(picked.join(F.broadcast(top)).withColumn(priority, (F.col("_top") + F.col("_n")).cast(df.schema[priority].dataType)).drop("_n", "_top"))

@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "page int, id long, title string, category string, updated string"
 
@@ -42,6 +42,16 @@ class PagedReader(DataSourceReader):
         self.size, self.step = int(options.get("size", 100)), int(options.get("pagesPerPartition", 16))
         self.short, self.first = options.get("stop", "empty") == "short", int(options.get("startPage", 1))
 
+        self.equal: dict[str, object] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equality on a column is tested while reading; Spark tests the rest."""
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1:
+                self.equal[f.attribute[0]] = f.value
+            else:
+                yield f
+
     def partitions(self) -> list[InputPartition]:
         system, root = _file_system(self.path)
         pages = [int(f.base_name[5:-5]) for f in system.get_file_info(pafs.FileSelector(root)) if f.base_name.startswith("page-") and f.base_name.endswith(".json")]
@@ -53,7 +63,8 @@ class PagedReader(DataSourceReader):
             rows = load_page(self.path, page)
             if not rows:
                 return
-            yield from rows
+            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            yield from (r for r in rows if all(r[names.index(c)] == v for c, v in self.equal.items()))
             if self.short and len(rows) < self.size:
                 return
 
