@@ -2,7 +2,8 @@
 
 ``spark.read.format("paged").option("path", folder)`` reads ``<folder>/page-<n>.json``, n from 1, each a JSON list of
 ``{"id", "title", "category", "updated"}``.  One partition covers a range of pages, and reading ends at an empty page
-or, with ``stop=short``, at one with fewer records than ``size``.  The stream form takes one page per offset.
+or, with ``stop=short``, at one with fewer records than ``size``.  With ``pushdown=true`` equality filters are tested while reading.
+The stream form takes one page per offset.
 """
 
 from __future__ import annotations
@@ -44,14 +45,6 @@ class PagedReader(DataSourceReader):
 
         self.equal: dict[str, object] = {}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality on a column is tested while reading; Spark tests the rest."""
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1:
-                self.equal[f.attribute[0]] = f.value
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         system, root = _file_system(self.path)
         pages = [int(f.base_name[5:-5]) for f in system.get_file_info(pafs.FileSelector(root)) if f.base_name.startswith("page-") and f.base_name.endswith(".json")]
@@ -69,6 +62,18 @@ class PagedReader(DataSourceReader):
                 return
 
 
+class FilteringReader(PagedReader):
+    """Tests equality while reading; Spark allows this where ``spark.sql.python.filterPushdown.enabled`` is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equality on a column is tested while reading; Spark tests the rest."""
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1:
+                self.equal[f.attribute[0]] = f.value
+            else:
+                yield f
+
+
 class PagedStream(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.first = options["path"], int(options.get("startPage", 1))
@@ -96,7 +101,7 @@ class PagedSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return PagedReader(self.options)
+        return (FilteringReader if self.options.get("pushdown") == "true" else PagedReader)(self.options)
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return PagedStream(self.options)
