@@ -65,7 +65,7 @@ def test_paged_source(spark, tmp_path):
     assert read.option("pagesPerPartition", 1).option("startPage", 2).load().count() == 4
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     pushed = read.option("startPage", 1).option("pushdown", "true")
-    assert pushed.load().where("category = 'c' and id > 20").count() == 4
+    assert pushed.load().where("category = 'c' and id > 20").count() == 3
     assert pushed.load().where("category = 'z'").count() == 0
     stream = spark.readStream.format("paged").option("path", str(tmp_path)).load()
     query = stream.writeStream.format("memory").queryName("pages_seen").option("checkpointLocation", str(tmp_path / "check")).start()
