@@ -36,14 +36,18 @@ def text(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+#: The same characters as a string.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip_of(c: Column, chars: str) -> Column:
-    """Without the given characters (a regex class) at either end."""
-    return F.regexp_replace(c, rf"^[{chars}]+|[{chars}]+$", "")
+    """Without the given characters at either end."""
+    return F.btrim(c, F.lit(chars))
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return strip_of(c, BLANK)
+    return strip_of(c, BLANKS)
 
 
 def collapse(c: Column) -> Column:
@@ -66,7 +70,7 @@ def lines(c: Column) -> Column:
 def sanitize_filename(c: Column | str) -> Column:
     """A name that every file system takes; 'untitled' where nothing is left."""
     s = F.regexp_replace(text(c), _INVALID, "")
-    s = strip_of(F.regexp_replace(s, _SYMBOLS, "_"), BLANK + ".")
+    s = strip_of(F.regexp_replace(s, _SYMBOLS, "_"), BLANKS + ".")
     s = strip_of(F.regexp_replace(F.regexp_replace(s, f"[{BLANK}]+", "_"), "_+", "_"), "_")
     s = F.when(F.upper(s).isin(_RESERVED), F.concat(F.lit("_"), s)).otherwise(s)
     return F.when(s == "", "untitled").otherwise(s)

@@ -87,7 +87,7 @@ def title_list(c: Column | str, delimiter: str = ";") -> Column:
     """Titles between delimiters ('newline' for lines), without quotes around them."""
     pattern = r"\r\n|\r|\n" if delimiter == "newline" else "\\Q" + (delimiter or ";") + "\\E"
     parts = F.split(F.translate(text(c), "\ufeff", " "), pattern)
-    return F.filter(F.transform(parts, lambda t: strip_of(collapse(t), "\\s\"'")), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: strip_of(collapse(t), " \t\r\n\"'")), lambda t: t != "")
 
 
 def story_urls(c: Column | str, host: str = "jobnib.com") -> Column:
