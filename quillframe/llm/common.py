@@ -28,14 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/quillframe"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Writes a DataFrame as a table in the shared folder and reads it back.
 
     Later jobs start from the files, so a lost executor costs only the tasks that it was running.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

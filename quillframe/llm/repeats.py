@@ -10,8 +10,11 @@
    bytes counted from the anchor, with the core as one symbol, and sorted by ``lyndon``.
    Neighbours in suffix order with long common prefixes are strings that repeat; the ends of a
    repeat within a block are compared byte by byte.
-4. A hash with very many contexts is split into parts, each with its own suffix array.  A
-   part hands on one row per string, and equal strings of several parts meet in a grouped count.
+4. A hash with very many contexts is divided by content: each context stands under several longer
+   cores, and is compared only with those that share one of these whole.  Their contexts are
+   mostly equal by now.  If a longer core still has very many, they are dealt to parts, each with
+   its own suffix array; a part hands on one row per string, and equal strings of several parts
+   meet in a grouped count.
 5. The repeats of each document are joined back to it and cut out.
 """
 
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.llm.common import cut, runs, small, text_pieces, texts
+from quillframe.llm.common import cut, runs, text_pieces, texts
 from quillframe.llm.lyndon import suffix_arrays
 from quillframe.llm.wordhash import _BASE, _INVERSE, _VALUE, _power, mix
 
@@ -55,6 +58,11 @@ class Shape:
     def side(self) -> int:
         return self.length - self.core
 
+    @property
+    def inner(self) -> Shape:
+        """The shape with longer cores, byte by byte beside them."""
+        return Shape(self.length, self.length - min(self.block + 2, self.side), 1)
+
 
 def _slide(values: np.ndarray, width: int, least) -> np.ndarray:
     """The least (or greatest) of each ``width`` neighbours."""
@@ -141,20 +149,64 @@ def _placed(shape: Shape):
     return run
 
 
-def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts that are wanted from each text."""
-    for batch in (p for b in batches for p in text_pieces(b)):
-        rows, wanted = texts(batch), batch.column("wanted")
-        per_row = np.diff(wanted.offsets.to_numpy())
-        row = np.repeat(np.arange(len(rows)), per_row)
-        fields = {f.name: wanted.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in wanted.type.value_type}
-        place, before, after = fields["place"], fields["before"], fields["after"]
-        blobs = [rows[r][p - b : p + a] for r, p, b, a in zip(row, place, before, after, strict=True)]
-        ids, fps = batch.column("id").to_numpy()[row], batch.column("fp").to_numpy()[row]
-        for a in range(0, len(blobs), 10_000):
-            part = slice(a, a + 10_000)
-            columns = [pa.array(x[part]) for x in (fields["hash"], fields["parts"], fields["single"], ids, fps, place, before)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs[part], pa.binary())], ["hash", "parts", "single", "id", "fp", "place", "before", "bytes"])
+_CONTEXT = "level int, hash long, context long, single boolean, id long, fp long, place long, before int, after int, bytes binary"
+_CONTEXT_NAMES = [x.split()[0] for x in _CONTEXT.split(", ")]
+
+
+def _fetched(shape: Shape):
+    """The contexts that are wanted from each text: with their bytes, or under longer cores if their hash is divided."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in text_pieces(b)):
+            rows, wanted = texts(batch), batch.column("wanted")
+            per_row = np.diff(wanted.offsets.to_numpy())
+            row = np.repeat(np.arange(len(rows)), per_row)
+            fields = {f.name: wanted.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in wanted.type.value_type}
+            ids, fps = batch.column("id").to_numpy()[row], batch.column("fp").to_numpy()[row]
+            order = np.argsort(fields["divided"], kind="stable")
+            for a in range(0, len(row), 5_000):
+                at = order[a : a + 5_000]
+                place, before, after = (fields[c][at] for c in ("place", "before", "after"))
+                blobs = [rows[r][p - b : p + e] for r, p, b, e in zip(row[at], place, before, after, strict=True)]
+                columns = (fields["hash"][at], fields["single"][at], ids[at], fps[at], place, before, after)
+                divided = fields["divided"][at]
+                whole = np.flatnonzero(~divided)
+                if len(whole):
+                    yield _contexts(0, *(c[whole] for c in columns), np.zeros(len(whole), np.int64), [blobs[k] for k in whole])
+                if divided.any():
+                    many = np.flatnonzero(divided)
+                    yield _divided(*(c[many] for c in columns), [blobs[k] for k in many], shape)
+
+    return run
+
+
+def _contexts(level, hashes, single, ids, fps, place, before, after, context, blobs) -> pa.RecordBatch:
+    columns = [np.full(len(ids), level, np.int32), hashes, context, single, ids, fps, place, before.astype(np.int32), after.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(blobs, pa.binary())], _CONTEXT_NAMES)
+
+
+def _divided(hashes, single, ids, fps, place, before, after, blobs, shape: Shape) -> pa.RecordBatch:
+    """Each context under its longer cores; a row's bytes are those beside the core."""
+    inner = shape.inner
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    length = np.array([len(b) for b in blobs])
+    begin = np.cumsum(length) - length
+    sums, down = _sums(data), _power("down", _INVERSE, len(data) + 1)
+    raw = data.tobytes()
+    out = []
+    for k, first in enumerate(range(0, shape.side + 1, inner.side + 1)):
+        # Where the core starts in each context, and whether the context holds all of it.
+        start = first + inner.side - (shape.side - before)
+        inside = np.flatnonzero((start >= 0) & (start + inner.core <= length))
+        start = start[inside]
+        low, high = np.maximum(start - inner.side, 0), np.minimum(start + inner.length, length[inside])
+        at = begin[inside]
+        core = mix((sums[at + start + inner.core] - sums[at + start]) * down[at + start])
+        core = mix(core ^ mix(hashes[inside].view(_U) + _U(k)))
+        context = mix((sums[at + high] - sums[at + low]) * down[at + low]) ^ ((start - low).astype(_U) << _U(32))
+        ends = [raw[o + a : o + s] + raw[o + s + inner.core : o + z] for o, a, s, z in zip(at, low, start, high, strict=True)]
+        out.append(_contexts(1, core.view(np.int64), single[inside], ids[inside], fps[inside], place[inside] - before[inside] + start, start - low, high - start, context.view(np.int64), ends))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
 
 
 def _classes(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +281,12 @@ def repeated_offsets(padded: np.ndarray, valid: tuple[np.ndarray, np.ndarray], g
     return first, last
 
 
-def _padded(table: pa.Table, shape: Shape) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def _padded(table: pa.Table, shape: Shape, bare: bool) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Contexts as rows of numbers; ``bare`` ones come without their core, which is the same within a group."""
     blobs = table.column("bytes").to_pylist()
+    if bare:
+        core = bytes(shape.core)
+        blobs = [b[:k] + core + b[k:] for b, k in zip(blobs, table.column("before").to_pylist(), strict=True)]
     length = np.array([len(b) for b in blobs])
     lead = shape.side - table.column("before").to_numpy()
     out = np.zeros((len(blobs), shape.length + shape.side), np.uint16)
@@ -252,7 +308,7 @@ def _strings(padded: np.ndarray, valid: tuple[np.ndarray, np.ndarray], hashes: n
     return row, offset, value[row, offset]
 
 
-def _sorted_out(shape: Shape):
+def _sorted_out(shape: Shape, bare: bool):
     """Repeats within parts, as rows ``(id, fp, start, end)``; and for split hashes, one row with ``string`` for each."""
 
     def flush(tables: list[pa.Table]) -> pa.RecordBatch:
@@ -261,7 +317,7 @@ def _sorted_out(shape: Shape):
         new = np.ones(table.num_rows, bool)
         new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
         groups = np.append(np.flatnonzero(new), table.num_rows)
-        padded, valid = _padded(table, shape)
+        padded, valid = _padded(table, shape, bare)
         first, last = repeated_offsets(padded, valid, groups, shape)
         ids, fps, place = (table.column(c).to_numpy() for c in ("id", "fp", "place"))
         # A context that occurs again repeats as a whole anyway.
@@ -309,26 +365,38 @@ def repeats(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     counted = docs.select("text").mapInArrow(_counted(shape), "hash long, n long")
     again = cut(counted.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
     placed = docs.mapInArrow(_placed(shape), "id long, fp long, place long, before int, after int, hash long, context long")
-    hits = cut(placed.join(small(again), "hash"))
+    hits = cut(placed.join(again, "hash"))
     contexts = hits.groupBy("hash", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "place", "before", "after")).alias("at"))
     contexts = cut(contexts)
-    whole = contexts.where("n > 1").select("hash", "context")
-    spans = hits.join(small(whole), ["hash", "context"]).select("id", "fp", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"))
-    several = cut(contexts.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash", F.ceil(F.col("k") / PART).alias("parts")))
-    one = F.struct("hash", "parts", (F.col("n") == 1).alias("single"), "at.place", "at.before", "at.after")
-    wanted = contexts.join(small(several), "hash").select("at.id", "at.fp", one.alias("one")).groupBy("id", "fp").agg(F.collect_list("one").alias("wanted"))
-    fetched = docs.join(spread(cut(wanted), "wanted", 64), ["id", "fp"]).select("id", "fp", "text", "wanted")
-    fetched = fetched.mapInArrow(_fetched, "hash long, parts long, single boolean, id long, fp long, place long, before int, bytes binary")
-    fetched = fetched.withColumn("part", F.pmod(F.xxhash64("id", "fp", "place"), "parts"))
-    found = fetched.repartition("hash", "part").sortWithinPartitions("hash", "part").mapInArrow(_sorted_out(shape), "id long, fp long, start long, end long, string long")
-    found = cut(found)
-    strings = found.where("string <> 0")
-    met = cut(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"))
-    spans = spans.unionByName(found.where("string = 0").drop("string")).unionByName(strings.join(small(met), "string").drop("string"))
+    span = [F.col("id"), F.col("fp"), (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end")]
+    spans = hits.join(contexts.where("n > 1").select("hash", "context"), ["hash", "context"]).select(*span)
+    several = cut(contexts.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash", (F.col("k") > PART).alias("divided")))
+    one = F.struct("hash", "divided", (F.col("n") == 1).alias("single"), "at.place", "at.before", "at.after")
+    wanted = contexts.join(several, "hash").select("at.id", "at.fp", one.alias("one")).groupBy("id", "fp").agg(F.collect_list("one").alias("wanted"))
+    fetched = docs.join(wanted, ["id", "fp"]).select("id", "fp", "text", "wanted")
+    fetched = cut(fetched.mapInArrow(_fetched(shape), _CONTEXT), "zstd")
+    spans = spans.unionByName(_by_parts(fetched.where("level = 0").withColumn("part", F.lit(0)).withColumn("parts", F.lit(1)), shape, False))
+    # Under longer cores: contexts that occur again repeat as a whole, the others are sorted.
+    longer = fetched.where("level = 1").drop("level")
+    held = cut(longer.groupBy("hash", "context").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n"), F.min(F.struct("id", "fp", "place", "before", "after", "bytes")).alias("at")))
+    spans = spans.unionByName(longer.where("single").join(held.where("n > 1").select("hash", "context"), ["hash", "context"]).select(*span))
+    several = held.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash", F.ceil(F.col("k") / PART).alias("parts"))
+    apart = held.join(cut(several), "hash").select("hash", "parts", (F.col("n") == 1).alias("single"), "at.*")
+    spans = spans.unionByName(_by_parts(apart.withColumn("part", F.pmod(F.xxhash64("id", "fp", "place"), "parts")), shape.inner, True))
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("end"))
     return spans.groupBy("id", "fp").agg(F.array_sort(F.collect_set(packed)).alias("spans"))
 
 
+def _by_parts(contexts: DataFrame, shape: Shape, bare: bool) -> DataFrame:
+    """``(id, fp, start, end)`` of what repeats among the contexts of each hash."""
+    rows = contexts.select("hash", "part", "parts", "single", "id", "fp", "place", "before", "bytes")
+    found = rows.repartition("hash", "part").sortWithinPartitions("hash", "part").mapInArrow(_sorted_out(shape, bare), "id long, fp long, start long, end long, string long")
+    found = cut(found)
+    strings = found.where("string <> 0")
+    met = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    return found.where("string = 0").drop("string").unionByName(strings.join(met, "string").drop("string"))
+
+
 def spread(rows: DataFrame, column: str, item_bytes: int) -> DataFrame:
     """Marks a written table with one row per text for broadcast if its measured size allows that."""
     n, items = rows.agg(F.count("*"), F.sum(F.size(column))).first()
