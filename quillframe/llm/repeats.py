@@ -40,8 +40,6 @@ SLICE = 1 << 21
 PART = 512
 #: Contexts whose suffix arrays are built in step.
 STEP_CONTEXTS = 24_000
-#: Rows with arrays are joined by broadcast if they take so many bytes or less.
-BROADCAST_BYTES = 48 << 20
 
 _U = np.uint64
 
@@ -397,12 +395,6 @@ def _by_parts(contexts: DataFrame, shape: Shape, bare: bool) -> DataFrame:
     return found.where("string = 0").drop("string").unionByName(strings.join(met, "string").drop("string"))
 
 
-def spread(rows: DataFrame, column: str, item_bytes: int) -> DataFrame:
-    """Marks a written table with one row per text for broadcast if its measured size allows that."""
-    n, items = rows.agg(F.count("*"), F.sum(F.size(column))).first()
-    return F.broadcast(rows) if 64 * n + item_bytes * (items or 0) <= BROADCAST_BYTES else rows
-
-
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs that sorted, packed spans cover."""
     if len(spans) == 0:
@@ -413,7 +405,7 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_spans(docs: DataFrame, shape: Shape) -> DataFrame:
-    found = spread(cut(repeats(docs, shape)), "spans", 8).select(F.col("id").alias("_cut_id"), F.col("fp").alias("_cut_fp"), F.col("spans").alias("_cut_spans"))
+    found = cut(repeats(docs, shape)).select(F.col("id").alias("_cut_id"), F.col("fp").alias("_cut_fp"), F.col("spans").alias("_cut_spans"))
     return docs.withColumns(_keyed(docs, "_cut_")).join(found, ["_cut_id", "_cut_fp"], "left").drop("_cut_id", "_cut_fp")
 
 
