@@ -118,7 +118,7 @@ def components(edges: DataFrame) -> DataFrame:
 def forest(n: int, rows: Iterable[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     """Spanning edges among ``n`` items, given for some items the items that each is linked with.
 
-    ``rows`` is read lazily; the labels it may look at are those of ``Labels``.
+    ``rows`` is read lazily.  An item that hangs together with another one by then adds no second edge.
     """
     labels, out = np.arange(n), []
     for i, hits in rows:

@@ -101,8 +101,8 @@ class Model:
 def fitted(docs: DataFrame, columns: Columns) -> Model:
     """Counts the trigrams of all texts by declared language.
 
-    The languages are those that enough rows declare; where none is declared, all texts are one
-    language, named 'mul'.
+    The languages are those that enough rows declare; a rarer one is not told apart.  Where none is
+    declared, all texts are one language, named 'mul'.
     """
     rows = docs.select(tag(F.col(columns.declared)).alias("declared"), F.col(columns.text).cast("string").alias("text"))
     known = rows.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n"))
