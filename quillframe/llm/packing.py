@@ -2,10 +2,14 @@
 
 1. Every document is tokenised once, and its ids are written as 16-bit numbers.
 2. Whole windows of a long document stand alone; its rest goes to the pool.
-3. The pool is dealt to shards of about SHARD_TOKENS ids.  Each shard has an inverted index from token
-   ids to its documents with BM25 weights; document frequencies and the mean length are counted
-   over the whole pool beforehand (one row per token id of the vocabulary).
-4. A seed document opens a window.  Its unused neighbours, best score first, fill it; the last one is cut
+3. If the pool has more than SHARD_TOKENS ids, it is dealt to shards of about that size by content.  A
+   document is sent to the lists of its POSTED rarest terms; in each it meets the documents next to it in the
+   order of their rarest terms, and the mate with the greatest idf of shared terms over all lists is linked
+   with it.  What hangs together by links stays in one shard, beside what has the same rarest term.
+4. Each shard has an inverted index from token ids to its documents with BM25 weights; document
+   frequencies and the mean length are counted over the whole pool beforehand (one row per token
+   id of the vocabulary).
+5. A seed document opens a window.  Its unused neighbours, best score first, fill it; the last one is cut
    where the window ends, and what is left of it opens the next window.  So only the last window
    of a shard has padding.
 """
@@ -23,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.bpe import SpanEncoder, word_merges
-from quillframe.llm.common import cut, runs, text_pieces
+from quillframe.llm.common import components, cut, runs, small, text_pieces
 from quillframe.llm.pretokens import ragged, split_words
 
 WINDOW = 2048
 #: The id that ends every document.
 END = 1
 SHARD_TOKENS = 1_500_000
+#: Terms by which a document is compared, those under which it is listed, and documents of a list that meet.
+RARE, POSTED, LIST_BLOCK = 16, 8, 256
 K1, B = 1.2, 0.75
 _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
@@ -94,6 +100,85 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n[terms])], ["term", "n"])
 
 
+def _rarest(rank: np.ndarray):
+    """``(deal, size, terms)``: the RARE rarest terms of each row, rarest first, as 16-bit ranks that sort as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in text_pieces(b, column="ids")):
+            rows = _rows(batch)
+            size = np.array([len(x) for x in rows])
+            key = np.unique(np.repeat(np.arange(len(rows)), size) << 16 | rank[np.concatenate(rows)])
+            begin = np.searchsorted(key, np.arange(len(rows)) << 16)
+            ranks = (key & 0xFFFF).astype(">u2")
+            terms = [ranks[a:z][:RARE].tobytes() for a, z in zip(begin, [*begin[1:], len(key)], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("deal"), pa.array(size, pa.int64()), pa.array(terms, pa.binary())], ["deal", "size", "terms"])
+
+    return run
+
+
+def _mates(weight: np.ndarray):
+    """``(a, b, score)``: for each row of a list the one of its block with the greatest weight of shared terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in runs(batches, ["listed"]):
+            deal, terms, out = table.column("deal").to_numpy(), table.column("terms").to_pylist(), []
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                # Blocks of like size, so that none is a single row.
+                edges = np.linspace(begin, end, -(-(end - begin) // LIST_BLOCK) + 1).astype(int).tolist()
+                for a, z in zip(edges[:-1], edges[1:], strict=True):
+                    if z - a < 2:
+                        continue
+                    row = np.repeat(np.arange(z - a), [len(x) // 2 for x in terms[a:z]])
+                    held, at, times = np.unique(np.frombuffer(b"".join(terms[a:z]), ">u2"), return_inverse=True, return_counts=True)
+                    held, at, row = held[times > 1], (np.cumsum(times > 1) - 1)[at[times[at] > 1]], row[times[at] > 1]
+                    matrix = np.zeros((z - a, len(held)), np.float32)
+                    matrix[row, at] = np.sqrt(weight[held])[at]
+                    score = matrix @ matrix.T
+                    np.fill_diagonal(score, -1)
+                    best = score.argmax(axis=1)
+                    out.append((deal[a:z], deal[a:z][best], score[np.arange(z - a), best].astype(np.float64)))
+            columns = zip(*out, strict=True) if out else (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if out else c) for c in columns], ["a", "b", "score"])
+
+    return run
+
+
+def by_content(pool: DataFrame, idf: np.ndarray, shard_tokens: int) -> DataFrame:
+    """``deal, shard`` of every row of ``pool``: rows that are linked, and then those with like rarest terms, share a shard."""
+    order = np.argsort(-idf, kind="stable")
+    rank = np.empty(1 << 16, np.int64)
+    rank[order] = np.arange(1 << 16)
+    rare = cut(pool.select("deal", "ids").mapInArrow(_rarest(rank), "deal long, size long, terms binary"))
+    place = F.expr(f"explode(sequence(0, least({POSTED}, length(terms) div 2) - 1))").alias("place")
+    lists = rare.where(F.length("terms") > 0).select("deal", "terms", place)
+    lists = cut(lists.select(F.conv(F.hex(F.expr("substring(terms, cast(2 * place + 1 as int), 2)")), 16, 10).cast("long").alias("listed"), "terms", "deal"))
+    # By range, so that a list of any length is spread.
+    lists = lists.repartitionByRange("listed", "terms", "deal").sortWithinPartitions("listed", "terms", "deal")
+    mates = lists.mapInArrow(_mates(idf[order]), "a long, b long, score double")
+    best = mates.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
+    found = rare.join(components(best), F.col("deal") == F.col("node"), "left")
+    found = cut(found.select("deal", "size", F.coalesce("component", "deal").alias("component"), F.substring("terms", 1, 2).alias("first")))
+    sums = cut(found.groupBy("component").agg(F.sum("size").alias("tokens"), F.hex(F.min("first")).alias("first")))
+    large = F.col("tokens") > shard_tokens // 2
+    # Two rows per shard at most, and one per id of the vocabulary.
+    alone = sums.where(large).select("component", "tokens").collect()
+    groups = sums.where(~large).groupBy("first").agg(F.sum("tokens").alias("tokens")).orderBy("first").collect()
+    shard, filled, at, parts = 0, 0, {}, {}
+    for key, tokens in [*((r["component"], r["tokens"]) for r in alone), *((r["first"], r["tokens"]) for r in groups)]:
+        if filled and filled + tokens > shard_tokens:
+            shard, filled = shard + 1, 0
+        at[key], parts[key] = shard, max(1, round(tokens / shard_tokens))
+        shard, filled = (shard + parts[key], 0) if tokens > shard_tokens else (shard, filled + tokens)
+    spark = pool.sparkSession
+    table = lambda keys, name, kind: F.broadcast(spark.createDataFrame([(k, at[k], parts[k]) for k in keys], f"{name} {kind}, {name}_at long, {name}_parts long"))
+    placed = sums.select("component", "first").join(table([r["first"] for r in groups], "g", "string"), F.col("first") == F.col("g"), "left")
+    placed = placed.join(table([r["component"] for r in alone], "c", "long"), F.col("component") == F.col("c"), "left")
+    # A large component is split by rows, a common first term by components.
+    split = placed.select("component", "c_at", "c_parts", (F.col("g_at") + F.pmod(F.xxhash64("component"), "g_parts")).alias("whole"))
+    out = found.select("deal", "component").join(small(cut(split)), "component")
+    return cut(out.select(F.col("deal").alias("dealt"), F.coalesce(F.col("c_at") + F.pmod(F.xxhash64("deal"), "c_parts"), F.col("whole")).alias("shard")))
+
+
 class Index:
     """BM25 weights of a shard's documents, by document and by term."""
 
@@ -199,8 +284,11 @@ def packed(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard
     idf = np.zeros(1 << 16)
     held = np.array([r["n"] for r in counts])
     idf[[r["term"] for r in counts]] = np.log(1 + (n - held + 0.5) / (held + 0.5))
-    shards = -(-tokens // shard_tokens)
-    dealt = pool.withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards))).select("shard", "deal", "doc_id", "doc_tokens", "start", "ids")
+    if tokens <= shard_tokens:
+        dealt = pool.withColumn("shard", F.lit(0).cast("long"))
+    else:
+        dealt = pool.join(small(by_content(pool, idf, shard_tokens)), F.col("deal") == F.col("dealt"))
+    dealt = dealt.select("shard", "deal", "doc_id", "doc_tokens", "start", "ids")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "deal")
     return pieces.unionByName(dealt.mapInArrow(_packed(window, idf, tokens / n), _PIECE))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 import regex
@@ -184,6 +186,28 @@ def test_packing(awkward, nothing, monkeypatch):
     assert packing.packed(nothing).count() == 0
 
 
+def test_related_documents_share_windows_over_shards(spark):
+    rng = random.Random(4)
+    words = sorted(w[:-4] for w in json.loads(Path(packing.public_tokenizers.path("word_bpe_49k.json")).read_text())["model"]["vocab"] if regex.fullmatch("[a-z]{6,}</w>", w))
+    rng.shuffle(words)
+    groups = [words[12 * g : 12 * g + 12] for g in range(80)]
+    common, stray = words[2000:2200], words[3000:3600]
+    texts = [(6 * g + k, " ".join(rng.sample(groups[g], 8) + rng.choices(stray, k=4) + rng.choices(common, k=30))) for g in range(80) for k in range(6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").orderBy(F.xxhash64("doc_id"))
+
+    def together(shard_tokens: int) -> tuple[int, float]:
+        windows = defaultdict(set)
+        for r in packing.packed(docs, window=400, shard_tokens=shard_tokens).collect():
+            windows[r["sequence_id"]].add(r["doc_id"])
+        mates = {d for held in windows.values() for d in held for x in held if x != d and x // 6 == d // 6}
+        return len({s >> 32 for s in windows}), len(mates) / len(texts)
+
+    (one, whole), (many, dealt) = together(10**9), together(2500)
+    assert one == 1 and many >= 6
+    # By chance it would be fewer than one in ten.
+    assert whole > 0.4 and dealt >= 0.95 * whole, (many, whole, dealt)
+
+
 def test_unigram_counts(awkward, nothing):
     got = sorted(((r["doc_id"], r["n_words"]) for r in unigram.token_counts(awkward).collect()), key=str)
     assert got == sorted(((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in awkward.collect()), key=str)
