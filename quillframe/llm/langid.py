@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from quillframe.llm.common import cut, small, text_pieces, texts
 
 BUCKETS = 1 << 13
-#: A language needs this share of the rows that declare one.
-LEAST_SHARE = 0.001
+#: A language needs so many rows that declare it, or this share of those that declare one.
+LEAST_ROWS, LEAST_SHARE = 5, 0.001
 #: A text counts as no more than so many trigrams, as neighbouring ones are not independent.
 MOST_TRIGRAMS = 40
 #: Pseudo-counts: of a trigram, of a domain's prior in a host's, of the whole in a conditional table.
@@ -101,26 +101,30 @@ class Model:
 def fitted(docs: DataFrame, columns: Columns) -> Model:
     """Counts the trigrams of all texts by declared language.
 
-    The languages are those that enough rows declare; a rarer one is not told apart.  Where none is
-    declared, all texts are one language, named 'mul'.
+    The languages are those that a few rows declare, however large the rest is; a rarer one is not told
+    apart.  Where none is declared, all texts are one language, named 'mul'.
     """
     rows = docs.select(tag(F.col(columns.declared)).alias("declared"), F.col(columns.text).cast("string").alias("text"))
     known = rows.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n"))
     total = known.agg(F.sum("n")).first()[0] or 0
-    # At most 1 / LEAST_SHARE rows.
-    languages = sorted(r["declared"] for r in known.where(F.col("n") >= LEAST_SHARE * total).collect()) or ["mul"]
+    # A row per language tag.
+    languages = sorted(r["declared"] for r in known.where(F.col("n") >= min(LEAST_ROWS, LEAST_SHARE * total)).collect()) or ["mul"]
     named = {name: k for k, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        # Languages of the task only.
+        counts: dict[int, np.ndarray] = {}
         for batch in (p for b in batches for p in text_pieces(b)):
             bucket, n = trigrams(texts(batch))
             label = np.array([named.get(x, -1) for x in batch.column("declared").to_pylist()] if total else [0] * batch.num_rows, np.int64)
-            label = np.repeat(label, n)
-            seen = label >= 0
-            counts += np.bincount(label[seen] * BUCKETS + bucket[seen], minlength=counts.size).reshape(counts.shape)
-        label, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(bucket), pa.array(counts[label, bucket])], ["label", "bucket", "n"])
+            met, label = np.unique(np.repeat(label, n), return_inverse=True)
+            found = np.bincount(label * BUCKETS + bucket, minlength=len(met) * BUCKETS).reshape(-1, BUCKETS)
+            for k, row in zip(met.tolist(), found, strict=True):
+                if k >= 0:
+                    counts[k] = counts.get(k, 0) + row
+        for k, row in counts.items():
+            used = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used), pa.array(row[used])], ["label", "bucket", "n"])
 
     # At most one row per language and bucket.
     found = rows.mapInArrow(count, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
@@ -230,13 +234,17 @@ def identified(docs: DataFrame, columns: Columns = Columns()) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, columns: Columns = Columns(), prefix: str = "_lang_") -> DataFrame:
-    """The rows of ``docs`` that ``identified`` keeps, with their own columns only."""
+    """The rows of ``docs`` that ``identified`` keeps, with their own columns only.
+
+    A text with letters whose declared language is too rare for a model stays as well.
+    """
     model = fitted(docs, columns)
     rows = docs.select(*(c.alias(n) for n, c in evidence(docs, columns).items()), F.col(columns.text).cast("string").alias("text"))
     told = with_likelihoods(rows, model, "text", drop="text").where("trigrams > 0").select("declared", "host", "parent", "suffix", _best())
     found = tables(told, model)
     rows = with_likelihoods(docs.withColumns(evidence(docs, columns, prefix)), model, columns.text, prefix)
-    return fused(rows, found, model, prefix).where(F.col(f"{prefix}kept")).select(*docs.columns)
+    rare = (F.col(f"{prefix}declared") != "") & ~F.col(f"{prefix}declared").isin(model.languages) & (F.col(f"{prefix}trigrams") > 0)
+    return fused(rows, found, model, prefix).where(F.col(f"{prefix}kept") | rare).select(*docs.columns)
 
 
 def from_pages(pages: DataFrame) -> DataFrame:

@@ -311,6 +311,21 @@ def test_language(spark, awkward, nothing):
     assert langid.identified(nothing).count() == 0 and langid.keep_identified(nothing).count() == 0
 
 
+def test_rare_languages_are_kept(spark):
+    rng = random.Random(6)
+    common = {"en": "the man and house of people that he was with for all his days".split(), "de": "der mann und das haus von den leuten die er mit allen seinen tagen".split()}
+    greek = "ο άνθρωπος και το σπίτι των ανθρώπων που ήταν με όλες τις μέρες του".split()
+    rows = [(k, " ".join(rng.choices(common[lang], k=8)), lang, lang) for k in range(9000) for lang in [("en", "de")[k % 2]]]
+    # 0.07 % of the rows, and one row of its own.
+    rows += [(9000 + k, " ".join(rng.choices(greek, k=12)), "el", "en") for k in range(6)]
+    rows += [(9100, "კაცი და სახლი ხალხის რომელიც იყო ყველა დღეს", "ka", "en"), (9101, "12 34 !!", "kk", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in langid.identified(df).where("doc_id >= 9000").collect()}
+    assert all(got[k]["language"] == "el" and got[k]["kept"] for k in range(9000, 9006))
+    kept = {r["doc_id"] for r in langid.keep_identified(df).select("doc_id").collect()}
+    assert kept == set(range(9006)) | {9100}
+
+
 def test_pages_as_evidence(spark):
     page = '<!DOCTYPE html><html lang="de"><style>x{}</style><body><script>var s="</p>";</script><p>Haus &amp; Hof</p><!-- c --></body></html>'
     row = langid.from_pages(spark.createDataFrame([(1, "https://user@a.Example.de:8080/x", page), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()
