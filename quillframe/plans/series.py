@@ -53,6 +53,16 @@ def both_ways_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.absent_either_way(left, right, ["p_name"])
 
 
+@query("""
+SELECT o_custkey AS custkey, 'left' AS side FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)
+UNION ALL SELECT c_custkey, 'right' FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)""")
+def both_ways_absent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of orders or of the customer table only; every row of both is compared."""
+    left = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")).distinct()
+    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).distinct()
+    return compare.absent_either_way(left, right, ["custkey"])
+
+
 @query("""
 SELECT p_partkey FROM part p WHERE p_partkey % 3 <> 0 AND p_name IN (SELECT p_name FROM part WHERE p_size > 30) AND NOT EXISTS (SELECT 1 FROM part e WHERE e.p_partkey % 300 = 0 AND e.p_name = p.p_name)""")
 def wrong_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +107,18 @@ def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.overlapping(a, b, "low", "high", 8).select("a_k", "b_k")
 
 
+@query("""
+WITH a AS (SELECT p_partkey AS k, p_partkey AS low, p_partkey + p_size % 7 AS high FROM part), b AS (SELECT p_partkey AS k, p_partkey + p_size % 3 AS low, p_partkey + p_size AS high FROM part)
+SELECT a.k AS a_k, b.k AS b_k FROM a JOIN b ON a.low <= b.high AND b.low <= a.high""")
+def range_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of overlapping ranges of all parts; a range meets as many others as its length allows, not a share of the table."""
+    part = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    a = part.select(k.alias("k"), k.alias("low"), (k + size % 7).alias("high"))
+    b = part.select(k.alias("k"), (k + size % 3).alias("low"), (k + size).alias("high"))
+    return compare.overlapping(a, b, "low", "high", 8).select("a_k", "b_k")
+
+
 @query("SELECT r_name, n_name, count(c_custkey) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent, child and number of grandchildren."""

@@ -133,3 +133,16 @@ def test_limiter_and_pacing(spark):
     assert got == [("a", 0.0, True, 0), ("a", 1.0, True, 0), ("a", 2.0, False, 58), ("a", 60.0, True, 0), ("a", 61.0, True, 0), ("b", 0.0, True, 0)]
     steps = spark.createDataFrame([("a", k, r, h) for k, (r, h) in enumerate([(True, None), (True, 7.0), (False, None), (False, None)])], "k string, n int, r boolean, h double")
     assert rows(telemetry.paced(steps, "k", "n", "r", "h", recover=2), "n", "interval", "cooldown") == [(0, 1.5, 60.0), (1, 2.0, 7.0), (2, 2.0, 0.0), (3, 1.5, 0.0)]
+
+
+def test_whole_tables_are_compared(spark):
+    from quillframe.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    parts = [(r["p_partkey"], r["p_size"]) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    got = sorted((r["a_k"], r["b_k"]) for r in catalog.QUERIES["range_overlap_whole"](spark, sf).collect())
+    assert got == sorted((k, m) for k, s in parts for m, z in parts if k <= m + z and m + z % 3 <= k + s % 7)
+    ordered = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").collect()}
+    known = {r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
+    sides = {(r["custkey"], r["side"]) for r in catalog.QUERIES["both_ways_absent_whole"](spark, sf).collect()}
+    assert sides == {(c, "left") for c in ordered - known} | {(c, "right") for c in known - ordered}
