@@ -5,10 +5,13 @@ from __future__ import annotations
 import difflib
 import html
 import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +50,54 @@ def title_likeness(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(_ratio(x, y))
 
 
+def _letters(keys: list[str]) -> np.ndarray:
+    """How often each letter, by its code modulo 64, is in each key."""
+    return np.array([np.bincount(np.frombuffer(k.encode("utf-32-le"), "<u4") % 64, minlength=64) for k in keys], np.int32).reshape(-1, 64)
+
+
+def _best_of_blocks(keep: int):
+    """The ``keep`` best of a block's names for each query of another one.
+
+    Letters in common bound the likeness from above, so names are tried in the order of that bound until it
+    falls below the last score that is kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, keys, out = [x["name"] for x in row["names"]], [x["key"] for x in row["names"]], []
+                letters, sizes = _letters(keys), np.array([len(k) for k in keys])
+                for asked in row["asked"]:
+                    query, key = asked["query"], asked["key"]
+                    bound = 2.0 * np.minimum(letters, _letters([key])).sum(axis=1) / np.maximum(sizes + len(key), 1)
+                    best: list[tuple[float, str]] = []
+                    for k in np.argsort(-bound, kind="stable").tolist():
+                        if len(best) == keep and bound[k] < -best[-1][0]:
+                            break
+                        same = 1.0 if key == keys[k] else difflib.SequenceMatcher(None, key, keys[k]).ratio()
+                        best = sorted([*best, (-same if key and keys[k] else 0.0, names[k])])[:keep]
+                    out += [(name, query, -score) for score, name in best]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.string(), pa.string(), pa.float64()), strict=True)], ["name", "query", "score"])
+
+    return run
+
+
+def most_alike(asked: DataFrame, names: DataFrame, keep: int = 3, block: int = 4096, asked_block: int = 256) -> DataFrame:
+    """``name, query, score, r``: the ``keep`` names most like each ``query``, of equal scores the first in order.
+
+    ``asked`` has distinct ``query``, ``names`` distinct ``name``.  Every block of queries meets every block of names.
+    """
+
+    def blocks(df: DataFrame, column: str, size: int, out: str) -> DataFrame:
+        key = title_key_words(unescape(F.coalesce(F.col(column), F.lit(""))))
+        at = F.pmod(F.xxhash64(column), F.lit(-(-max(df.count(), 1) // size)))
+        return df.select(at.alias("at"), F.struct(F.col(column), key.alias("key")).alias("x")).groupBy("at").agg(F.collect_list("x").alias(out)).select(out)
+
+    pairs = blocks(asked, "query", asked_block, "asked").crossJoin(blocks(names, "name", block, "names")).repartition(F.rand(3))
+    found = pairs.mapInArrow(_best_of_blocks(keep), "name string, query string, score double")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))).where(F.col("r") <= keep)
+
+
 class _Cards(HTMLParser):
     """Links to series with the text of the block around them."""
 

@@ -25,13 +25,11 @@ def title_keys_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def title_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each of a few titles the three most alike names of parts."""
-    from pyspark.sql import Window as W
-
-    part = table(spark, sf_dir, "part").select("p_name").distinct()
-    asked = part.orderBy("p_name").limit(5).select(F.concat("p_name", F.lit(" two")).alias("query"))
-    pairs = part.join(F.broadcast(asked)).withColumn("score", uni.title_likeness(F.col("query"), F.col("p_name")))
-    return pairs.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "p_name"))).where("r <= 3")
+    """For the title of every twentieth part the three most alike names of all parts."""
+    part = table(spark, sf_dir, "part").where("p_name is not null")
+    asked = part.where("p_partkey % 20 = 0").select(F.concat("p_name", F.lit(" two")).alias("query")).distinct()
+    found = uni.most_alike(asked, part.select(F.col("p_name").alias("name")).distinct())
+    return found.select(F.col("name").alias("p_name"), "query", "score", "r")
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(p_name || ': ' || p_type || '?.', '[<>:\"/\\|?*]', '', 'g'), '^[\s.]+|[\s.]+$', '', 'g'), '\s+', '_', 'g'), '_') AS name FROM part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -146,3 +147,23 @@ def test_whole_tables_are_compared(spark):
     known = {r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
     sides = {(r["custkey"], r["side"]) for r in catalog.QUERIES["both_ways_absent_whole"](spark, sf).collect()}
     assert sides == {(c, "left") for c in ordered - known} | {(c, "right") for c in known - ordered}
+
+
+def test_every_twentieth_title_is_asked(spark):
+    from quillframe.functions import unicode as uni
+    from quillframe.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    got = defaultdict(list)
+    for r in catalog.QUERIES["title_likeness"](spark, sf).orderBy("r").collect():
+        got[r["query"]].append((r["score"], r["p_name"]))
+    asked = part.where("p_partkey % 20 = 0").select(F.concat("p_name", F.lit(" two")).alias("query")).distinct()
+    rows = asked.crossJoin(part.select("p_name").distinct()).select("query", "p_name", uni.title_likeness(F.col("query"), F.col("p_name")).alias("score")).collect()
+    want = defaultdict(list)
+    for r in rows:
+        want[r["query"]].append((r["score"], r["p_name"]))
+    assert len(want) > 5 and got == {q: sorted(x, key=lambda v: (-v[0], v[1]))[:3] for q, x in want.items()}
+    names = asked.select(F.col("query").alias("name"))
+    whole, blocks = (sorted(uni.most_alike(asked, names, block=b, asked_block=a).collect()) for b, a in ((4096, 256), (3, 2)))
+    assert whole == blocks
