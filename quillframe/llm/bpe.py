@@ -23,9 +23,13 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import text_pieces
 from quillframe.llm.pretokens import ragged, split_gapless
-from quillframe.llm.wordhash import span_hashes
+from quillframe.llm.wordhash import distinct_spans
 
 _NONE = np.int64(1) << np.int64(60)
+_EMPTY = np.iinfo(np.int64).min
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Fewer rows than this don't merge in step, but one after another.
+FEW_ROWS = 8
 
 
 class Merges:
@@ -33,19 +37,39 @@ class Merges:
 
     def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]], byte_ids: np.ndarray, last_byte_ids: np.ndarray | None = None):
         keys = np.array([a << 32 | b for a, b in pairs], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys = np.concatenate([keys[order], [np.iinfo(np.int64).max]])
-        self.ranks = np.concatenate([np.array([r for r, _ in pairs.values()], dtype=np.int64)[order], [0]])
-        self.ids = np.concatenate([np.array([i for _, i in pairs.values()], dtype=np.int64)[order], [0]])
+        # A table with open places: a pair stands at the place of its hash, or at the first free one after it.
+        bits = max(len(pairs) * 8, 1).bit_length()
+        self.shift = np.uint64(64 - bits)
+        size = (1 << bits) + len(pairs) + 1
+        self.keys = np.full(size, _EMPTY)
+        self.ranks, self.ids = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == _EMPTY]
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[put]] = keys[put]
+            self.ranks[at[put]] = np.array([r for r, _ in pairs.values()], np.int32)[put]
+            self.ids[at[put]] = np.array([i for _, i in pairs.values()], np.int32)[put]
+            left = left[~np.isin(left, put)]
+            at[left] += 1
+        self.pairs = {a << 32 | b: x for (a, b), x in pairs.items()}
         self.byte_ids = byte_ids
         self.last_byte_ids = byte_ids if last_byte_ids is None else last_byte_ids
 
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
     def of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of pairs, and the merged symbols; a pair that doesn't merge has the rank _NONE."""
-        key = left << 32 | right
-        at = np.searchsorted(self.keys, key)
-        hit = (self.keys[at] == key) & (right >= 0)
-        return np.where(hit, self.ranks[at], _NONE), self.ids[at]
+        key = (left << 32 | right).ravel()
+        at = self._place(key)
+        met = self.keys[at]
+        other = np.flatnonzero((met != key) & (met != _EMPTY))
+        while len(other):
+            at[other] += 1
+            met[other] = self.keys[at[other]]
+            other = other[(met[other] != key[other]) & (met[other] != _EMPTY)]
+        return np.where(met == key, self.ranks[at], _NONE).reshape(left.shape), self.ids[at].reshape(left.shape)
 
 
 def _merge_rows(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> np.ndarray:
@@ -92,6 +116,47 @@ def _merge_rows(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> np.
     return live[:, :-1]
 
 
+def _merge_one(symbols: np.ndarray, merges: Merges) -> list[int]:
+    """Merges the symbols of one pre-token, on a tree of plain numbers; for long ones that few others are like."""
+    n = len(symbols)
+    width = 1 << (n - 1).bit_length()
+    none, get, live = int(_NONE), merges.pairs.get, symbols.tolist()
+    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    ranks, _ = merges.of(symbols[:-1], symbols[1:])
+    level = np.full(width, _NONE)
+    level[: n - 1] = np.where(ranks < _NONE, ranks * width + np.arange(n - 1), _NONE)
+    levels = [level]
+    while len(level) > 1:
+        level = np.minimum(level[::2], level[1::2])
+        levels.append(level)
+    tree = [none, *np.concatenate(levels[::-1]).tolist()]
+
+    def put(node: int, value: int) -> None:
+        while node and tree[node] != value:
+            tree[node] = value
+            other = tree[node ^ 1] if node > 1 else value
+            value, node = min(value, other), node >> 1
+
+    while (top := tree[1]) < none:
+        here = top % width
+        dead = following[here]
+        live[here] = get(live[here] << 32 | live[dead])[1]
+        live[dead] = -1
+        right = following[here] = following[dead]
+        put(width + dead, none)
+        if right < n:
+            before[right] = here
+            found = get(live[here] << 32 | live[right])
+            put(width + here, found[0] * width + here if found else none)
+        else:
+            put(width + here, none)
+        left = before[here]
+        if left >= 0:
+            found = get(live[left] << 32 | live[here])
+            put(width + left, found[0] * width + left if found else none)
+    return [x for x in live if x >= 0]
+
+
 def encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the byte spans one after another, and each span's number of symbols."""
     lengths = ends - starts
@@ -107,6 +172,11 @@ def encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, merges:
             inside = np.arange(width) < n[:, None]
             symbols[inside] = merges.byte_ids[data[ragged(starts[rows], n)]]
             symbols[np.arange(len(rows)), n - 1] = merges.last_byte_ids[data[ends[rows] - 1]]
+            if len(rows) < FEW_ROWS and width > 1:
+                each = [_merge_one(s[:k], merges) for s, k in zip(symbols, n.tolist(), strict=True)]
+                counts[rows] = [len(x) for x in each]
+                parts.append((rows, np.concatenate(each)))
+                continue
             done = _merge_rows(symbols, n, merges)
             counts[rows] = (done >= 0).sum(axis=1)
             parts.append((rows, done[done >= 0]))
@@ -120,40 +190,40 @@ def encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, merges:
 class SpanEncoder:
     """Encodes spans, each distinct one once; keeps the distinct spans seen lately.
 
-    The store is bounded: it starts anew beyond ``keep`` spans.  Spans are told apart by 64-bit
-    hashes joined with their lengths.
+    The store is bounded: it starts anew beyond ``keep`` spans.  Spans are told apart by two
+    independent 64-bit hashes.
     """
 
-    def __init__(self, merges: Merges, keep: int = 1_500_000):
+    def __init__(self, merges: Merges, keep: int = 500_000):
         self.merges, self.keep = merges, keep
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.one, self.other, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.symbols = np.zeros(0, np.uint32)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all spans one after another, and each span's number of symbols."""
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        hashes = span_hashes(data, starts, ends) ^ (ends - starts).astype(np.uint64)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > self.keep:
+        first, inverse, one, other = distinct_spans(data, starts, ends)
+        one, other = one[first], other[first]
+        if len(self.one) > self.keep:
             self._clear()
-        slot = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), dtype=bool)
-        inside = slot < len(self.hashes)
-        known[inside] = self.hashes[slot[inside]] == distinct[inside]
-        fresh = first[~known]
-        symbols, counts = encode_spans(data, starts[fresh], ends[fresh], self.merges)
-        at = len(self.symbols) + np.cumsum(counts) - counts
+        slot = np.minimum(np.searchsorted(self.one, one), max(len(self.one) - 1, 0))
+        known = (self.one[slot] == one) & (self.other[slot] == other) if len(self.one) else np.zeros(len(one), bool)
+        fresh = np.flatnonzero(~known)
+        symbols, counts = encode_spans(data, starts[first[fresh]], ends[first[fresh]], self.merges)
+        at, n = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        at[known], n[known] = self.at[slot[known]], self.n[slot[known]]
+        at[fresh], n[fresh] = len(self.symbols) + np.cumsum(counts) - counts, counts
         self.symbols = np.concatenate([self.symbols, symbols])
-        merged = np.concatenate([self.hashes, distinct[~known]])
-        order = np.argsort(merged, kind="stable")
-        self.hashes, self.at, self.n = merged[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, counts])[order]
-        slot = np.searchsorted(self.hashes, distinct)[inverse]
-        n = self.n[slot]
-        return self.symbols[ragged(self.at[slot], n)], n
+        if len(fresh):
+            merged = np.concatenate([self.one, one[fresh]])
+            order = np.argsort(merged, kind="stable")
+            self.one, self.other = merged[order], np.concatenate([self.other, other[fresh]])[order]
+            self.at, self.n = np.concatenate([self.at, at[fresh]])[order], np.concatenate([self.n, counts])[order]
+        return self.symbols[ragged(at[inverse], n[inverse])], n[inverse]
 
 
 @functools.cache
@@ -199,14 +269,14 @@ def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  Returns for every row
     ``doc_id, ids (array<int>), decoded (binary)``.  A null text counts as empty: no ids, no bytes.  Repeated rows give repeated results;
-    a null ``doc_id`` is passed on.
+    a null ``doc_id`` is passed on; an empty table gives an empty result.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, alphabet, offsets = rank_merges(path)
         encoder, sizes = SpanEncoder(merges), np.diff(offsets)
-        for batch in (p for b in batches for p in text_pieces(b, 3 << 20)):
+        for batch in (p for b in batches for p in text_pieces(b, 2 << 20)):
             data, starts, ends, per_text = split_gapless([t or "" for t in batch.column("text").to_pylist()])
             ids, counts = encoder(data, starts, ends)
             edge = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_text)])]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +15,22 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count shows that it has at most this many narrow rows.
 BROADCAST_ROWS = 400_000
+#: Members of a group that are compared with all others first.
+HUBS = 8
+#: Wide rows: at most so many bytes of them.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: the session's checkpoint folder.
 
-    Where the session names none (tests in local mode), a temporary folder is set.
+    Where a session in local mode names none (as in tests), a temporary folder is set.  On a cluster that is
+    an error, as each executor would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillframe.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("quillframe.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/quillframe"
@@ -36,15 +44,36 @@ def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` has written, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written, narrow table for broadcast if a count of it allows that; else leaves it to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, width: int = 0) -> DataFrame:
+    """Marks a written table for broadcast if a count of it allows that; else leaves it to a shuffle.
+
+    ``width`` is a row's size in bytes where rows aren't narrow.
+    """
+    return F.broadcast(df) if df.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // max(width, 1)) else df
 
 
-def text_pieces(batch: pa.RecordBatch, most: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def unused(names: Iterable[str], stem: str) -> str:
+    """A prefix, made from ``stem``, that no name starts with; Spark takes names of either case for one."""
+    stem = f"_{stem}"
+    while any(n.lower().startswith(stem) for n in names):
+        stem = f"_{stem}"
+    return stem
+
+
+def text_pieces(batch: pa.RecordBatch, most: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, so that memory follows bytes, not rows."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     total, start = np.cumsum(sizes), 0
@@ -105,25 +134,44 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large.where("a <> b").distinct())
         # Small star: every neighbour not above u, and u itself, is tied to the least of them.
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        tied = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = cut(tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        lower = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        tied = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = cut(tied.unionByName(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         changed = after.exceptAll(found).limit(1).count() or found.exceptAll(after).limit(1).count()
+        discard(found, least, large, lower)
         found = after
         if not changed:
             break
     return found.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def forest(n: int, rows: Iterable[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Spanning edges among ``n`` items, given for some items the items that each is linked with.
+def forest(n: int, linked: Callable[[int], np.ndarray], probes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the links among ``n`` items; ``linked(i)`` gives all items that ``i`` is linked with.
 
-    ``rows`` is read lazily.  An item that hangs together with another one by then adds no second edge.
+    A few hubs are asked first.  What hangs together with the hub of the largest part needn't be asked any
+    more: links within that part add nothing, and those that lead out of it are found from the other
+    end.  So where most items hang together, the work grows with their number and not with its
+    square.  With ``probes``, only these are asked.
     """
     labels, out = np.arange(n), []
-    for i, hits in rows:
-        for lab in np.unique(labels[hits]):
+
+    def ask(i: int) -> None:
+        hits = linked(i)
+        held, first = np.unique(labels[hits], return_index=True)
+        for lab, at in zip(held.tolist(), first.tolist(), strict=True):
             if lab != labels[i]:
-                out.append((i, int(hits[np.argmax(labels[hits] == lab)])))
+                out.append((i, int(hits[at])))
                 labels[labels == lab] = labels[i]
+
+    if probes is not None:
+        for i in probes.tolist():
+            ask(i)
+        return out
+    hubs = np.unique(np.linspace(0, n - 1, min(n, HUBS)).astype(int)).tolist()
+    for i in hubs:
+        ask(i)
+    main = max(hubs, key=lambda i: int((labels == labels[i]).sum()))
+    for i in range(n):
+        if labels[i] != labels[main] and i not in hubs:
+            ask(i)
     return out

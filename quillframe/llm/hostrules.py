@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.llm.common import cut, small, text_pieces, texts
+from quillframe.llm.common import cut, small, text_pieces, texts, unused
 from quillframe.llm.wordhash import IS_SPACE, span_hashes, windows, word_spans
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted"]
@@ -53,13 +53,22 @@ def measure(text: bytes) -> list[int]:
     breaks = np.flatnonzero(data == 10)
     begin, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
     filled = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
-    lines = span_hashes(data, begin[filled], end[filled])
+    begin, end = begin[filled], end[filled]
+    lines = span_hashes(data, begin, end)
+    _, inverse, counts = np.unique(lines, return_inverse=True, return_counts=True)
+    alike = np.flatnonzero(counts[inverse] > 1)
+    # Lines of equal hashes are compared whole.
+    dup_lines = len(alike) - len({text[begin[k] : end[k]] for k in alike})
     hashes = span_hashes(data, starts, ends)
     repeated = 0
     if len(hashes) >= 5:
         _, inverse, counts = np.unique(windows(hashes, 5), return_inverse=True, return_counts=True)
         again = np.flatnonzero(counts[inverse] > 1)
         if len(again):
+            # Windows of equal hashes must be equal under a second, independent hash.
+            pairs = np.stack([inverse[again].astype(np.uint64), windows(span_hashes(data, starts, ends, 1), 5)[again]], axis=1)
+            _, inverse, counts = np.unique(pairs, axis=0, return_inverse=True, return_counts=True)
+            again = again[counts[inverse] > 1]
             step = np.zeros(len(hashes) + 1, np.int32)
             step[again] += 1
             step[again + 5] -= 1
@@ -67,7 +76,7 @@ def measure(text: bytes) -> list[int]:
     upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
     lower = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
     shouted = int(((upper[ends] - upper[starts] > 1) & (lower[ends] == lower[starts])).sum())
-    return [len(starts), chars, int(_SYMBOL[data].sum()), len(lines), len(lines) - len(np.unique(lines)), repeated, shouted]
+    return [len(starts), chars, int(_SYMBOL[data].sum()), len(lines), dup_lines, repeated, shouted]
 
 
 def measured(docs: DataFrame, prefix: str = "") -> DataFrame:
@@ -98,18 +107,30 @@ def base_failed(prefix: str = "") -> Column:
     return (words < MIN_WORDS) | (100 * repeats > MAX_REPEATS * words)
 
 
+def prior(hosts: int, total: int, failed: int, squares: float, sizes: float) -> tuple[float, float]:
+    """Mean and strength; ``squares`` is the sum of failures ** 2 / n over hosts, ``sizes`` that of n ** 2."""
+    mean = failed / total if total else 0.0
+    chance = mean * (1 - mean)
+    if hosts < 2 or chance == 0:
+        return mean, 1e4
+    # Expected without differences: chance * (hosts - 1); each unit of variance adds total - sizes / total.
+    spread = (squares - total * mean * mean - chance * (hosts - 1)) / (total - sizes / total)
+    return mean, min(max(chance / spread - 1, 1.0), 1e4) if spread > 0 else 1e4
+
+
 def host_verdicts(rows: DataFrame, prefix: str = "") -> DataFrame:
     """``(host, n, failures, rate, untrusted)`` per host of measured rows with a column ``host``.
 
-    The prior's mean and strength come from the hosts' rates by moments: strength
-    ``m (1 - m) / v - 1``, held between 1 and 10,000; with one host, or hosts all alike, 10,000.
+    The prior's mean and strength come from the hosts' rates by moments, weighted by their documents:
+    the variance of the rates, less what documents drawn at random would give them, is ``v``, and the
+    strength is ``m (1 - m) / v - 1``, held between 1 and 10,000; with one host, or hosts no further
+    apart than chance, 10,000.  So hosts of one document each don't pass for hosts that differ.
     """
     failed = (over(STRICT, prefix) | base_failed(prefix)).cast("long")
     counts = cut(rows.select("host", failed.alias("f")).groupBy("host").agg(F.count("*").alias("n"), F.sum("f").alias("failures")))
-    share = F.col("failures") / F.col("n")
-    mean, spread = counts.agg(F.avg(share), F.var_pop(share)).first()
-    mean, spread = mean or 0.0, spread or 0.0
-    strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e4) if spread > 0 else 1e4
+    n, f = F.col("n").cast("double"), F.col("failures").cast("double")
+    hosts, total, failed, squares, sizes = counts.agg(F.count("*"), F.sum("n"), F.sum("failures"), F.sum(f * f / n), F.sum(n * n)).first()
+    mean, strength = prior(hosts, total or 0, failed or 0, squares or 0.0, sizes or 0.0)
     rate = (F.col("failures") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     return counts.select("host", "n", "failures", rate.alias("rate"), (rate >= UNTRUSTED).alias("untrusted"))
 
@@ -135,18 +156,21 @@ def verdicts_of(docs: DataFrame, host: str = "source") -> DataFrame:
     """``doc_id``, the measures, ``base_failed`` and ``kept`` for every row of ``docs``.
 
     The measures are written once and read by both passes.  A null text counts as empty and fails;
-    a null host is the host ''.  Repeated rows are judged alike; a null ``doc_id`` is passed on.
+    a null host is the host ''.  Repeated rows are judged alike; a null ``doc_id`` is passed on; an
+    empty table gives an empty result; other columns are ignored.
     """
     rows = cut(measured(docs.select(F.col("doc_id").cast("long"), host_key(host).alias("host"), F.col("text").cast("string"))).drop("text"))
     return decided(rows, host_verdicts(rows), F.col("host"))
 
 
-def keep_good(docs: DataFrame, host: str = "source", prefix: str = "_rule_") -> DataFrame:
-    """The rows of ``docs`` that ``verdicts_of`` keeps, with their own columns only.
+def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``verdicts_of`` keeps, with their own columns only, whatever their names.
 
     Texts are measured once for the hosts' record and once for the verdict, so that they never
-    travel.  ``prefix`` keeps the measures apart from columns of ``docs``.
+    travel.  Null and empty texts go, as they have too few words; a null host is the host '';
+    repeated rows stay or go together, null ids don't matter, and an empty table stays empty.
     """
+    prefix = unused(docs.columns, "rule_")
     record = measured(docs.select(host_key(host).alias("host"), F.col("text").cast("string")))
     rows = decided(measured(docs, prefix), host_verdicts(record), host_key(host), prefix)
     return rows.where(F.col(prefix + "kept")).select(*docs.columns)

@@ -30,18 +30,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.llm.common import cut, runs, text_pieces, texts
+from quillframe.llm.common import cut, discard, runs, text_pieces, texts, unused
 from quillframe.llm.lyndon import suffix_arrays
-from quillframe.llm.wordhash import _BASE, _INVERSE, _VALUE, _power, mix
+from quillframe.llm.wordhash import eights, mix
 
 #: Long texts are searched in slices of so many bytes, with what lies around them.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: An anchor hash with more contexts than this is split.
 PART = 512
 #: Contexts whose suffix arrays are built in step.
-STEP_CONTEXTS = 24_000
+STEP_CONTEXTS = 8_000
 
 _U = np.uint64
+_BASE = _U(0x9E3779B97F4A7C15)
+_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A number for each column of a context.
+_KEYS = np.random.default_rng(20240229).integers(1, 1 << 63, 1024, dtype=np.uint64)
+_powers = {True: np.ones(1, _U), False: np.ones(1, _U)}
+
+
+def _power(up: bool, n: int) -> np.ndarray:
+    """Powers 0..n-1 of the base or its inverse, kept for the next piece; pieces are of bounded size."""
+    if len(_powers[up]) < n:
+        grown = np.full((n + 65535) // 65536 * 65536, _BASE if up else _INVERSE)
+        grown[0] = 1
+        _powers[up] = np.cumprod(grown, dtype=_U)
+    return _powers[up][:n]
 
 
 @dataclass(frozen=True)
@@ -52,6 +66,11 @@ class Shape:
     core: int = 100
     block: int = 10
 
+    @property
+    def gram(self) -> int:
+        """Bytes that are hashed together."""
+        return min(8, self.core)
+
     @property
     def side(self) -> int:
         return self.length - self.core
@@ -71,10 +90,30 @@ def _slide(values: np.ndarray, width: int, least) -> np.ndarray:
     return least(values[: -(width - have)], values[width - have :]) if have < width else values
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_VALUE[data] * _power("up", _BASE, len(data)), out=out[1:])
-    return out
+class Spans:
+    """Hashes of any spans of some bytes: sums of hashed neighbours, times powers of a base.
+
+    The neighbours' hashes keep two strings that are built alike, of two letters each, from
+    cancelling out.  A span has at least ``gram`` bytes.
+    """
+
+    def __init__(self, data: np.ndarray, gram: int):
+        n, self.gram = len(data), gram
+        self.sums = np.zeros(n + 1, _U)
+        values = mix(eights(data)[:n] & _U((1 << 8 * gram) - 1))
+        values *= _power(True, n)
+        np.cumsum(values, out=self.sums[1:])
+        self.down = _power(False, n + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end - (self.gram - 1)] - self.sums[start]) * self.down[start])
+
+    def sliding(self, width: int) -> np.ndarray:
+        """Of all spans of ``width`` bytes."""
+        step = width - self.gram + 1
+        raw = self.sums[step : len(self.sums) - self.gram + 1] - self.sums[: len(self.sums) - width]
+        raw *= self.down[: len(raw)]
+        return mix(raw)
 
 
 def anchors(rows: list[bytes], shape: Shape) -> Iterator[tuple[np.ndarray, ...]]:
@@ -103,9 +142,8 @@ def _anchors_of(rows: list[bytes], slices: list[tuple[int, int, int, int, int]],
     start = stop - (end - begin)
     if len(data) < shape.length:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, _U),) * 2
-    sums, width = _sums(data), shape.side + 1
-    down = _power("down", _INVERSE, len(data) + 1)
-    hashes = mix((sums[shape.core :] - sums[: -shape.core]) * down[: len(data) - shape.core + 1])
+    spans, width = Spans(data, shape.gram), shape.side + 1
+    hashes = spans.sliding(shape.core)
     least = _slide(hashes, width, np.minimum)
     # Windows that lie within one slice.
     inside = np.zeros(len(data) + 1, np.int32)
@@ -120,7 +158,7 @@ def _anchors_of(rows: list[bytes], slices: list[tuple[int, int, int, int, int]],
     mine = (place >= own[which]) & (place < own_end[which])
     at, which, place = at[mine], which[mine], place[mine]
     low, high = np.maximum(at - shape.side, start[which]), np.minimum(at + shape.length, stop[which])
-    context = mix((sums[high] - sums[low]) * down[low]) ^ ((at - low).astype(_U) << _U(32))
+    context = spans.of(low, high) ^ ((at - low).astype(_U) << _U(32))
     return text[which], place, at - low, high - at, hashes[at], context
 
 
@@ -162,8 +200,8 @@ def _fetched(shape: Shape):
             fields = {f.name: wanted.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in wanted.type.value_type}
             ids, fps = batch.column("id").to_numpy()[row], batch.column("fp").to_numpy()[row]
             order = np.argsort(fields["divided"], kind="stable")
-            for a in range(0, len(row), 5_000):
-                at = order[a : a + 5_000]
+            for a in range(0, len(row), 2_000):
+                at = order[a : a + 2_000]
                 place, before, after = (fields[c][at] for c in ("place", "before", "after"))
                 blobs = [rows[r][p - b : p + e] for r, p, b, e in zip(row[at], place, before, after, strict=True)]
                 columns = (fields["hash"][at], fields["single"][at], ids[at], fps[at], place, before, after)
@@ -189,8 +227,7 @@ def _divided(hashes, single, ids, fps, place, before, after, blobs, shape: Shape
     data = np.frombuffer(b"".join(blobs), np.uint8)
     length = np.array([len(b) for b in blobs])
     begin = np.cumsum(length) - length
-    sums, down = _sums(data), _power("down", _INVERSE, len(data) + 1)
-    raw = data.tobytes()
+    spans, raw = Spans(data, shape.gram), data.tobytes()
     out = []
     for k, first in enumerate(range(0, shape.side + 1, inner.side + 1)):
         # Where the core starts in each context, and whether the context holds all of it.
@@ -199,9 +236,9 @@ def _divided(hashes, single, ids, fps, place, before, after, blobs, shape: Shape
         start = start[inside]
         low, high = np.maximum(start - inner.side, 0), np.minimum(start + inner.length, length[inside])
         at = begin[inside]
-        core = mix((sums[at + start + inner.core] - sums[at + start]) * down[at + start])
+        core = spans.of(at + start, at + start + inner.core)
         core = mix(core ^ mix(hashes[inside].view(_U) + _U(k)))
-        context = mix((sums[at + high] - sums[at + low]) * down[at + low]) ^ ((start - low).astype(_U) << _U(32))
+        context = spans.of(at + low, at + high) ^ ((start - low).astype(_U) << _U(32))
         ends = [raw[o + a : o + s] + raw[o + s + inner.core : o + z] for o, a, s, z in zip(at, low, start, high, strict=True)]
         out.append(_contexts(1, core.view(np.int64), single[inside], ids[inside], fps[inside], place[inside] - before[inside] + start, start - low, high - start, context.view(np.int64), ends))
     return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
@@ -231,11 +268,10 @@ def repeated_offsets(padded: np.ndarray, valid: tuple[np.ndarray, np.ndarray], g
         return first, last
     # Symbols: the left blocks, the core, the right blocks.
     values = padded.astype(_U) + _U(1)
-    weights = np.cumprod(np.full(shape.length + side, _BASE, _U), dtype=_U)
 
     def piece(begin: int, end: int) -> np.ndarray:
-        # Wrapping sums of mixed values: equal pieces have equal sums.
-        return mix((mix(values[:, begin:end]) * weights[: end - begin]).sum(axis=1, dtype=_U))
+        # Wrapping sums of values that are mixed by place: equal pieces have equal sums.
+        return mix(mix(values[:, begin:end] ^ _KEYS[: end - begin]).sum(axis=1, dtype=_U))
 
     at = [(k * block, (k + 1) * block) for k in range(blocks)]
     at += [(side, shape.length)] + [(shape.length + k * block, shape.length + (k + 1) * block) for k in range(blocks)]
@@ -405,13 +441,15 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_spans(docs: DataFrame, shape: Shape) -> DataFrame:
-    found = cut(repeats(docs, shape)).select(F.col("id").alias("_cut_id"), F.col("fp").alias("_cut_fp"), F.col("spans").alias("_cut_spans"))
-    return docs.withColumns(_keyed(docs, "_cut_")).join(found, ["_cut_id", "_cut_fp"], "left").drop("_cut_id", "_cut_fp")
+    prefix = unused(docs.columns, "cut_")
+    keys = [f"{prefix}id", f"{prefix}fp"]
+    found = cut(repeats(docs, shape)).select(F.col("id").alias(keys[0]), F.col("fp").alias(keys[1]), F.col("spans").alias(f"{prefix}spans"))
+    return docs.withColumns(_keyed(docs, prefix)).join(found, keys, "left").select(*docs.columns, f"{prefix}spans")
 
 
 def _cut_rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
-    """Text, what remains of it, and the number of runs removed, for each row."""
-    for text, spans in zip(texts(batch), batch.column("_cut_spans"), strict=True):
+    """Text, what remains of it, and the number of runs removed, for each row; its spans are the last column."""
+    for text, spans in zip(texts(batch), batch.columns[-1], strict=True):
         if not spans.is_valid:
             yield text, text, 0
             continue
@@ -425,7 +463,8 @@ def digests(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
     Every byte that lies in a string of ``shape.length`` bytes which also starts elsewhere, in the same
     text or another, is removed.  A null text counts as empty.  Repeated rows are documents of
-    their own, so they repeat one another.  A null ``doc_id`` is passed on, other columns are ignored.
+    their own, so they repeat one another.  A null ``doc_id`` is passed on, other columns are ignored, and
+    an empty table gives an empty result.
     """
     rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), shape)
 
@@ -439,9 +478,10 @@ def digests(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """``docs`` with its repeats cut out of ``text``, its other columns as they are.
+    """``docs`` with its repeats cut out of ``text``, its other columns as they are, whatever their names.
 
-    A character that a cut leaves incomplete is dropped; a null text stays null.
+    A character that a cut leaves incomplete is dropped; a null text stays null, an empty one empty.
+    Repeated rows repeat one another, null ids don't matter, and an empty table stays empty.
     """
     rows, names = _with_spans(docs, shape), docs.columns
 

@@ -3,13 +3,16 @@
 A pre-token is a word with the word mark before it.  The distinct pre-tokens of a piece of text are
 sorted, which lays them out as a trie: a word opens new nodes only beyond the prefix that it shares
 with the word before.  The forward score of a node is the best score of any segmentation of its
-prefix; it is computed once, level by level, from the nodes above it.  At a word's last node the
-number of tokens of that segmentation is its count, and a document's count is the sum over its words.
+prefix; it is computed once, from the nodes above it.  The first ``WIDEST`` levels go level by level, all
+words in step; the few words that reach deeper are walked one after another, each from the
+place where it leaves the one before.  At a word's last node the number of tokens of that
+segmentation is its count, and a document's count is the sum over its words.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import text_pieces, texts
-from quillframe.llm.wordhash import mix, span_hashes, word_spans
+from quillframe.llm.wordhash import distinct_spans, mix, word_spans
 
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more characters are walked.
+WIDEST = 48
 
 
 class Pieces:
@@ -60,26 +65,34 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def count_one(word: str, model: Pieces) -> tuple[float, int]:
-    """Score and number of tokens of one pre-token; for long ones, which share few prefixes."""
-    best = [(0.0, 0)]
-    for d in range(1, len(word) + 1):
-        n = len(word[d - 1].encode())
-        options = [(best[d - 1][0] + n * model.byte, best[d - 1][1] + n)]
-        for length in range(1, min(d, model.longest) + 1):
-            score = model.scores.get(word[d - length : d])
-            if score is not None:
-                options.append((best[d - length][0] + score, best[d - length][1] + 1))
-        best.append(max(options, key=lambda o: (o[0], -o[1])))
-    return best[-1]
-
-
-def count_distinct(words: list[str], model: Pieces, widest: int = 48) -> np.ndarray:
+def _walked(words: list[str], model: Pieces) -> Iterator[int]:
+    """Numbers of tokens of sorted words, walking the trie in depth: a node's forward score stays while words pass through it."""
+    # Scores and numbers of tokens along the path of the word before.
+    scores, counts, path = [0.0], [0], ""
+    for word in words:
+        shared = len(os.path.commonprefix([path, word]))
+        del scores[shared + 1 :], counts[shared + 1 :]
+        for d in range(shared + 1, len(word) + 1):
+            n = len(word[d - 1].encode())
+            best, tokens = scores[d - 1] + n * model.byte, counts[d - 1] + n
+            for size in range(1, min(d, model.longest) + 1):
+                score = model.scores.get(word[d - size : d])
+                if score is not None:
+                    score, number = score + scores[d - size], counts[d - size] + 1
+                    if score > best or (score == best and number < tokens):
+                        best, tokens = score, number
+            scores.append(best)
+            counts.append(tokens)
+        path = word
+        yield counts[-1]
+
+
+def count_distinct(words: list[str], model: Pieces, widest: int = WIDEST) -> np.ndarray:
     """Numbers of tokens of distinct pre-tokens, sharing work along common prefixes."""
     out = np.zeros(len(words), np.int64)
     short = [k for k, w in enumerate(words) if len(w) <= widest]
-    for k in (k for k, w in enumerate(words) if len(w) > widest):
-        out[k] = count_one(words[k], model)[1]
+    deep = sorted((k for k, w in enumerate(words) if len(w) > widest), key=words.__getitem__)
+    out[deep] = list(_walked([words[k] for k in deep], model))
     if not short:
         return out
     strings = np.array([words[k] for k in short])
@@ -127,13 +140,13 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens`` for every row; words are runs outside ``[\\x20\\x09-\\x0D]``.
 
     A null or blank text has no words and no tokens.  Repeated rows give repeated results, a null
-    ``doc_id`` is passed on, and other columns are ignored.
+    ``doc_id`` is passed on, other columns are ignored, and an empty table gives an empty result.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in (p for b in batches for p in text_pieces(b, 3 << 20)):
+        for batch in (p for b in batches for p in text_pieces(b, 2 << 20)):
             # A line break keeps the words of neighbouring texts apart.
             rows = texts(batch)
             data = np.frombuffer(b"\n".join(rows), np.uint8)
@@ -141,7 +154,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             edge = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in rows)]))
             counts = np.zeros(0, np.int64)
             if len(starts):
-                _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                first, inverse, _, _ = distinct_spans(data, starts, ends)
                 raw = data.tobytes()
                 counts = count_distinct([MARK + raw[a:z].decode() for a, z in zip(starts[first], ends[first], strict=True)], model)[inverse]
             total = np.concatenate([[0], np.cumsum(counts)])

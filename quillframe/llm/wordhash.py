@@ -1,46 +1,49 @@
-"""64-bit hashes of words and word windows, computed with numpy one document at a time.
+"""64-bit hashes of words, lines and word windows, computed with numpy one piece of text at a time.
 
-A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``.  A word's hash is a polynomial in its bytes
-modulo 2**64 followed by an avalanche step; equal words have equal hashes on every executor.
-Two different words or windows collide with a chance of about 2**-64.
+A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``.  A span is hashed eight bytes at a time, every
+step followed by an avalanche, so that no structure of the bytes can cancel out; a long span is
+hashed by BLAKE2.  Equal spans have equal hashes on every executor.  Two different spans
+collide with a chance of about 2**-64; hashes under two seeds are independent, so where equality
+decides a result, both are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = _U(0xD6E8FEB86659FD93)
+#: Spans of more bytes are hashed one by one.
+LONG = 128
 
-#: For each byte: is it white space, its value in the polynomial, and its ASCII lower case.
+#: For each byte: is it white space, and its ASCII lower case.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
-
-
-def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
-    """Powers 0..n-1 of ``base``, grown as needed and kept for the life of the worker."""
-    have = _powers[which]
-    if len(have) < n:
-        grown = np.full(max(n, 2 * len(have), 1 << 16), base, dtype=np.uint64)
-        grown[0] = 1
-        _powers[which] = have = np.cumprod(grown, dtype=np.uint64)
-    return have[:n]
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Avalanche step: spreads every input bit over the whole word."""
+    """Avalanche step: spreads every input bit over the whole word; no two inputs have the same result."""
     h = h ^ (h >> _U(32))
-    h = h * _STEP
-    h = h ^ (h >> _U(29))
-    h = h * _BASE
-    return h ^ (h >> _U(32))
+    h *= _STEP
+    h ^= h >> _U(29)
+    h *= _BASE
+    h ^= h >> _U(32)
+    return h
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each byte the number that its eight bytes from there on make; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +56,33 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of the byte spans ``data[start:end]``; spans may be of any kind (words, lines)."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * _power("up", _BASE, len(data)), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power("down", _INVERSE, len(data) + 1)[starts]
-    return mix(raw)
+    if len(starts) == 0:
+        return np.zeros(0, _U)
+    loads = eights(data)
+    length = ends - starts
+    first = loads[starts] & _KEEP[np.minimum(length, 8)]
+    out = mix(first ^ mix(length.astype(_U) + _U(seed << 40)))
+    rows = np.flatnonzero((length > 8) & (length <= LONG))
+    done = 8
+    while len(rows):
+        left = length[rows] - done
+        out[rows] = mix(out[rows] ^ (loads[starts[rows] + done] & _KEEP[np.minimum(left, 8)]))
+        rows, done = rows[left > 8], done + 8
+    salt = seed.to_bytes(8, "little")
+    for k in np.flatnonzero(length > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, salt=salt).digest(), "little")
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which span stands for each distinct one, the number of each span's own, and both hashes of all spans."""
+    one, other = span_hashes(data, starts, ends), span_hashes(data, starts, ends, 1)
+    _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+    if (other[first][inverse] != other).any():
+        _, first, inverse = np.unique(np.stack([one, other], axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, inverse, one, other
 
 
 def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
@@ -67,7 +91,7 @@ def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
     if lower:
         data = LOWER[data]
     starts, ends = word_spans(data)
-    return span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return span_hashes(data, starts, ends)
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:
@@ -77,7 +101,7 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n, _U(width), dtype=np.uint64)
     for k in range(width):
-        out = out * _STEP + words[k : k + n]
+        out = mix(out) + words[k : k + n]
     return mix(out)
 
 

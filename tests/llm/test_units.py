@@ -16,9 +16,10 @@ from tokenizers import Tokenizer
 
 from quillframe.llm import bpe, hostrules, langid, packing, pretokens, quality, unigram, warc
 from quillframe.llm.lyndon import suffix_arrays
-from quillframe.llm.minhash import linked_rows, matches_needed
+from quillframe.llm.common import forest, unused
+from quillframe.llm.minhash import Sets, matches_needed
 from quillframe.llm.repeats import merged
-from quillframe.llm.wordhash import shingle_set, word_hashes
+from quillframe.llm.wordhash import shingle_set, span_hashes, word_hashes
 
 ODD = [
     "", " ", "  a", "a  b\n\n c", "it's I'LL don't 'S 's'll", "'re're've''s ''", "a1b22c ³½ 12.5%", "日本語 中文", "é café", "x y z​ 　q",
@@ -106,11 +107,88 @@ def test_linked_rows_against_all_pairs():
     rng = random.Random(1)
     base = list(range(40))
     sets = [np.array(sorted(set(base) - set(rng.sample(base, rng.randrange(9))) | set(rng.sample(range(100, 140), rng.randrange(6)))), np.uint64) for _ in range(40)]
-    got = {frozenset((i, int(j))) for i, hits in linked_rows(sets, np.zeros(40, int), False, 85) for j in hits}
+    items = Sets([s.tobytes() for s in sets], 85)
+    got = {frozenset((i, int(j))) for i in range(40) for j in items.linked(i)}
     want = {frozenset((i, j)) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
     assert got == want
 
 
+def test_forest_asks_few_of_a_group_that_hangs_together():
+    rng = random.Random(3)
+    # One large part around a hub, a chain that leads out of it, and two small parts.
+    links = {(0, k) for k in range(1, 300)} | {(k, k + 1) for k in range(250, 320)} | {(330, 331), (340, 341)}
+    links |= {(a, b) for a in range(200) for b in range(a) if rng.random() < 0.5}
+    near = {k: np.array(sorted({b for a, b in links if a == k} | {a for a, b in links if b == k}), int) for k in range(360)}
+    asked = []
+
+    def linked(i):
+        asked.append(i)
+        return near[i]
+
+    root = list(range(360))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for edges in (forest(360, linked), links):
+        before, root = root, list(range(360))
+        for a, b in edges:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        root = [find(i) for i in range(360)]
+    assert before == root and len(set(asked)) == len(asked) < 120
+    assert forest(1, lambda i: np.zeros(0, int)) == []
+
+
+def test_unused_names():
+    assert unused(["a", "_Gone_id", "__gone_"], "gone_") == "___gone_"
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A string of n letters and its complement, which cancel out in polynomial hashes modulo 2**64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_hashes_of_strings_that_are_built_alike(ranks, n):
+    path, library = ranks
+    one, other = thue_morse(n)
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    hashes = span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert hashes[0] != hashes[1]
+    assert encoded([one + " " + other, other], path) == [library.encode_ordinary(t) for t in (one + " " + other, other)]
+    assert dict(zip(hostrules.MEASURES, hostrules.measure(f"{one}\n{other}\n{one}".encode()), strict=True))["n_dup_lines"] == 1
+    words = [f"{x}{k}" for x in (one, other) for k in range(3)]
+    assert len(shingle_set(" ".join(words[:5]).encode()) | shingle_set(" ".join(words[1:]).encode())) == 1
+    assert shingle_set(one.encode()) != shingle_set(other.encode())
+
+
+def test_byte_bpe_tells_spans_of_equal_hashes_apart(ranks, monkeypatch):
+    from quillframe.llm import wordhash
+
+    path, library = ranks
+    real = wordhash.span_hashes
+    monkeypatch.setattr(wordhash, "span_hashes", lambda data, a, z, seed=0: real(data, a, z, seed) & np.uint64(1) if seed == 0 else real(data, a, z, seed))
+    assert encoded(ODD, path) == [library.encode_ordinary(t) for t in ODD]
+
+
+def test_long_runs_in_little_time(ranks):
+    path, library = ranks
+    texts = ["x" * 60_000, "".join(random.Random(1).choices("abcdefg", k=40_000))]
+    assert encoded(texts, path) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_prior_of_hosts():
+    # Hosts of one document each: their rates differ by chance only.
+    mean, strength = hostrules.prior(1000, 1000, 300, 300.0, 1000)
+    assert mean == 0.3 and strength > 500
+    mean, strength = hostrules.prior(2, 200, 100, 90**2 / 100 + 10**2 / 100, 2 * 100**2)
+    assert mean == 0.5 and 1 <= strength < 2
+    assert hostrules.prior(0, 0, 0, 0, 0) == (0.0, 1e4)
+
+
 def test_matches_needed_leaves_few_misses():
     assert 1 <= matches_needed(32, 0.8) <= matches_needed(32, 0.85) <= 32
 
@@ -123,8 +201,21 @@ def test_measures():
 
 def test_unigram_counts_on_shared_prefixes():
     model = unigram.pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    words = ["▁the", "▁then", "▁thenceforth", "▁", "▁日本", "▁zzzzqqq", "▁" + "ab" * 60]
-    assert unigram.count_distinct(words, model).tolist() == [unigram.count_one(w, model)[1] for w in words]
+    words = ["▁the", "▁then", "▁thenceforth", "▁", "▁日本", "▁zzzzqqq", "▁" + "ab" * 60, "▁" + "ab" * 59 + "cd", "▁" + "ab" * 59 + "cdthen", "▁" + "日本語" * 40]
+    for widest in (2, 48, 200):
+        assert unigram.count_distinct(words, model, widest).tolist() == [best_split(w, model) for w in words]
+
+
+def best_split(word, model):
+    """Fewest tokens of the best segmentation, by trying every last piece of every prefix."""
+    best = {0: (0.0, 0)}
+    for end in range(1, len(word) + 1):
+        n = len(word[end - 1].encode())
+        ways = [(best[end - 1][0] + n * model.byte, -best[end - 1][1] - n)]
+        ways += [(best[a][0] + model.scores[word[a:end]], -best[a][1] - 1) for a in range(end) if word[a:end] in model.scores]
+        score, tokens = max(ways)
+        best[end] = (score, -tokens)
+    return best[len(word)][1]
 
 
 def test_warc_round_trip_of_one_stream():
