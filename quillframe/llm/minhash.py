@@ -9,10 +9,13 @@
    ``k - t + 1`` rarest coordinates of either.  Only these are joined; values held by one class,
    which are the rarest, can't join and are dropped, and with them most classes.
 4. Skip: within a posting list collisions are counted, and a class that already hangs together
-   with another one through counted collisions adds no second pair.  So a list of n classes
-   yields fewer than n pairs.  Long lists are split into pairs of blocks.
+   with most of the list through counted collisions is not asked for more.  So a list of n classes
+   yields fewer than n pairs.
 5. Within each family of classes that hang together, sets are compared whole, and only
-   pairs that reach the similarity are links.  Large families are split into pairs of blocks.
+   pairs that reach the similarity are links.
+6. Large lists and families are dealt to blocks.  A few hubs of the group visit all of its blocks;
+   members that are linked with the hub of most links need no further visit, and only the others visit
+   all blocks in turn.  No pair of members that could join two parts goes uncompared.
 """
 
 from __future__ import annotations
@@ -22,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import components, cut, forest, runs, small, text_pieces, texts
+from quillframe.llm.common import HUBS, components, cut, forest, runs, small, text_pieces, texts, unused
 from quillframe.llm.wordhash import mix, shingle_set
 
 COORDINATES = 32
 LIST_BLOCK = 1024
-FAMILY_BLOCK = 1 << 20
+FAMILY_BLOCK = 1 << 17
 
 
 def matches_needed(coordinates: int, similarity: float, miss: float = 2e-6) -> int:
@@ -56,6 +59,12 @@ def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarra
     return least
 
 
+def _numbers(sig: Column, coordinates: int) -> Column:
+    """The coordinates of a signature kept as bytes."""
+    digits = F.hex(sig)
+    return F.array(*(F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("long") for k in range(coordinates)))
+
+
 def sketches(docs: DataFrame, width: int = 5, coordinates: int = COORDINATES) -> DataFrame:
     """``(doc_id, n_shingles, fp, sig)`` for each row of ``(doc_id, text)``; empty sets have no signature."""
 
@@ -67,97 +76,114 @@ def sketches(docs: DataFrame, width: int = 5, coordinates: int = COORDINATES) ->
                 sizes.append(len(s))
                 if len(s):
                     fps.append(np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)]).tobytes())
-                    sigs.append(signature(s, coordinates).view(np.int32).tolist())
+                    sigs.append(signature(s, coordinates).tobytes())
                 else:
                     fps.append(None)
                     sigs.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
+
+    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, fp binary, sig binary")
+
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, fp binary, sig array<int>")
+class Signatures:
+    """Classes of a posting list, linked if they collide in enough coordinates."""
 
+    def __init__(self, items: list[bytes], needed: int):
+        self.sigs, self.needed = np.frombuffer(b"".join(items), np.uint32).reshape(len(items), -1), needed
 
-def _in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Deals rows of a group with ``n_blocks`` out to every pair of blocks that needs them."""
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)).alias("other")
-    rows = rows.select("*", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "n_blocks")
-    return rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+    def linked(self, k: int) -> np.ndarray:
+        hits = (self.sigs == self.sigs[k]).sum(axis=1) >= self.needed
+        hits[k] = False
+        return np.flatnonzero(hits)
 
 
-def _colliding(coordinates: int, needed: int):
-    """Counts collisions within posting lists; fewer pairs than list members come out."""
+class Sets:
+    """Classes of a family, linked if 100 * intersection >= percent * union of their sets.
 
-    def rows_of(sigs: np.ndarray, own: np.ndarray, cross: bool):
-        for k in range(len(sigs) - 1):
-            hits = (sigs[k + 1 :] == sigs[k]).sum(axis=1) >= needed
-            if cross:
-                hits &= own[k + 1 :] != own[k]
-            if hits.any():
-                yield k, np.flatnonzero(hits) + k + 1
+    One pass over the sets of like size for each that is asked.
+    """
+
+    def __init__(self, items: list[bytes], percent: int):
+        sets = [np.frombuffer(x, np.uint64) for x in items]
+        self.percent = percent
+        self.order = np.argsort([len(s) for s in sets], kind="stable")
+        self.place = np.argsort(self.order)
+        self.sizes = np.array([len(sets[k]) for k in self.order])
+        values, self.flat = np.unique(np.concatenate([sets[k] for k in self.order]), return_inverse=True)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.mark = np.zeros(len(values), np.int32)
+
+    def linked(self, k: int) -> np.ndarray:
+        x, at, size = int(self.place[k]), self.at, int(self.sizes[self.place[k]])
+        # Others are too small or too large.
+        low = int(np.searchsorted(self.sizes, -(-size * self.percent // 100), "left"))
+        high = int(np.searchsorted(self.sizes, size * 100 // self.percent, "right"))
+        own = self.flat[at[x] : at[x + 1]]
+        self.mark[own] = 1
+        inter = np.add.reduceat(self.mark[self.flat[at[low] : at[high]]], at[low:high] - at[low])
+        self.mark[own] = 0
+        hits = np.flatnonzero(100 * inter >= self.percent * (size + self.sizes[low:high] - inter)) + low
+        return self.order[hits[hits != x]]
+
+
+def _compared(rows: DataFrame, kind: type, bar: int, each: bool) -> DataFrame:
+    """Links within blocks, as ``(grp, a, b)``: where probes visit a block, theirs; else those of all members.
+
+    Spanning links come out, or, with ``each``, every one.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in runs(batches, ["token", "i", "j"]):
-            cids, own = table.column("cid").to_numpy(), table.column("own").to_numpy()
-            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-            sigs = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
-            out = []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if z - a > 1:
-                    out += [(cids[a + x], cids[a + y]) for x, y in forest(z - a, rows_of(sigs[a:z], own[a:z], i[a] != j[a]))]
-            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in runs(batches, ["grp", "block"]):
+            grp, cid, probe, whole = (table.column(c).to_numpy() for c in ("grp", "cid", "probe", "n_blocks"))
+            column, out = table.column("item"), []
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                asking = np.flatnonzero(probe[a:z])
+                if z - a < 2 or (whole[a] > 1 and len(asking) == 0):
+                    continue
+                items = kind(column.slice(a, z - a).to_pylist(), bar)
+                if each:
+                    found = [(i, int(j)) for i in asking.tolist() for j in items.linked(i)]
+                else:
+                    found = forest(z - a, items.linked, asking if whole[a] > 1 else None)
+                # A member that visits its own block meets itself there.
+                out += [(grp[a], cid[a + x], cid[a + y]) for x, y in found if cid[a + x] != cid[a + y]]
+            links = np.array(out, dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, k]) for k in range(3)], ["grp", "a", "b"])
 
-    return count
+    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(run, "grp long, a long, b long")
 
 
-def linked_rows(sets: list[np.ndarray], own: np.ndarray, cross: bool, percent: int):
-    """For each set, the later ones (by size) with 100 * intersection >= percent * union.
+def grouped_links(rows: DataFrame, kind: type, bar: int) -> DataFrame:
+    """``(a, b)``: links that join what hangs together in each group of ``(grp, cid, n_blocks, item)``.
 
-    One pass over the concatenated sets per set; sets too large to qualify are cut off by size.
+    A group with several blocks is compared in two rounds: all members with its hubs, then those that the main hub
+    is not linked with, with all members.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[k]) for k in order])
-    flat = np.concatenate([sets[k] for k in order])
-    values, flat = np.unique(flat, return_inverse=True)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(len(values), dtype=np.int32)
-    for x in range(len(order) - 1):
-        stop = int(np.searchsorted(sizes, sizes[x] * 100 // percent, "right"))
-        if stop <= x + 1:
-            continue
-        mark[flat[at[x] : at[x + 1]]] = 1
-        inter = np.add.reduceat(mark[flat[at[x + 1] : at[stop]]], at[x + 1 : stop] - at[x + 1])
-        mark[flat[at[x] : at[x + 1]]] = 0
-        hits = 100 * inter >= percent * (sizes[x] + sizes[x + 1 : stop] - inter)
-        if cross:
-            hits &= own[order[x + 1 : stop]] != own[order[x]]
-        if hits.any():
-            yield int(order[x]), order[np.flatnonzero(hits) + x + 1]
-
-
-def _confirmed(percent: int):
-    """Compares whole sets within families; spanning links come out."""
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in runs(batches, ["fam", "i", "j"]):
-            cids, own = table.column("cid").to_numpy(), table.column("own").to_numpy()
-            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-            column, out = table.column("shingles"), []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if z - a > 1:
-                    sets = [np.frombuffer(x, np.uint64) for x in column.slice(a, z - a).to_pylist()]
-                    out += [(cids[a + x], cids[a + y]) for x, y in forest(z - a, linked_rows(sets, own[a:z], i[a] != j[a], percent))]
-            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return confirm
+    own = F.pmod(F.xxhash64("cid"), F.col("n_blocks"))
+    rows = rows.select("grp", "cid", "n_blocks", "item", own.alias("block"), F.lit(0).alias("probe"))
+    large = rows.where("n_blocks > 1")
+    if large.isEmpty():
+        return _compared(rows, kind, bar, False).select("a", "b")
+
+    def visiting(members: DataFrame) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+        return members.select("grp", "cid", "n_blocks", "item", every.alias("block"), F.lit(1).alias("probe"))
+
+    # Up to HUBS rows for each group of several blocks.
+    hubs = cut(large.groupBy("grp", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(HUBS)).alias("slot")).agg(F.min("cid").alias("cid")).select("grp", "cid"))
+    near = cut(_compared(large.unionByName(visiting(large.join(hubs, ["grp", "cid"]))), kind, bar, True))
+    main = near.groupBy("grp", "a").count().groupBy("grp").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    main = small(cut(main))
+    held = near.join(main, ["grp", "a"]).select("grp", F.col("b").alias("cid")).unionByName(main.select("grp", F.col("a").alias("cid"))).distinct()
+    others = visiting(large.join(cut(held), ["grp", "cid"], "left_anti"))
+    return _compared(rows.unionByName(others), kind, bar, False).unionByName(near).select("a", "b")
 
 
 def _shingles(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in text_pieces(b)):
             sets = pa.array([shingle_set(t, width).tobytes() for t in texts(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "fam", "n_blocks")), sets], ["cid", "fam", "n_blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "cid", "n_blocks")), sets], ["grp", "cid", "n_blocks", "item"])
 
     return make
 
@@ -165,20 +191,20 @@ def _shingles(width: int):
 def links(docs: DataFrame, classes: DataFrame, percent: int, width: int, coordinates: int) -> DataFrame:
     """Spanning links ``(a, b)`` among classes ``(cid, n_shingles, sig)`` of ``docs``, each confirmed on whole sets."""
     needed = matches_needed(coordinates, percent / 100)
-    tokens = classes.select("cid", F.posexplode("sig")).select("cid", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
+    tokens = classes.select("cid", F.posexplode(_numbers(F.col("sig"), coordinates))).select("cid", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col")).alias("token"))
     shared = cut(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
     ranked = tokens.join(shared, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
     ranked = ranked.where(F.size("held") >= needed)
     posted = cut(ranked.select("cid", F.explode(F.slice("held", F.lit(1), F.size("held") - (needed - 1))).alias("h")).select("cid", "h.token"))
     lists = cut(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / LIST_BLOCK).alias("n_blocks")))
-    listed = posted.join(lists, "token").join(classes.select("cid", "sig"), "cid")
-    candidates = _in_blocks(listed, ["token"]).mapInArrow(_colliding(coordinates, needed), "a long, b long")
-    family = cut(components(candidates).withColumnsRenamed({"node": "cid", "component": "fam"}))
-    sized = family.join(classes.select("cid", "n_shingles"), "cid").groupBy("fam").agg(F.ceil(F.sum("n_shingles") / FAMILY_BLOCK).alias("n_blocks"))
-    members = cut(family.join(cut(sized), "fam"))
-    whole = docs.join(small(members), F.col("doc_id") == F.col("cid")).select("cid", "fam", "n_blocks", "text")
-    whole = whole.mapInArrow(_shingles(width), "cid long, fam long, n_blocks long, shingles binary")
-    return _in_blocks(whole, ["fam"]).mapInArrow(_confirmed(percent), "a long, b long")
+    listed = posted.join(lists, "token").join(classes.select("cid", F.col("sig").alias("item")), "cid").withColumnRenamed("token", "grp")
+    candidates = grouped_links(cut(listed.select("grp", "cid", "n_blocks", "item")), Signatures, needed)
+    family = cut(components(candidates).withColumnsRenamed({"node": "cid", "component": "grp"}))
+    sized = family.join(classes.select("cid", "n_shingles"), "cid").groupBy("grp").agg(F.ceil(F.sum("n_shingles") / FAMILY_BLOCK).alias("n_blocks"))
+    members = cut(family.join(cut(sized), "grp"))
+    whole = docs.join(small(members), F.col("doc_id") == F.col("cid")).select("grp", "cid", "n_blocks", "text")
+    whole = whole.mapInArrow(_shingles(width), "grp long, cid long, n_blocks long, item binary")
+    return grouped_links(cut(whole), Sets, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordinates: int = COORDINATES) -> DataFrame:
@@ -208,10 +234,12 @@ def keep_one(docs: DataFrame, percent: int = 85, width: int = 5, coordinates: in
     """The rows of ``docs`` without the near-duplicates of another one: of each group the least ``doc_id`` stays.
 
     Of rows that share a ``doc_id`` one stays.  Rows with a null ``doc_id``, and texts without words, stay.
+    Other columns are passed on, whatever their names; an empty table stays empty.
     """
+    name = unused(docs.columns, "gone_") + "id"
     found = cut(near_duplicates(docs, percent, width, coordinates).select("doc_id", "kept"))
-    gone = small(cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()))
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    gone = small(cut(found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()))
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     shared = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if shared.isEmpty():
         return rows
