@@ -1,7 +1,7 @@
 """Language identification by fusing evidence with Bayes' rule.
 
-1. Text.  Each language has a naive Bayes model over hashed byte trigrams, counted over all texts under
-   their declared language.  A flat model stands for "no language".
+1. Text.  Each declared language, however rare, has a naive Bayes model over hashed byte trigrams, counted
+   over all texts under their declared language.  A flat model stands for "no language".
 2. Prior.  What the texts alone say is counted per host, per parent domain and over all.  A host's
    prior is its counts with its domain's prior as pseudo-counts, and a domain's prior likewise
    with that of the whole.
@@ -13,7 +13,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.llm.common import cut, small, text_pieces, texts
+from quillframe.llm.common import cut, small, text_pieces, texts, unused
 
 BUCKETS = 1 << 13
-#: A language needs so many rows that declare it, or this share of those that declare one.
-LEAST_ROWS, LEAST_SHARE = 5, 0.001
 #: A text counts as no more than so many trigrams, as neighbouring ones are not independent.
 MOST_TRIGRAMS = 40
 #: Pseudo-counts: of a trigram, of a domain's prior in a host's, of the whole in a conditional table.
@@ -67,8 +66,8 @@ def trigrams(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tag(declared: Column) -> Column:
-    """The primary part of a language tag in lower case; null counts as ''."""
-    return F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^\s*([A-Za-z]*)", 1))
+    """The primary part of a language tag, two or three letters, in lower case; null or anything else counts as ''."""
+    return F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1))
 
 
 def evidence(docs: DataFrame, columns: Columns, prefix: str = "") -> dict[str, Column]:
@@ -101,14 +100,13 @@ class Model:
 def fitted(docs: DataFrame, columns: Columns) -> Model:
     """Counts the trigrams of all texts by declared language.
 
-    The languages are those that a few rows declare, however large the rest is; a rarer one is not told
-    apart.  Where none is declared, all texts are one language, named 'mul'.
+    The languages are all that a row declares; tags of two or three letters bound their number.
+    Where none is declared, all texts are one language, named 'mul'.
     """
     rows = docs.select(tag(F.col(columns.declared)).alias("declared"), F.col(columns.text).cast("string").alias("text"))
-    known = rows.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n"))
-    total = known.agg(F.sum("n")).first()[0] or 0
     # A row per language tag.
-    languages = sorted(r["declared"] for r in known.where(F.col("n") >= min(LEAST_ROWS, LEAST_SHARE * total)).collect()) or ["mul"]
+    known = sorted(r["declared"] for r in rows.where("declared <> ''").select("declared").distinct().collect())
+    languages = known or ["mul"]
     named = {name: k for k, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +114,7 @@ def fitted(docs: DataFrame, columns: Columns) -> Model:
         counts: dict[int, np.ndarray] = {}
         for batch in (p for b in batches for p in text_pieces(b)):
             bucket, n = trigrams(texts(batch))
-            label = np.array([named.get(x, -1) for x in batch.column("declared").to_pylist()] if total else [0] * batch.num_rows, np.int64)
+            label = np.array([named.get(x, -1) for x in batch.column("declared").to_pylist()] if known else [0] * batch.num_rows, np.int64)
             met, label = np.unique(np.repeat(label, n), return_inverse=True)
             found = np.bincount(label * BUCKETS + bucket, minlength=len(met) * BUCKETS).reshape(-1, BUCKETS)
             for k, row in zip(met.tolist(), found, strict=True):
@@ -127,10 +125,9 @@ def fitted(docs: DataFrame, columns: Columns) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used), pa.array(row[used])], ["label", "bucket", "n"])
 
     # At most one row per language and bucket.
-    found = rows.mapInArrow(count, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((len(languages), BUCKETS))
-    for r in found:
-        counts[r["label"], r["bucket"]] = r["n"]
+    found = rows.mapInArrow(count, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(languages), BUCKETS), np.float32)
+    counts[found.column("label").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return Model(languages, counts)
 
 
@@ -159,6 +156,11 @@ class Tables:
     whole: list[float]
 
 
+def _numbers(values: Iterable[float]) -> Column:
+    """An array of numbers, as one constant however many they are."""
+    return F.from_json(F.lit(json.dumps([float(x) for x in values])), "array<double>")
+
+
 def _shrunk(counts: Column, towards: Column, weight: float) -> Column:
     """Shares of counts with ``weight`` pseudo-counts spread as ``towards``."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + weight
@@ -170,22 +172,25 @@ def tables(rows: DataFrame, model: Model) -> Tables:
     width = len(model.languages)
     rows = cut(rows.groupBy("declared", "host", "parent", "suffix", "best").agg(F.count("*").cast("double").alias("n")))
     by = {}
+    places = F.sequence(F.lit(0), F.lit(width - 1))
     for key in ("host", "parent", "declared", "suffix"):
-        sums = rows.groupBy(key, *(["parent"] if key == "host" else [])).agg(*(F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(0.0)).alias(f"c{k}") for k in range(width)))
-        by[key] = sums.select(*sums.columns[: len(sums.columns) - width], F.array(*(f"c{k}" for k in range(width))).alias("counts"))
+        keys = [key, "parent"] if key == "host" else [key]
+        # At most one entry per language in each map.
+        sums = rows.groupBy(*keys, "best").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("found"))
+        by[key] = sums.select(*keys, F.transform(places, lambda k: F.coalesce(F.try_element_at("found", k), F.lit(0.0))).alias("counts"))
     found = rows.groupBy("best").agg(F.sum("n").alias("n")).collect()
     total = np.ones(width)
     for r in found:
         total[r["best"]] += r["n"]
-    whole = F.array(*(F.lit(float(x)) for x in total / total.sum()))
+    whole = _numbers(total / total.sum())
     log = lambda shares: F.transform(shares, lambda x: F.log(x))
     parents = cut(by["parent"].select("parent", _shrunk(F.col("counts"), whole, HOST_SMOOTH).alias("above")))
-    hosts = by["host"].join(small(parents), "parent").select("host", log(_shrunk(F.col("counts"), F.col("above"), HOST_SMOOTH)).alias("prior"))
+    hosts = by["host"].join(small(parents, 8 * width), "parent").select("host", log(_shrunk(F.col("counts"), F.col("above"), HOST_SMOOTH)).alias("prior"))
 
     def conditional(key: str) -> DataFrame:
         # P(key | language), smoothed towards P(key).
         mine = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x) / float(total.sum())
-        each = F.zip_with("counts", F.array(*(F.lit(float(x)) for x in total)), lambda c, n: F.log((c + TABLE_SMOOTH * mine) / (n + TABLE_SMOOTH)))
+        each = F.zip_with("counts", _numbers(total), lambda c, n: F.log((c + TABLE_SMOOTH * mine) / (n + TABLE_SMOOTH)))
         return cut(by[key].select(key, each.alias(f"given_{key}")))
 
     return Tables(cut(hosts), conditional("declared"), conditional("suffix"), [float(x) for x in np.log(total / total.sum())])
@@ -195,9 +200,10 @@ def fused(rows: DataFrame, found: Tables, model: Model, prefix: str = "") -> Dat
     """``rows`` with ``language``, ``confidence``, ``text_language`` and ``kept``, all under the prefix."""
     p = prefix
     for table, key, value in ((found.hosts, "host", "prior"), (found.declared, "declared", "given_declared"), (found.suffixes, "suffix", "given_suffix")):
-        rows = rows.join(small(table.select(F.col(key).alias(f"{p}key"), F.col(value).alias(f"{p}{value}"))), F.col(f"{p}{key}") == F.col(f"{p}key"), "left").drop(f"{p}key")
-    zero = F.array(*(F.lit(0.0) for _ in model.languages))
-    whole = F.array(*(F.lit(x) for x in found.whole))
+        table = table.select(F.col(key).alias(f"{p}key"), F.col(value).alias(f"{p}{value}"))
+        rows = rows.join(small(table, 8 * len(model.languages)), F.col(f"{p}{key}") == F.col(f"{p}key"), "left").drop(f"{p}key")
+    zero = F.array_repeat(F.lit(0.0), len(model.languages))
+    whole = _numbers(found.whole)
     total = F.col(f"{p}likelihoods")
     for value, default in (("prior", whole), ("given_declared", zero), ("given_suffix", zero)):
         total = F.zip_with(total, F.coalesce(F.col(f"{p}{value}"), default), lambda a, b: a + b)
@@ -233,18 +239,19 @@ def identified(docs: DataFrame, columns: Columns = Columns()) -> DataFrame:
     return out.select(F.col("id").alias(columns.id), "language", "confidence", "text_language", "declared", "kept")
 
 
-def keep_identified(docs: DataFrame, columns: Columns = Columns(), prefix: str = "_lang_") -> DataFrame:
+def keep_identified(docs: DataFrame, columns: Columns = Columns()) -> DataFrame:
     """The rows of ``docs`` that ``identified`` keeps, with their own columns only.
 
-    A text with letters whose declared language is too rare for a model stays as well.
+    Columns may have any names.  Null and empty texts, and those without letters, go; null declarations and hosts
+    add no evidence; repeated rows stay or go together; an empty table stays empty.
     """
+    prefix = unused(docs.columns, "lang_")
     model = fitted(docs, columns)
     rows = docs.select(*(c.alias(n) for n, c in evidence(docs, columns).items()), F.col(columns.text).cast("string").alias("text"))
     told = with_likelihoods(rows, model, "text", drop="text").where("trigrams > 0").select("declared", "host", "parent", "suffix", _best())
     found = tables(told, model)
     rows = with_likelihoods(docs.withColumns(evidence(docs, columns, prefix)), model, columns.text, prefix)
-    rare = (F.col(f"{prefix}declared") != "") & ~F.col(f"{prefix}declared").isin(model.languages) & (F.col(f"{prefix}trigrams") > 0)
-    return fused(rows, found, model, prefix).where(F.col(f"{prefix}kept") | rare).select(*docs.columns)
+    return fused(rows, found, model, prefix).where(F.col(f"{prefix}kept")).select(*docs.columns)
 
 
 def from_pages(pages: DataFrame) -> DataFrame:

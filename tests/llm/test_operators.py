@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillframe.llm import bpe, hostrules, langid, minhash, packing, quality, repeats, spotsigs, unigram, warc
 from quillframe.llm.common import components
 from tests.llm.conftest import prose
+from tests.llm.test_units import best_split, thue_morse
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,6 +68,30 @@ def test_near_duplicates(spark, percent, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_one_family_of_a_third_of_all_rows(spark, monkeypatch):
+    """Near copies of one text around a few hubs, with members that are linked through others only."""
+    monkeypatch.setattr(minhash, "LIST_BLOCK", 8)
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 600)
+    rng = random.Random(5)
+    base = prose(900, 80).split()
+    texts = [prose(k, rng.randrange(20, 80)) for k in range(120)]
+    for _ in range(60):
+        words = list(base)
+        words[rng.randrange(len(words))] = f"new{rng.randrange(30)}"
+        texts.append(" ".join(words))
+    # A chain that drifts away from the family, one word at a time.
+    words = list(base)
+    for k in range(12):
+        words[6 * k] = f"drift{k}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute_components(rows, 85)
+    assert max(sum(c == x for c in want.values()) for x in set(want.values())) >= 60
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     want = brute_components(rows, 85)
@@ -213,7 +238,7 @@ def test_unigram_counts(awkward, nothing):
     assert got == sorted(((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in awkward.collect()), key=str)
     model = unigram.pieces(unigram.public_tokenizers.path("piece_bpe_32k.model"))
     for r in unigram.token_counts(awkward.where("doc_id in (3, 5, 12)")).join(awkward.select("doc_id", "text").distinct(), "doc_id").collect():
-        assert r["n_tokens"] == sum(unigram.count_one(unigram.MARK + w, model)[1] for w in WORD.findall(r["text"]))
+        assert r["n_tokens"] == sum(best_split(unigram.MARK + w, model) for w in WORD.findall(r["text"]))
     assert unigram.token_counts(nothing).count() == 0
 
 
@@ -292,6 +317,25 @@ def test_repeats_awkward(awkward, nothing):
     assert repeats.digests(nothing).count() == 0 and repeats.without_repeats(nothing).count() == 0
 
 
+def test_repeats_of_strings_that_are_built_alike(spark):
+    one, other = thue_morse(1024)
+    docs = [one, other, one[:300] + "x" * 250 + other[700:], thue_morse(4096)[0][1500:2100]]
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.digests(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect())
+    assert got == brute_cuts([t.encode() for t in docs], 200)
+
+
+def test_clashing_names(spark):
+    """Columns named like the helpers' own stay as they are."""
+    names = ["_gone_id", "_GONE_ID", "_cut_id", "_cut_fp", "_cut_spans", "_rule_n_words", "_rule_kept", "_lang_host", "_lang_likelihoods"]
+    rows = [(k, prose(k % 7, 60), "en", f"s{k % 2}", *range(len(names) - 1)) for k in range(20)]
+    names.remove("_GONE_ID")
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    for stage in (minhash.keep_one, repeats.without_repeats, hostrules.keep_good, langid.keep_identified):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert out.count() and all([r[n] for n in names] == list(range(len(names))) for r in out.collect()), stage.__name__
+
+
 def test_language(spark, awkward, nothing):
     english = "the man and the house of the people that he was with for all of his days".split()
     german = "der mann und das haus von den leuten die er mit allen seinen tagen nicht sah".split()
@@ -316,7 +360,7 @@ def test_rare_languages_are_kept(spark):
     common = {"en": "the man and house of people that he was with for all his days".split(), "de": "der mann und das haus von den leuten die er mit allen seinen tagen".split()}
     greek = "ο άνθρωπος και το σπίτι των ανθρώπων που ήταν με όλες τις μέρες του".split()
     rows = [(k, " ".join(rng.choices(common[lang], k=8)), lang, lang) for k in range(9000) for lang in [("en", "de")[k % 2]]]
-    # 0.07 % of the rows, and one row of its own.
+    # 0.07 % of the rows, and single rows.
     rows += [(9000 + k, " ".join(rng.choices(greek, k=12)), "el", "en") for k in range(6)]
     rows += [(9100, "კაცი და სახლი ხალხის რომელიც იყო ყველა დღეს", "ka", "en"), (9101, "12 34 !!", "kk", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -326,6 +370,20 @@ def test_rare_languages_are_kept(spark):
     assert kept == set(range(9006)) | {9100}
 
 
+def test_many_languages(spark):
+    """200 languages, ten of them with one row in 10,000."""
+    rng = random.Random(8)
+    alphabet = [chr(c) for c in range(0x61, 0x7B)]
+    words = {k: ["".join(rng.choices(alphabet, weights=[rng.random() ** 4 + 0.001 for _ in alphabet], k=rng.randrange(2, 8))) for _ in range(60)] for k in range(200)}
+    tag = lambda k: alphabet[k // 26] + alphabet[k % 26]
+    rows = [(k, k % 190) for k in range(9990)] + [(9990 + k, 190 + k) for k in range(10)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words[k], k=40)), tag(k), f"h{k % 30}.example.org") for i, k in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in langid.identified(df).collect()}
+    assert sum(got[i]["language"] == tag(k) and got[i]["kept"] for i, k in rows) >= 0.99 * len(rows)
+    assert all(got[i]["kept"] for i, k in rows[9990:])
+    assert langid.keep_identified(df).where("doc_id >= 9990").count() == 10
+
+
 def test_pages_as_evidence(spark):
     page = '<!DOCTYPE html><html lang="de"><style>x{}</style><body><script>var s="</p>";</script><p>Haus &amp; Hof</p><!-- c --></body></html>'
     row = langid.from_pages(spark.createDataFrame([(1, "https://user@a.Example.de:8080/x", page), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()
