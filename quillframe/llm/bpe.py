@@ -79,9 +79,9 @@ def _merge_rows(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> np.
     """
     rows, width = symbols.shape
     place = np.arange(width)
-    following = np.where(place + 1 < lengths[:, None], place + 1, width)
-    before = np.broadcast_to(place - 1, (rows, width)).copy()
-    # One column more on the right stands for "no symbol".
+    # Rows lie one after another; in ``live`` one column more on the right stands for "no symbol".
+    following = np.where(place + 1 < lengths[:, None], place + 1, width).ravel()
+    before = np.tile(place - 1, rows)
     live = np.concatenate([symbols, np.full((rows, 1), -1, np.int64)], axis=1)
     tree = np.full((rows, 2 * width), _NONE, dtype=np.int64)
     ranks, _ = merges.of(live[:, :-1], live[:, 1:])
@@ -90,30 +90,36 @@ def _merge_rows(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> np.
     while level > 1:
         level //= 2
         tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
-    active = np.flatnonzero(tree[:, 1] < _NONE)
+    live, tree = live.ravel(), tree.ravel()
+    active = np.flatnonzero(tree[1 :: 2 * width] < _NONE)
     while len(active):
-        here = tree[active, 1] % width
-        dead = following[active, here]
-        _, live[active, here] = merges.of(live[active, here], live[active, dead])
-        live[active, dead] = -1
-        right = following[active, dead]
-        following[active, here] = right
+        own, symbol, root = active * width, active * (width + 1), active * (2 * width)
+        here = tree[root + 1] & (width - 1)
+        dead = following[own + here]
+        _, merged = merges.of(live[symbol + here], live[symbol + dead])
+        merged = merged.astype(np.int64)
+        live[symbol + here] = merged
+        live[symbol + dead] = -1
+        right = following[own + dead]
+        following[own + here] = right
         inner = right < width
-        before[active[inner], right[inner]] = here[inner]
-        left = before[active, here]
-        rank, _ = merges.of(live[active, here], live[active, right])
-        tree[active, width + here] = np.where(rank < _NONE, rank * width + here, _NONE)
-        tree[active, width + dead] = _NONE
-        some = left >= 0
-        rank, _ = merges.of(live[active[some], left[some]], live[active[some], here[some]])
-        tree[active[some], width + left[some]] = np.where(rank < _NONE, rank * width + left[some], _NONE)
-        row = np.concatenate([active, active, active[some]])
-        node = width + np.concatenate([here, dead, left[some]])
+        before[(own + right)[inner]] = here[inner]
+        left = before[own + here]
+        some = np.flatnonzero(left >= 0)
+        # The merged symbol with its right neighbour, and its left neighbour with it.
+        rank, _ = merges.of(np.concatenate([merged, live[(symbol + left)[some]]]), np.concatenate([live[symbol + right], merged[some]]))
+        at = np.concatenate([here, left[some]])
+        value = np.where(rank < _NONE, rank * width + at, _NONE)
+        node = width + np.concatenate([at, dead])
+        base = np.concatenate([root, root[some], root])
+        tree[(base + node)[: len(at)]] = value
+        tree[(base + node)[len(at) :]] = _NONE
         while node[0] > 1:
-            node = node // 2
-            tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
-        active = active[tree[active, 1] < _NONE]
-    return live[:, :-1]
+            node >>= 1
+            below = base + 2 * node
+            tree[base + node] = np.minimum(tree[below], tree[below + 1])
+        active = active[tree[root + 1] < _NONE]
+    return live.reshape(rows, width + 1)[:, :-1]
 
 
 def _merge_one(symbols: np.ndarray, merges: Merges) -> list[int]:

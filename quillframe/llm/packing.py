@@ -37,6 +37,7 @@ SHARD_TOKENS = 1_500_000
 #: Terms by which a document is compared, those under which it is listed, and documents of a list that meet.
 RARE, POSTED, LIST_BLOCK = 16, 8, 256
 K1, B = 1.2, 0.75
+COMMON = 8
 _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 
@@ -50,6 +51,8 @@ def token_ids(texts: list[str], encoder: SpanEncoder) -> list[np.ndarray]:
     """Ids of each text, followed by END."""
     data, starts, ends, per_text = split_words([normal(t) for t in texts])
     ids, counts = encoder(data, starts, ends)
+    if len(ids) and int(ids.max()) >= 1 << 16:
+        raise ValueError("the vocabulary has more than 65,536 ids")
     edge = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_text)])]
     return [np.append(ids[a:z], END).astype("<u2") for a, z in zip(edge[:-1], edge[1:], strict=True)]
 
@@ -60,7 +63,7 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, n = SpanEncoder(word_merges(path)), TaskContext.get().partitionId(), 0
-        for batch in (p for b in batches for p in text_pieces(b, 3 << 20)):
+        for batch in (p for b in batches for p in text_pieces(b, 2 << 20)):
             ids = token_ids([t or "" for t in batch.column("text").to_pylist()], encoder)
             deal = (np.int64(task) << np.int64(36)) + np.arange(n, n + len(ids))
             n += len(ids)
@@ -180,7 +183,10 @@ def by_content(pool: DataFrame, idf: np.ndarray, shard_tokens: int) -> DataFrame
 
 
 class Index:
-    """BM25 weights of a shard's documents, by document and by term."""
+    """BM25 weights of a shard's documents, by document and by term.
+
+    The list of a term that one document in ``COMMON`` holds is a row of weights of all documents.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         length = np.array([len(d) for d in docs])
@@ -191,16 +197,25 @@ class Index:
         norm = K1 * (1 - B + B * length / mean_length)
         weight = idf[self.term] * times * (K1 + 1) / (times + norm[self.doc])
         self.by_doc = np.searchsorted(self.doc, np.arange(len(docs) + 1))
-        order = np.argsort(self.term, kind="stable")
+        order = np.argsort(self.term.astype(np.uint16), kind="stable")
         self.posted, self.weight = self.doc[order], weight[order]
         self.by_term = np.searchsorted(self.term[order], np.arange((1 << 16) + 1))
         self.n = len(docs)
+        size = np.diff(self.by_term)
+        common = np.flatnonzero(size * COMMON > self.n)
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n))
+        at = ragged(self.by_term[common], size[common])
+        self.rows[np.repeat(np.arange(len(common)), size[common]), self.posted[at]] = self.weight[at]
 
     def scores(self, doc: int) -> np.ndarray:
         """Scores of all documents of the shard for the terms of one."""
         terms = self.term[self.by_doc[doc] : self.by_doc[doc + 1]]
+        rows = self.row[terms]
+        terms = terms[rows < 0]
         at = ragged(self.by_term[terms], self.by_term[terms + 1] - self.by_term[terms])
-        return np.bincount(self.posted[at], self.weight[at], self.n)
+        return self.rows[rows[rows >= 0]].sum(axis=0) + np.bincount(self.posted[at], self.weight[at], self.n)
 
 
 def fill(lengths: np.ndarray, index: Index, window: int) -> Iterator[list[tuple[int, int, int]]]:
