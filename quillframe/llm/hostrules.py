@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.llm.common import cut, small, text_pieces, texts, unused
-from quillframe.llm.wordhash import IS_SPACE, span_hashes, windows, word_spans
+from quillframe.llm.wordhash import IS_SPACE, joined, span_hashes, windows, word_spans
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted"]
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -43,40 +43,55 @@ MIN_WORDS = 10
 MAX_REPEATS = 20
 
 
-def measure(text: bytes) -> list[int]:
-    """The measures of one text; zeros for an empty one."""
-    data = np.frombuffer(text, np.uint8)
+def _alike(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of those that share a text and a hash with another one, group by group, and each one's group."""
+    order = np.lexsort((hashes, text))
+    same = (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])
+    shared = np.append(same, False) | np.append(False, same)
+    group = np.cumsum(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
+    return order[shared], group[shared]
+
+
+def measures(rows: list[bytes]) -> np.ndarray:
+    """The measures of texts, one row for each; zeros for an empty one."""
+    data, edges = joined(rows)
     starts, ends = word_spans(data)
+    n = len(rows)
+    out = np.zeros((n, len(MEASURES)), np.int64)
     if len(starts) == 0:
-        return [0] * len(MEASURES)
-    chars = int(((data & 0xC0) != 0x80).sum() - IS_SPACE[data].sum())
+        return out
+    text = np.searchsorted(edges, starts, "right") - 1
+    per = lambda rows_of, weights=None: np.bincount(rows_of, weights, n)
+    total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[np.minimum(edges, len(data))])
+    out[:, 0] = per(text)
+    out[:, 1] = total(((data & 0xC0) != 0x80) & ~IS_SPACE[data])
+    out[:, 2] = total(_SYMBOL[data])
     breaks = np.flatnonzero(data == 10)
     begin, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
     filled = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end = begin[filled], end[filled]
-    lines = span_hashes(data, begin, end)
-    _, inverse, counts = np.unique(lines, return_inverse=True, return_counts=True)
-    alike = np.flatnonzero(counts[inverse] > 1)
-    # Lines of equal hashes are compared whole.
-    dup_lines = len(alike) - len({text[begin[k] : end[k]] for k in alike})
-    hashes = span_hashes(data, starts, ends)
-    repeated = 0
-    if len(hashes) >= 5:
-        _, inverse, counts = np.unique(windows(hashes, 5), return_inverse=True, return_counts=True)
-        again = np.flatnonzero(counts[inverse] > 1)
-        if len(again):
+    line = np.searchsorted(edges, begin, "right") - 1
+    out[:, 3] = per(line)
+    at, group = _alike(line, span_hashes(data, begin, end))
+    # Lines of equal hashes are compared whole; the first of its kind is no repeat.
+    raw, met = data.tobytes(), set()
+    for k, g in zip(at.tolist(), group.tolist(), strict=True):
+        key = (g, raw[begin[k] : end[k]])
+        out[line[k], 4] += key in met
+        met.add(key)
+    if len(starts) >= 5:
+        whole = np.flatnonzero(text[4:] == text[:-4])
+        at, group = _alike(text[whole], windows(span_hashes(data, starts, ends), 5)[whole])
+        if len(at):
             # Windows of equal hashes must be equal under a second, independent hash.
-            pairs = np.stack([inverse[again].astype(np.uint64), windows(span_hashes(data, starts, ends, 1), 5)[again]], axis=1)
-            _, inverse, counts = np.unique(pairs, axis=0, return_inverse=True, return_counts=True)
-            again = again[counts[inverse] > 1]
-            step = np.zeros(len(hashes) + 1, np.int32)
-            step[again] += 1
-            step[again + 5] -= 1
-            repeated = int((np.cumsum(step)[:-1] > 0).sum())
+            at = whole[at]
+            at = at[_alike(group, windows(span_hashes(data, starts, ends, 1), 5)[at])[0]]
+        step = np.bincount(at, minlength=len(starts) + 5) - np.bincount(at + 5, minlength=len(starts) + 5)
+        out[:, 5] = per(text, np.cumsum(step)[: len(starts)] > 0)
     upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
     lower = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
-    shouted = int(((upper[ends] - upper[starts] > 1) & (lower[ends] == lower[starts])).sum())
-    return [len(starts), chars, int(_SYMBOL[data].sum()), len(lines), dup_lines, repeated, shouted]
+    out[:, 6] = per(text, (upper[ends] - upper[starts] > 1) & (lower[ends] == lower[starts]))
+    return out
 
 
 def measured(docs: DataFrame, prefix: str = "") -> DataFrame:
@@ -85,7 +100,7 @@ def measured(docs: DataFrame, prefix: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in text_pieces(b)):
-            rows = np.array([measure(t) for t in texts(batch)], dtype=np.int64).reshape(-1, len(MEASURES))
+            rows = measures(texts(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in rows.T)], [*names, *(prefix + m for m in MEASURES)])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(prefix + m, T.LongType()) for m in MEASURES)]))

@@ -13,8 +13,8 @@
    yields fewer than n pairs.
 5. Within each family of classes that hang together, sets are compared whole, and only
    pairs that reach the similarity are links.
-6. Large lists and families are dealt to blocks.  A few hubs of the group visit all of its blocks;
-   members that are linked with the hub of most links need no further visit, and only the others visit
+6. Large lists and families are dealt to blocks.  A few hubs of the group visit all of its blocks.
+   What hangs together by then, in its largest part, needs no further visit, and only the others visit
    all blocks in turn.  No pair of members that could join two parts goes uncompared.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import HUBS, components, cut, forest, runs, small, text_pieces, texts, unused
-from quillframe.llm.wordhash import mix, shingle_set
+from quillframe.llm.wordhash import mix, shingle_sets
 
 COORDINATES = 32
 LIST_BLOCK = 1024
@@ -71,8 +71,7 @@ def sketches(docs: DataFrame, width: int = 5, coordinates: int = COORDINATES) ->
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in text_pieces(b)):
             sizes, fps, sigs = [], [], []
-            for text in texts(batch):
-                s = shingle_set(text, width)
+            for s in shingle_sets(texts(batch), width):
                 sizes.append(len(s))
                 if len(s):
                     fps.append(np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)]).tobytes())
@@ -126,44 +125,38 @@ class Sets:
         return self.order[hits[hits != x]]
 
 
-def _compared(rows: DataFrame, kind: type, bar: int, each: bool) -> DataFrame:
-    """Links within blocks, as ``(grp, a, b)``: where probes visit a block, theirs; else those of all members.
-
-    Spanning links come out, or, with ``each``, every one.
-    """
+def _compared(rows: DataFrame, kind: type, bar: int) -> DataFrame:
+    """Links ``(a, b)`` that join what hangs together in each block: where probes visit a block, theirs; else those of all members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in runs(batches, ["grp", "block"]):
-            grp, cid, probe, whole = (table.column(c).to_numpy() for c in ("grp", "cid", "probe", "n_blocks"))
+            cid, probe, whole = (table.column(c).to_numpy() for c in ("cid", "probe", "n_blocks"))
             column, out = table.column("item"), []
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 asking = np.flatnonzero(probe[a:z])
                 if z - a < 2 or (whole[a] > 1 and len(asking) == 0):
                     continue
                 items = kind(column.slice(a, z - a).to_pylist(), bar)
-                if each:
-                    found = [(i, int(j)) for i in asking.tolist() for j in items.linked(i)]
-                else:
-                    found = forest(z - a, items.linked, asking if whole[a] > 1 else None)
+                found = forest(z - a, items.linked, asking if whole[a] > 1 else None)
                 # A member that visits its own block meets itself there.
-                out += [(grp[a], cid[a + x], cid[a + y]) for x, y in found if cid[a + x] != cid[a + y]]
-            links = np.array(out, dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, k]) for k in range(3)], ["grp", "a", "b"])
+                out += [(cid[a + x], cid[a + y]) for x, y in found if cid[a + x] != cid[a + y]]
+            links = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
-    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(run, "grp long, a long, b long")
+    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(run, "a long, b long")
 
 
 def grouped_links(rows: DataFrame, kind: type, bar: int) -> DataFrame:
     """``(a, b)``: links that join what hangs together in each group of ``(grp, cid, n_blocks, item)``.
 
-    A group with several blocks is compared in two rounds: all members with its hubs, then those that the main hub
-    is not linked with, with all members.
+    A group with several blocks is compared in two rounds: all members with its hubs, then those that are not in
+    its largest part by then, with all members.
     """
     own = F.pmod(F.xxhash64("cid"), F.col("n_blocks"))
     rows = rows.select("grp", "cid", "n_blocks", "item", own.alias("block"), F.lit(0).alias("probe"))
     large = rows.where("n_blocks > 1")
     if large.isEmpty():
-        return _compared(rows, kind, bar, False).select("a", "b")
+        return _compared(rows, kind, bar)
 
     def visiting(members: DataFrame) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
@@ -171,18 +164,19 @@ def grouped_links(rows: DataFrame, kind: type, bar: int) -> DataFrame:
 
     # Up to HUBS rows for each group of several blocks.
     hubs = cut(large.groupBy("grp", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(HUBS)).alias("slot")).agg(F.min("cid").alias("cid")).select("grp", "cid"))
-    near = cut(_compared(large.unionByName(visiting(large.join(hubs, ["grp", "cid"]))), kind, bar, True))
-    main = near.groupBy("grp", "a").count().groupBy("grp").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
-    main = small(cut(main))
-    held = near.join(main, ["grp", "a"]).select("grp", F.col("b").alias("cid")).unionByName(main.select("grp", F.col("a").alias("cid"))).distinct()
-    others = visiting(large.join(cut(held), ["grp", "cid"], "left_anti"))
-    return _compared(rows.unionByName(others), kind, bar, False).unionByName(near).select("a", "b")
+    near = cut(_compared(large.unionByName(visiting(large.join(small(hubs), ["grp", "cid"]))), kind, bar))
+    parts = components(near).withColumnsRenamed({"node": "cid", "component": "part"})
+    placed = cut(large.select("grp", "cid").join(parts, "cid", "left").select("grp", "cid", F.coalesce("part", "cid").alias("part")))
+    main = placed.groupBy("grp", "part").count().groupBy("grp").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("main"))
+    apart = cut(placed.join(small(cut(main)), "grp").where("part <> main").select("grp", "cid"))
+    others = visiting(large.join(small(apart), ["grp", "cid"], "left_semi"))
+    return _compared(rows.unionByName(others), kind, bar).unionByName(near)
 
 
 def _shingles(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in text_pieces(b)):
-            sets = pa.array([shingle_set(t, width).tobytes() for t in texts(batch)], pa.binary())
+            sets = pa.array([s.tobytes() for s in shingle_sets(texts(batch), width)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "cid", "n_blocks")), sets], ["grp", "cid", "n_blocks", "item"])
 
     return make

@@ -10,6 +10,7 @@ decides a result, both are compared.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -105,13 +106,29 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes of a document in ASCII lower case.
+def joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, a line end between them, and each text's start, with one more at the end."""
+    return np.frombuffer(b"\n".join(rows), np.uint8), np.cumsum([0, *(len(r) + 1 for r in rows)])
+
+
+def shingle_sets(rows: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
+    """For each document its sorted distinct shingle hashes in ASCII lower case.
 
     A document with fewer than ``width`` words has its whole word sequence as the only shingle;
     one without words, or null, has none.
     """
-    words = word_hashes(text or b"", lower=True)
-    if len(words) == 0:
-        return words
-    return np.unique(windows(words, min(width, len(words))))
+    data, edges = joined(rows)
+    data = LOWER[data]
+    starts, ends = word_spans(data)
+    words = span_hashes(data, starts, ends)
+    all_windows = windows(words, width)
+    at = np.searchsorted(starts, edges).tolist()
+    for a, z in zip(at[:-1], at[1:], strict=True):
+        if z - a >= width:
+            yield np.unique(all_windows[a : z - width + 1])
+        else:
+            yield windows(words[a:z], z - a) if z > a else words[:0]
+
+
+def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
+    return next(shingle_sets([text or b""], width))

@@ -159,7 +159,7 @@ def test_hashes_of_strings_that_are_built_alike(ranks, n):
     hashes = span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
     assert hashes[0] != hashes[1]
     assert encoded([one + " " + other, other], path) == [library.encode_ordinary(t) for t in (one + " " + other, other)]
-    assert dict(zip(hostrules.MEASURES, hostrules.measure(f"{one}\n{other}\n{one}".encode()), strict=True))["n_dup_lines"] == 1
+    assert dict(zip(hostrules.MEASURES, hostrules.measures([f"{one}\n{other}\n{one}".encode()])[0].tolist(), strict=True))["n_dup_lines"] == 1
     words = [f"{x}{k}" for x in (one, other) for k in range(3)]
     assert len(shingle_set(" ".join(words[:5]).encode()) | shingle_set(" ".join(words[1:]).encode())) == 1
     assert shingle_set(one.encode()) != shingle_set(other.encode())
@@ -195,8 +195,9 @@ def test_matches_needed_leaves_few_misses():
 
 def test_measures():
     text = "a b c d e\na b c d e\n\n#x|\n"
-    assert dict(zip(hostrules.MEASURES, hostrules.measure(text.encode()), strict=True)) == {"n_words": 11, "word_chars": 13, "n_symbols": 2, "n_lines": 3, "n_dup_lines": 1, "n_repeat_words": 10, "n_shouted": 0}
-    assert hostrules.measure(b"") == [0] * 7 and hostrules.measure("é éé".encode())[:2] == [2, 3]
+    assert dict(zip(hostrules.MEASURES, hostrules.measures([text.encode()])[0].tolist(), strict=True)) == {"n_words": 11, "word_chars": 13, "n_symbols": 2, "n_lines": 3, "n_dup_lines": 1, "n_repeat_words": 10, "n_shouted": 0}
+    assert hostrules.measures([b"", "é éé".encode(), b"\n", b"a"])[:, :2].tolist() == [[0, 0], [2, 3], [0, 0], [1, 1]]
+    assert hostrules.measures([]).shape == (0, 7) and not hostrules.measures([b""]).any()
 
 
 def test_unigram_counts_on_shared_prefixes():
