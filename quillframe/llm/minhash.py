@@ -32,7 +32,7 @@ from quillframe.llm.common import HUBS, components, cut, forest, runs, small, te
 from quillframe.llm.wordhash import mix, shingle_sets
 
 COORDINATES = 32
-LIST_BLOCK = 1024
+LIST_BLOCK = 256
 FAMILY_BLOCK = 1 << 17
 
 
