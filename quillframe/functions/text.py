@@ -17,7 +17,7 @@ _INVALID = r'[<>:"/\\|?*\x00-\x1f]'
 _SYMBOLS = r"[*\u2000-\u206f℀-⅏←-⏿─-╿■-⟯⦀-⫿]"
 _RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"COM{k}" for k in range(1, 10)), *(f"LPT{k}" for k in range(1, 10))]
 
-# Phrases of promotional lines, taken as plain text, whatever signs they hold.
+# Patterns of promotional lines, whatever their case.
 PROMOTIONS = [
     r"innread\.com", r"bednovel\.com", r"innnovel\.com", r"libread\.com", r"libread\.org",
     "Please keep reading on", "Keep reading on", "Follow current novels on", "Search .+ on google",
@@ -82,12 +82,9 @@ def simple_filename(c: Column | str, default: str = "story") -> Column:
 
 
 def without_promotions(c: Column | str, extra: tuple[str, ...] = ()) -> Column:
-    """Lines without blank and promotional ones, an empty line between them."""
-    phrases = [p.lower() for p in (*PROMOTIONS, *extra)]
-    kept = F.filter(
-        F.transform(F.split(F.replace(text(c), F.lit("\r\n"), F.lit("\n")), "\n"), strip),
-        lambda line: (line != "") & ~reduce(lambda a, b: a | b, [F.contains(F.lower(line), F.lit(p)) for p in phrases]),
-    )
+    """Lines without blank and promotional ones, an empty line between them; ``extra`` are phrases taken as plain text."""
+    pattern = "(?i)" + "|".join([*PROMOTIONS, *("\\Q" + p + "\\E" for p in extra)])
+    kept = F.filter(F.transform(F.split(F.replace(text(c), F.lit("\r\n"), F.lit("\n")), "\n"), strip), lambda line: (line != "") & ~F.rlike(line, F.lit(pattern)))
     return F.array_join(kept, "\n\n")
 
 
@@ -252,6 +249,32 @@ def chunks(c: Column | str, most: int = 1000) -> Column:
     return F.aggregate(sentences(text(c)), done, step, lambda a: F.when(a["open"] != "", F.array_append(a["out"], a["open"])).otherwise(a["out"]))
 
 
+def split_to(c: Column | str, most: int) -> Column:
+    """A text halved in the middle of its words again and again, until no part has more than ``most`` characters or two words.
+
+    Halving a number of words k times gives parts of sizes that differ by one at most; they are cut at once.
+    """
+    s = text(c)
+    w = words(s)
+    n = F.size(w)
+
+    def halved(parts: Column) -> Column:
+        def each(p: Column) -> Column:
+            size = p["end"] - p["start"]
+            middle = p["start"] + F.floor(size / 2).cast("int")
+            long = F.length(F.array_join(F.slice(w, p["start"] + 1, size), " ")) > most
+            struct = lambda a, z: F.struct(a.alias("start"), z.alias("end"))
+            return F.when(long & (size > 1), F.array(struct(p["start"], middle), struct(middle, p["end"]))).otherwise(F.array(struct(p["start"], p["end"])))
+
+        return F.flatten(F.transform(parts, each))
+
+    # Each round halves what is too long, so the number of words bounds the rounds.
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(1)))) + 1).cast("int"))
+    parts = F.aggregate(rounds, whole, lambda a, _: halved(a))
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(parts, lambda p: F.array_join(F.slice(w, p["start"] + 1, p["end"] - p["start"]), " ")))
+
+
 def halves(c: Column | str) -> Column:
     """A text that is to be split once: by chunks of half its length, or else in the middle of its words."""
     s = text(c)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.operators.helpers import unused
+
 
 def present(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``left`` whose key is in ``right``."""
@@ -27,15 +29,15 @@ def compared(left: DataFrame, right: DataFrame, on: list[str], same: Column, lab
     Other columns than the keys must have different names on the two sides; ``same`` says whether a
     matched pair agrees (null counts as no).
     """
-    l, r = left.withColumn("_in_left", F.lit(True)), right.withColumn("_in_right", F.lit(True))  # noqa: E741
-    both = l.join(r, on, "full")
+    in_left, in_right = unused("_in_left", left, right), unused("_in_right", left, right)
+    both = left.withColumn(in_left, F.lit(True)).join(right.withColumn(in_right, F.lit(True)), on, "full")
     outcome = (
-        F.when(F.col("_in_right").isNull(), labels[2])
-        .when(F.col("_in_left").isNull(), labels[3])
+        F.when(F.col(in_right).isNull(), labels[2])
+        .when(F.col(in_left).isNull(), labels[3])
         .when(F.coalesce(same, F.lit(False)), labels[0])
         .otherwise(labels[1])
     )
-    return both.withColumn("outcome", outcome).drop("_in_left", "_in_right")
+    return both.withColumn("outcome", outcome).drop(in_left, in_right)
 
 
 def with_fallback(left: DataFrame, by_id: DataFrame, by_title: DataFrame, id_key: str, title_key: str, value: str) -> DataFrame:
@@ -48,8 +50,8 @@ def with_fallback(left: DataFrame, by_id: DataFrame, by_title: DataFrame, id_key
 def near(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of points within ``radius`` of each other.
 
-    Points are laid on a grid of that width and meet in their own and the four forward cells only, so
-    this is a join on equal cells, not on every pair.
+    Points are laid on a grid of that width and meet in their own cell and the eight around it, so this
+    is a join on equal cells, not on every pair.
     """
     cell = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).withColumns({"cx": F.floor(F.col("px") / radius), "cy": F.floor(F.col("py") / radius)})
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
@@ -61,6 +63,60 @@ def near(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFram
     return left.join(right, ["cx", "cy"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
+def near_boxes(boxes: DataFrame, key: str, x: str, y: str, size: str, largest: float, share: float = 0.5) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of boxes whose centres are no further apart than ``share`` of the larger one's size.
+
+    ``largest`` bounds the sizes.  Centres that are within ``share * largest`` meet on a grid, and each pair is then held against
+    its own radius.
+    """
+    pairs = near(boxes, key, x, y, share * largest)
+    box = lambda name: boxes.select(F.col(key).alias(name), *(F.col(c).cast("double").alias(f"{name}_{k}") for c, k in ((x, "x"), (y, "y"), (size, "s"))))
+    rows = pairs.join(box("a"), "a").join(box("b"), "b")
+    dx, dy, radius = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"), share * F.greatest("a_s", "b_s")
+    return rows.where(dx * dx + dy * dy <= radius * radius).select("a", "b")
+
+
+def overlapping_boxes(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
+    """Pairs ``(a, b)`` of rectangles ``left, top, right, bottom`` that share more than an edge.
+
+    Rectangles are posted under every cell of a ``width``-wide grid that they touch, and a pair counts in the cell
+    that holds the upper left corner of what they share.
+    """
+
+    def posted(df: DataFrame, name: str) -> DataFrame:
+        df = df.where("left < right and top < bottom").select(F.col(key).alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("left", "top", "right", "bottom")))
+        span = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"{name}_{low}") / width), F.floor(F.col(f"{name}_{high}") / width)))
+        return df.withColumn("cx", span("left", "right")).withColumn("cy", span("top", "bottom"))
+
+    pairs = posted(a, "a").join(posted(b, "b"), ["cx", "cy"])
+    left, top = F.greatest("a_left", "b_left"), F.greatest("a_top", "b_top")
+    meet = (left < F.least("a_right", "b_right")) & (top < F.least("a_bottom", "b_bottom"))
+    return pairs.where(meet & (F.col("cx") == F.floor(left / width)) & (F.col("cy") == F.floor(top / width))).select("a", "b")
+
+
+def contents(targets: DataFrame, files: DataFrame, item: str, ordinal: str, text: str, name: str, declared: DataFrame | None = None) -> DataFrame:
+    """``item, ordinal, outcome, file`` of an item's target segments against its files: same, different, missing_drive, drive_only.
+
+    Of several files for an ordinal the last by name counts.  A target without segments is taken to have those from 1 to
+    its declared maximum (``item, declared``); such a segment has no text, so a file for it is different.
+    """
+    left = targets.where(F.col(ordinal).isNotNull()).groupBy(item, ordinal).agg(F.max(text).alias("_target"))
+    if declared is not None:
+        bare = declared.where("declared > 0").join(left.select(item), item, "left_anti")
+        assumed = bare.select(item, F.explode(F.sequence(F.lit(1), F.col("declared").cast("int"))).alias(ordinal), F.lit(None).cast("string").alias("_target"))
+        assumed = assumed.withColumn(ordinal, F.col(ordinal).cast(left.schema[ordinal].dataType))
+        left = left.unionByName(assumed)
+    right = files.where(F.col(ordinal).isNotNull()).groupBy(item, ordinal).agg(F.max_by(text, name).alias("_file"), F.max(name).alias("file"))
+    found = compared(left, right, [item, ordinal], F.col("_target") == F.col("_file"), ("same", "different", "missing_drive", "drive_only"))
+    return found.select(item, ordinal, "outcome", "file")
+
+
+def content_summary(found: DataFrame, item: str) -> DataFrame:
+    """Per item the numbers of outcomes; ``total`` counts the target's segments only."""
+    outcomes = ("same", "different", "missing_drive", "drive_only")
+    return found.groupBy(item).agg(F.count_if(F.col("outcome") != "drive_only").alias("total"), *(F.count_if(F.col("outcome") == o).alias(o) for o in outcomes))
+
+
 def overlapping(a: DataFrame, b: DataFrame, low: str, high: str, width: int) -> DataFrame:
     """Pairs of rows whose ranges ``low..high`` overlap, once each.
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """Rows of page ``number`` (from 1) with the total in ``total``; sizes are held between 1 and 500.
+def page(df: DataFrame, number: int, size: int, *order: Column, name: str = "total") -> DataFrame:
+    """Rows of page ``number`` (from 1) with the total in the column ``name``; sizes are held between 1 and 500.
 
     The order must end in something unique.  Spark takes the page as the top of a distributed order.
     """
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name} already")
     size = max(1, min(500, size))
-    total = df.agg(F.count("*").alias("total"))
+    total = df.agg(F.count("*").alias(name))
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size).crossJoin(F.broadcast(total))
 
 
@@ -90,5 +94,57 @@ def state_rank(state: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in STATE_RANK.items() for x in pair))[state], F.lit(99))
 
 
+#: Groups of states by which jobs are listed.
+STATE_GROUPS = {"failed": ["failed", "cancelled"], "running": ["running", "paused"]}
+
+
 def of_state(df: DataFrame, state: str, wanted: str) -> DataFrame:
     return df if wanted == "all" else df.where(F.col(state) == wanted)
+
+
+def of_group(df: DataFrame, state: str, group: str) -> DataFrame:
+    """Rows of a group of states; a name that is no group is a state, and 'all' keeps everything."""
+    return df if group == "all" else df.where(F.col(state).isin(STATE_GROUPS.get(group, [group])))
+
+
+def among(df: DataFrame, **allowed: list | None) -> DataFrame:
+    """Rows whose columns hold one of the allowed values each; no list means no condition."""
+    for column, values in allowed.items():
+        if values:
+            df = df.where(F.col(column).isin(list(values)))
+    return df
+
+
+def owned(df: DataFrame, owner: str, user: object, everything: bool = False) -> DataFrame:
+    """A user's own rows, or all of them for a role that may see everything."""
+    return df if everything else df.where(F.col(owner) == F.lit(user))
+
+
+def selected_first(selected: Column, *order: Column) -> list[Column]:
+    """Sort keys: selected rows first, then the given order; null counts as not selected."""
+    return [F.when(F.coalesce(selected, F.lit(False)), 0).otherwise(1), *order]
+
+
+def whitelisted(items: Column, allowed: list[str]) -> Column:
+    """The allowed ones among the distinct items, in their order; all allowed ones where none is given."""
+    every = F.array(*(F.lit(a) for a in allowed)).cast("array<string>")
+    given = F.array_intersect(F.coalesce(items, F.array().cast("array<string>")), every)
+    return F.when(F.size(given) > 0, given).otherwise(every)
+
+
+def discovered(df: DataFrame, keyword: str | None = None, text: tuple[str, ...] = (), categories: tuple[str, Iterable] | None = None, status: tuple[str, str] | None = None, least: tuple[str, int] | None = None, since: tuple[str, Column] | None = None) -> DataFrame:
+    """Catalogue search: every condition that is given must hold.
+
+    ``categories``, ``status`` ('all' is no condition), ``least`` and ``since`` name their column first.
+    """
+    if keyword:
+        df = searched(df, keyword, *text)
+    if categories and list(categories[1]):
+        df = df.where(F.col(categories[0]).isin(list(categories[1])))
+    if status and status[1] != "all":
+        df = df.where(F.col(status[0]) == status[1])
+    if least:
+        df = df.where(F.col(least[0]) >= least[1])
+    if since:
+        df = df.where(F.col(since[0]) >= since[1])
+    return df

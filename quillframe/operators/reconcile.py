@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.functions.names import same_set
+from quillframe.functions.text import collapse, strip
+
 
 def first_rule(*rules: tuple[Column, str], otherwise: str) -> Column:
     """The outcome of the first rule that holds; a null condition doesn't."""
@@ -98,6 +101,65 @@ def update_eligibility(items: DataFrame, targets: DataFrame, facts: DataFrame, r
     return rows.select("item", outcome.alias("outcome"), F.when(outcome == "updatable", F.size("new")).otherwise(0).alias("new_segments"))
 
 
+def finished_eligibility(items: DataFrame, targets: DataFrame, facts: DataFrame, finished: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
+    """``title, item, outcome, new_segments`` of the series that readers have finished (``title``).
+
+    Only EXTENDED items of these titles are judged, or items with another prefix where a title has no EXTENDED one; the
+    rules are those of ``update_eligibility``.  An item without a target counts from 0.  A finished title with a target
+    and without any such item has the outcome 'no_drive_folder' and no item.
+    """
+    wanted = finished.select("title").where("coalesce(cast(title as string), '') <> ''").distinct()
+    mine = items.join(wanted, "title", "left_semi")
+    # Titles without a target count from 0 here; strays still need a target.
+    extended = mine.where("prefix = 'EXTENDED'").select("title").distinct()
+    known = targets.select("title", "true_max")
+    counted = known.unionByName(extended.join(known, "title", "left_anti").withColumn("true_max", F.lit(0)))
+    stray = mine.where("prefix <> 'EXTENDED'").join(known, "title", "left_semi")
+    judged = update_eligibility(mine.where("prefix = 'EXTENDED'").unionByName(stray), counted, facts, rewritten)
+    # Strays of one title are all of the wrong prefix; only EXTENDED ones can share a title.
+    judged = judged.join(mine.select("item", "title", "prefix"), "item")
+    judged = judged.withColumn("outcome", F.when(F.col("prefix") != "EXTENDED", "wrong_prefix").otherwise(F.col("outcome")))
+    absent = wanted.join(known, "title", "left_semi").join(judged.select("title"), "title", "left_anti")
+    lone = absent.select("title", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit("no_drive_folder").alias("outcome"), F.lit(0).alias("new_segments"))
+    return judged.select("title", "item", "outcome", "new_segments").unionByName(lone)
+
+
+def metadata_differences(source: str, target: str) -> Column:
+    """``array<(field, left, right)>`` of the fields in which two structs of metadata differ, in a fixed order.
+
+    Both have ``main_category, sub_categories (list), free_count, push_title, push_content, synopsis, tags (list), max_chapter, length``.
+    Categories (main and sub ones as one set) and tags are always compared, as sets whatever their case; another field only
+    where the source has a value.  The target's maximum counts as 0 where it has none.
+    """
+    a, b = (lambda f: F.col(f"{source}.{f}")), (lambda f: F.col(f"{target}.{f}"))
+    every = lambda x: F.concat(F.array(F.coalesce(x("main_category"), F.lit(""))), F.coalesce(x("sub_categories"), F.array().cast("array<string>")))
+    key = lambda c: F.lower(collapse(F.coalesce(c.cast("string"), F.lit(""))))
+    push = lambda x: F.concat(F.coalesce(x("push_title"), F.lit("")), F.lit("|"), F.coalesce(x("push_content"), F.lit("")))
+    has_push = F.coalesce(F.nullif(a("push_title"), F.lit("")), a("push_content")).isNotNull()
+    shown = lambda c: F.array_join(c, ",")
+    tests = [
+        ("category", ~same_set(every(a), every(b)), shown(every(a)), shown(every(b))),
+        ("free_chapters_count", a("free_count").isNotNull() & ~a("free_count").eqNullSafe(F.coalesce(b("free_count"), F.lit(0))), a("free_count"), F.coalesce(b("free_count"), F.lit(0))),
+        ("push", has_push & (key(push(a)) != key(push(b))), push(a), push(b)),
+        ("synopsis", a("synopsis").isNotNull() & (key(a("synopsis")) != key(b("synopsis"))), a("synopsis"), b("synopsis")),
+        ("tags", ~same_set(a("tags"), b("tags")), shown(F.coalesce(a("tags"), F.array().cast("array<string>"))), shown(F.coalesce(b("tags"), F.array().cast("array<string>")))),
+        ("max_chapter", a("max_chapter").isNotNull() & ~a("max_chapter").eqNullSafe(F.coalesce(b("max_chapter"), F.lit(0))), a("max_chapter"), F.coalesce(b("max_chapter"), F.lit(0))),
+        ("length", a("length").isNotNull() & (F.lower(strip(a("length"))) != F.lower(strip(F.coalesce(b("length"), F.lit(""))))), a("length"), b("length")),
+    ]
+    made = [F.when(test, F.struct(F.lit(name).alias("field"), left.cast("string").alias("left"), right.cast("string").alias("right"))) for name, test, left, right in tests]
+    return F.array_compact(F.array(*made))
+
+
+def metadata_reconciled(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """``item, outcome, differences``: can_update, all_match or no_server_match.
+
+    ``items`` has ``item, title, source`` and ``targets`` has ``title, target``, the structs of ``metadata_differences``.
+    """
+    rows = items.join(targets, "title", "left").withColumn("differences", metadata_differences("source", "target"))
+    outcome = first_rule((F.col("target").isNull(), "no_server_match"), (F.size("differences") > 0, "can_update"), otherwise="all_match")
+    return rows.select("item", outcome.alias("outcome"), F.when(outcome == "can_update", F.col("differences")).alias("differences"))
+
+
 def title_outcome(compared: DataFrame, item: str) -> DataFrame:
     """``item, outcome`` from a comparison of titles: can_update, all_match or empty_chapters."""
     per = compared.groupBy(item).agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("same", "different", "missing_right", "right_only")))

@@ -63,7 +63,53 @@ def first_filled(df: DataFrame, group: str, order: str, *columns: str) -> DataFr
     return df.groupBy(group).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
 
 
+def slots(occupied: Column, wanted: Column) -> Column:
+    """Ordinals for new segments, in order: a segment's own number, or else the next one after all so far; taken ones are skipped.
+
+    ``wanted`` holds the numbers of an item's new segments, null where a segment has none.  Numbering goes on after the
+    greatest occupied ordinal.
+    """
+    none = F.array().cast("array<int>")
+    taken = F.coalesce(occupied.cast("array<int>"), none)
+    begin = F.struct(none.alias("planned"), (F.coalesce(F.array_max(taken), F.lit(0)) + 1).alias("next"))
+
+    def step(a: Column, w: Column) -> Column:
+        first = F.coalesce(w, a["next"])
+        # Among so many ordinals one is free.
+        reach = first + F.size(taken) + F.size(a["planned"])
+        free = F.array_min(F.array_except(F.sequence(first, reach), F.concat(taken, a["planned"])))
+        return F.struct(F.array_append(a["planned"], free).alias("planned"), F.greatest(a["next"], free + 1).alias("next"))
+
+    return F.aggregate(wanted.cast("array<int>"), begin, step, lambda a: a["planned"])
+
+
 def free_slots(occupied: Column, n: Column) -> Column:
-    """The ``n`` least ordinals from 1 on that are not occupied."""
-    last = F.coalesce(F.size(occupied), F.lit(0)) + n
-    return F.when(n > 0, F.slice(F.array_except(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), occupied), F.lit(1), F.greatest(n, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """The ``n`` ordinals after the greatest occupied one."""
+    return slots(occupied, F.array_repeat(F.lit(None).cast("int"), n))
+
+
+def wanted_slots(files: DataFrame, existing: DataFrame, item: str, ordinal: str, *order: Column) -> DataFrame:
+    """``files`` that an item still lacks, with the ordinal ``slot`` under which each is to be posted.
+
+    ``files`` has ``item, ordinal`` (null: not numbered); numbered ones up to the greatest existing ordinal are there already.
+    ``existing`` has ``item, ordinal``.  An item's files are one list, as each slot depends on those before.
+    """
+    have = existing.groupBy(item).agg(F.collect_set(ordinal).alias("_have"), F.max(ordinal).alias("_top"))
+    open_ = files.join(have, item, "left").where(F.col(ordinal).isNull() | (F.col(ordinal) > F.coalesce("_top", F.lit(0))))
+    row = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)), F.struct(*(F.col(c) for c in files.columns)).alias("row"))
+    per = open_.groupBy(item).agg(F.first("_have").alias("_have"), F.array_sort(F.collect_list(row)).alias("_rows"))
+    per = per.withColumn("_slots", slots(F.col("_have"), F.transform("_rows", lambda r: r["row"][ordinal])))
+    return per.select(F.explode(F.arrays_zip("_rows", "_slots")).alias("z")).select("z._rows.row.*", F.col("z._slots").alias("slot"))
+
+
+def missing_audio(segments: DataFrame, voices: DataFrame, series: str, ordinal: str, url: str, voice: str, position: str, threshold: int = 0) -> DataFrame:
+    """``series, ordinal, missing, voice`` of segments without audio, with how many their series lacks and its first voice that is not empty.
+
+    Nothing comes out if no more than ``threshold`` segments are missing in all.
+    """
+    lacking = segments.where(F.coalesce(F.col(url), F.lit("")) == "").select(series, ordinal)
+    # Two small sums stand for all segments: one number per series, and one for the whole.
+    counts = lacking.groupBy(series).agg(F.count("*").alias("missing"))
+    gate = counts.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("_all")).where(F.col("_all") > threshold)
+    named = voices.where(F.coalesce(F.col(voice), F.lit("")) != "").groupBy(series).agg(F.min_by(voice, position).alias("voice"))
+    return lacking.join(counts, series).join(named, series, "left").join(F.broadcast(gate), F.lit(True)).drop("_all")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillframe.operators.dedup import last_wins
+from quillframe.operators.helpers import unused
 
 
 def upserted(base: DataFrame, delta: DataFrame, keys: list[str], version: Column, keep_first: tuple[str, ...] = ()) -> DataFrame:
@@ -46,9 +47,10 @@ def capped(df: DataFrame, state: str, terminal: list[str], most: int, coarse: Co
     ``coarse`` must not fall along ``order``.  Ranks are counted per coarse value and added up over
     these, so no task sorts the whole table.
     """
-    total = df.count()
-    done = numbered(df.where(F.col(state).isin(terminal)), coarse, *order, name="_n")
-    return df.where(~F.coalesce(F.col(state).isin(terminal), F.lit(False))).unionByName(done.where(F.col("_n") > total - most).drop("_n"))
+    n, total = unused("_n", df), unused("_total", df)
+    done = numbered(df.where(F.col(state).isin(terminal)), coarse, *order, name=n)
+    done = done.join(F.broadcast(df.agg(F.count("*").alias(total))), F.col(n) > F.col(total) - most)
+    return df.where(~F.coalesce(F.col(state).isin(terminal), F.lit(False))).unionByName(done.drop(n, total))
 
 
 def numbered(df: DataFrame, coarse: Column, *order: Column, name: str = "position") -> DataFrame:
@@ -57,36 +59,44 @@ def numbered(df: DataFrame, coarse: Column, *order: Column, name: str = "positio
     ``coarse`` is a coarser form of the order's first column, such as its day.  Rows are counted per
     coarse value, the counts added up in one small table, and each coarse value numbered on its own.
     """
-    rows = df.withColumn("_coarse", coarse)
-    counts = rows.groupBy("_coarse").agg(F.count("*").alias("_n"))
-    before = counts.select("_coarse", (F.sum("_n").over(W.orderBy("_coarse").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    inner = rows.withColumn("_in", F.row_number().over(W.partitionBy("_coarse").orderBy(*order)))
+    own, n, before, inside, other = (unused(c, df) for c in ("_coarse", "_count", "_before", "_in", "_other"))
+    rows = df.withColumn(own, coarse)
+    counts = rows.groupBy(own).agg(F.count("*").alias(n))
+    counts = counts.select(F.col(own).alias(other), (F.sum(n).over(W.orderBy(own).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)).alias(before))
+    placed = rows.withColumn(inside, F.row_number().over(W.partitionBy(own).orderBy(*order)))
     # A null coarse value sorts first, as in the counts.
-    joined = inner.join(before.withColumnRenamed("_coarse", "_c"), F.col("_coarse").eqNullSafe(F.col("_c")))
-    return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_coarse", "_c", "_n", "_before", "_in")
+    return placed.join(counts, F.col(own).eqNullSafe(F.col(other))).withColumn(name, F.col(before) + F.col(inside)).drop(own, n, before, inside, other)
 
 
-def last_n(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
-    """The last ``n`` rows of each key; ``order`` descends."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+def last_n(df: DataFrame, keys: list[str], most: int, *order: Column) -> DataFrame:
+    """The last ``most`` rows of each key; ``order`` descends."""
+    n = unused("_n", df)
+    return df.withColumn(n, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(n) <= most).drop(n)
 
 
 def changes_only(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """Samples that differ from the one before them in some value; the first of each key stays."""
     w = W.partitionBy(*keys).orderBy(order)
     before = F.lag(F.struct(*values)).over(w)
-    return df.where(F.lit(True)).withColumn("_same", before.eqNullSafe(F.struct(*values)) & before.isNotNull()).where(~F.col("_same")).drop("_same")
+    same = unused("_same", df)
+    return df.withColumn(same, before.eqNullSafe(F.struct(*values)) & before.isNotNull()).where(~F.col(same)).drop(same)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """``n, digest``: rows and an MD5 over the rows' MD5s, whatever their order.
+    """``n, digest``: rows and an MD5 over sums of the rows' MD5s, whatever the rows' order.
 
-    The rows' digests are first joined per leading byte and these joined, so no array holds them all
-    for a large table; the digest is that of the sorted list of the parts' digests.
+    A row's text is its columns by name, null as a character that no text holds.  The four quarters of the rows' digests
+    are added up as numbers, so nothing is collected, however many rows there are.
     """
-    row = F.md5(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}))
-    parts = df.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("d"))
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")).alias("digest"))
+    row = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns))))
+    parts = [F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")) for k in range(4)]
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("n"), *(F.coalesce(p, F.lit(0)).cast("string").alias(f"s{k}") for k, p in enumerate(parts)))
+    return sums.select("n", F.md5(F.concat_ws(",", F.col("n").cast("string"), "s0", "s1", "s2", "s3")).alias("digest"))
+
+
+def is_current(df: DataFrame, signature: str | None) -> DataFrame:
+    """The table's fingerprint with ``current``: is an archive that was made under ``signature`` still that of the table?"""
+    return fingerprint(df).withColumn("current", F.coalesce(F.col("digest") == F.lit(signature), F.lit(False)))
 
 
 def write_replacing(df: DataFrame, path: str, partition: str) -> None:
@@ -128,15 +138,13 @@ def probed(items: DataFrame, files: DataFrame, item: str, name: str, wanted: lis
     return items.join(flags, item, "left").fillna(False, [f"has_{w}" for w in wanted])
 
 
-def retried(df: DataFrame, chosen: Column, priority: str, *order: Column) -> DataFrame:
+def retried(df: DataFrame, chosen: Column, priority: str, coarse: Column, *order: Column) -> DataFrame:
     """Chosen rows get retry priorities above all others, the first in order the lowest.
 
-    They are what a user has picked for a retry, so they are ordered as one list.
+    ``coarse`` is a coarser form of the order's first column, by which places are counted.
     """
-    from pyspark.sql import Window as W
-
-    top = df.agg(F.coalesce(F.max(priority), F.lit(0)).alias("_top"))
-    place = F.row_number().over(W.orderBy(*order))
-    picked = df.where(chosen).withColumn("_n", place)
+    n, top = unused("_n", df), unused("_top", df)
+    highest = df.agg(F.coalesce(F.max(priority), F.lit(0)).alias(top))
+    picked = numbered(df.where(chosen), coarse, *order, name=n)
     rest = df.where(~F.coalesce(chosen, F.lit(False)))
-    return rest.unionByName(picked.join(F.broadcast(top)).withColumn(priority, (F.col("_top") + F.col("_n")).cast(df.schema[priority].dataType)).drop("_n", "_top"))
+    return rest.unionByName(picked.join(F.broadcast(highest)).withColumn(priority, (F.col(top) + F.col(n)).cast(df.schema[priority].dataType)).drop(n, top))

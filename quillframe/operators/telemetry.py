@@ -5,20 +5,26 @@ All of it works per key; a key's samples are folded in order where a result depe
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def histogram(df: DataFrame, state: str, states: list[str]) -> DataFrame:
-    """``state, n`` for each of ``states``, 0 where there is none; states outside the list are left out."""
+def histogram(df: DataFrame, state: str, states: list[str], folded: dict[str, str] | None = None) -> DataFrame:
+    """``state, n`` for each of ``states``, 0 where there is none; states outside the list are left out.
+
+    ``folded`` names states that count as another one, such as errors among failures.
+    """
     names = df.sparkSession.createDataFrame([(s,) for s in states], "state string")
-    counts = df.groupBy(F.col(state).alias("state")).agg(F.count("*").alias("n"))
-    return F.broadcast(names).join(counts, "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
+    own = F.col(state)
+    for name, other in (folded or {}).items():
+        own = F.when(F.col(state) == name, other).otherwise(own)
+    counts = df.groupBy(own.alias("state")).agg(F.count("*").alias("n"))
+    return names.join(counts, "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def recent_rates(samples: DataFrame, key: str, at: str, segments: str, stories: str, now: Column, window: int = 3600, fallback: int = 20) -> DataFrame:
@@ -127,44 +133,51 @@ def breaker(events: DataFrame, key: str, order: str, blocked: Column, success: C
     return rows.groupBy(key, "stretch").agg(F.count_if(blocked).alias("blocks"), F.min(F.when(F.col("_blocks") >= limit, F.col(order))).alias("opens_at"))
 
 
-def _fold(df: DataFrame, key: str, order: str, step, schema: str) -> DataFrame:
-    """Folds each key's rows in order.  A partition holds many keys, and its sorted rows stream through in batches,
-    so that a key with very many rows needs no more memory than its state."""
+def _fold(df: DataFrame, key: str, order: str, columns: list[str], step, schema: str) -> DataFrame:
+    """Folds each key's rows in order: ``step(state, *values)`` gives the added values, ``step(None)`` a new state.
+
+    Null is a key like any other.  A partition holds many keys, and its sorted rows stream through in Arrow
+    batches, so that a key with very many rows needs no more memory than its state.
+    """
     rows = df.repartition(key).sortWithinPartitions(key, order)
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = [{"boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}[k] for k in kinds]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.to_dict("records"):
-                if state is None or row[key] != current:
-                    current, state = row[key], step(None, None)
-                out.append(row | step(state, row))
-            yield pd.DataFrame(out, columns=[*pdf.columns, *added]) if out else pdf.assign(**{c: None for c in added})[:0]
+            for own, *values in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+                if state is None or own != current:
+                    current, state = own, step(None)
+                out.append(step(state, *values))
+            added = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(added, types, strict=True))], [*batch.schema.names, *names])
 
-    added = [x.split()[0] for x in schema.split(", ")]
     full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), schema])
-    return rows.mapInPandas(run, full)
+    return rows.mapInArrow(run, full)
 
 
 def limited(events: DataFrame, key: str, at: str, limit: int = 10, window: float = 60.0) -> DataFrame:
     """Events with ``accepted`` and ``retry_after``: at most ``limit`` accepted ones per key in ``window`` seconds.
 
     ``at`` is in seconds.  A rejected event does not count; so this depends on what came before, and
-    each key's events are folded in order.
+    each key's events are folded in order.  An event without a time is rejected, with no time to retry.
     """
 
-    def step(state, row):
-        if row is None:
-            return []
-        while state and row[at] - state[0] >= window:
-            state.pop(0)
+    def step(state, when=None):
+        if state is None:
+            return deque()
+        if when is None:
+            return False, None
+        while state and when - state[0] >= window:
+            state.popleft()
         if len(state) >= limit:
-            return {"accepted": False, "retry_after": max(1, int(window - (row[at] - state[0])))}
-        state.append(row[at])
-        return {"accepted": True, "retry_after": 0}
+            return False, max(1, int(window - (when - state[0])))
+        state.append(when)
+        return True, 0
 
-    return _fold(events, key, at, step, "accepted boolean, retry_after int")
+    return _fold(events, key, at, [at], step, "accepted boolean, retry_after int")
 
 
 def paced(events: DataFrame, key: str, order: str, rejected: str, hint: str, base: float = 1.0, most: float = 5.0, recover: int = 250) -> DataFrame:
@@ -174,20 +187,42 @@ def paced(events: DataFrame, key: str, order: str, rejected: str, hint: str, bas
     900 s at most.  ``recover`` successes in a row take 0.5 s off again.
     """
 
-    def step(state, row):
-        if row is None:
+    def step(state, refused=None, given=None):
+        if state is None:
             return {"events": 0, "interval": base, "successes": 0}
         cooldown = 0.0
-        if row[rejected]:
+        if refused:
             state["events"] += 1
             state["successes"] = 0
             state["interval"] = min(most, state["interval"] + 0.5)
-            given = row[hint]
-            cooldown = float(given) if given is not None and not np.isnan(given) else float(min(900, 60 * 2 ** min(state["events"] - 1, 10)))
+            cooldown = float(min(900, 60 * 2 ** min(state["events"] - 1, 10)) if given is None else given)
         else:
             state["successes"] += 1
             if state["successes"] >= recover:
                 state.update(events=0, successes=0, interval=max(base, state["interval"] - 0.5))
-        return {"interval": state["interval"], "cooldown": cooldown}
+        return state["interval"], cooldown
+
+    return _fold(events, key, order, [rejected, hint], step, "interval double, cooldown double")
+
+
+def rollup(rows: DataFrame, run: str, item: str, at: str, value: str, initial: str, active: Column) -> DataFrame:
+    """``run, items, net, live, updated`` per run: the sum of its items' gains since their initial values, not below 0.
 
-    return _fold(events, key, order, step, "interval double, cooldown double")
+    Each item counts with its last sample.  ``live`` tells the runs that are active; theirs is the gain so far, not a final one.
+    """
+    last = rows.groupBy(run, item).agg(F.max_by(F.struct(F.col(value).alias("value"), F.col(initial).alias("initial"), active.alias("live")), at).alias("s"), F.max(at).alias("at"))
+    gain = F.greatest(F.lit(0), F.coalesce(F.col("s.value"), F.lit(0)) - F.coalesce(F.col("s.initial"), F.lit(0)))
+    return last.groupBy(run).agg(F.count("*").alias("items"), F.sum(gain).alias("net"), F.bool_or("s.live").alias("live"), F.max("at").alias("updated"))
+
+
+def silent(samples: DataFrame, key: str, order: str, values: list[str], at: str, most: float) -> DataFrame:
+    """``key, since, seconds, idle``: since when a key's values have not changed, up to its last sample.
+
+    ``at`` is in seconds; it is idle if that is longer than ``most``.
+    """
+    w = W.partitionBy(key).orderBy(order)
+    sign = F.struct(*values)
+    changed = ~F.coalesce(F.lag(sign).over(w).eqNullSafe(sign), F.lit(False)) | (F.row_number().over(w) == 1)
+    rows = samples.select(key, F.col(at).alias("at"), F.when(changed, F.col(at)).alias("changed"))
+    per = rows.groupBy(key).agg(F.max("changed").alias("since"), (F.max("at") - F.max("changed")).alias("seconds"))
+    return per.withColumn("idle", F.col("seconds") > most)

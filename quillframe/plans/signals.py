@@ -93,14 +93,25 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.breaker(events, "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+s AS (SELECT user_id, event_id, "at", r, true AS accepted, 0 AS retry_after, NULL::DOUBLE AS older, "at" AS newer FROM e WHERE r = 1
+  UNION ALL SELECT e.user_id, e.event_id, e."at", e.r, s.older IS NULL OR e."at" - s.older >= 86400, CASE WHEN s.older IS NULL OR e."at" - s.older >= 86400 THEN 0 ELSE greatest(1, CAST(trunc(86400.0 - (e."at" - s.older)) AS INTEGER)) END,
+    CASE WHEN s.older IS NULL OR e."at" - s.older >= 86400 THEN s.newer ELSE s.older END, CASE WHEN s.older IS NULL OR e."at" - s.older >= 86400 THEN e."at" ELSE s.newer END FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)
+SELECT user_id, event_id, "at", accepted, retry_after FROM s""")
 def sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events under a limit of two per user and day; rejected ones don't count."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return telemetry.limited(events, "user_id", "at", limit=2, window=86400.0)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'error' AS rejected, CASE WHEN event_id % 10 = 0 THEN 30.0::DOUBLE END AS hint, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT user_id, 0::BIGINT AS event_id, false AS rejected, NULL::DOUBLE AS hint, 0::BIGINT AS r, 0 AS n, 0 AS ok, 1.0::DOUBLE AS interval, 0.0::DOUBLE AS cooldown FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.event_id, e.rejected, e.hint, e.r, CASE WHEN e.rejected THEN s.n + 1 WHEN s.ok + 1 >= 2 THEN 0 ELSE s.n END, CASE WHEN e.rejected OR s.ok + 1 >= 2 THEN 0 ELSE s.ok + 1 END,
+    CASE WHEN e.rejected THEN least(5.0, s.interval + 0.5) WHEN s.ok + 1 >= 2 THEN greatest(1.0, s.interval - 0.5) ELSE s.interval END,
+    CASE WHEN NOT e.rejected THEN 0.0 WHEN e.hint IS NOT NULL THEN e.hint ELSE least(900.0, 60.0 * 2 ** least(s.n, 10)) END FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)
+SELECT user_id, event_id, rejected, hint, interval, cooldown FROM s WHERE r > 0""")
 def adaptive_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval and cooldown after each event, errors being rejections."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("rejected"), F.when(F.col("event_id") % 10 == 0, 30.0).alias("hint"))

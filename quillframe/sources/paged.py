@@ -1,15 +1,18 @@
 """A data source over pages of records at rest, such as saved responses of a listing interface.
 
 ``spark.read.format("paged").option("path", folder)`` reads ``<folder>/page-<n>.json``, n from 1, each a JSON list of
-``{"id", "title", "category", "updated"}``.  One partition covers a range of pages, and reading ends at an empty page
-or, with ``stop=short``, at one with fewer records than ``size``.  With ``pushdown=true`` equality filters are tested while reading.
+``{"id", "title", "category", "updated"}``.  One partition covers a range of pages.  Reading ends at the first empty or
+missing page or, with ``stop=short``, after the first one with fewer records than ``size``; that page is looked for before the
+ranges are dealt out, a few files at a time.  With ``pushdown=true`` equality filters are tested while reading.
 The stream form takes one page per offset.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, SimpleDataSourceStreamReader
@@ -45,21 +48,32 @@ class PagedReader(DataSourceReader):
 
         self.equal: dict[str, object] = {}
 
-    def partitions(self) -> list[InputPartition]:
+    def _last(self) -> int:
+        """The last page to read."""
         system, root = _file_system(self.path)
-        pages = [int(f.base_name[5:-5]) for f in system.get_file_info(pafs.FileSelector(root)) if f.base_name.startswith("page-") and f.base_name.endswith(".json")]
-        last = max(pages, default=0)
-        return [PageRange(k, min(k + self.step - 1, last)) for k in range(self.first, last + 1, self.step)]
+        sizes = {int(f.base_name[5:-5]): f.size for f in system.get_file_info(pafs.FileSelector(root)) if re.fullmatch(r"page-[0-9]+\.json", f.base_name)}
+        page = self.first
+        with ThreadPoolExecutor(16) as pool:
+            while True:
+                ahead = range(page, page + 64)
+                # A file's size tells an empty page; how many records another one has is only in the file.
+                counts = pool.map(lambda k: 0 if sizes.get(k, 0) < 8 else len(load_page(self.path, k) or []) if self.short else 1, ahead)
+                for k, n in zip(ahead, counts, strict=True):
+                    if n == 0:
+                        return k - 1
+                    if self.short and n < self.size:
+                        return k
+                page += 64
+
+    def partitions(self) -> list[InputPartition]:
+        last = self._last()
+        # One empty range stands for none.
+        return [PageRange(k, min(k + self.step - 1, last)) for k in range(self.first, max(last + 1, self.first + 1), self.step)]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         for page in range(partition.first, partition.last + 1):
-            rows = load_page(self.path, page)
-            if not rows:
-                return
             names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield from (r for r in rows if all(r[names.index(c)] == v for c, v in self.equal.items()))
-            if self.short and len(rows) < self.size:
-                return
+            yield from (r for r in load_page(self.path, page) or [] if all(r[names.index(c)] == v for c, v in self.equal.items()))
 
 
 class FilteringReader(PagedReader):

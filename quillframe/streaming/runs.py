@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillframe.functions.values import log_event
@@ -106,14 +108,54 @@ def resumed(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key), key, "left_anti")
 
 
+def _images(path: str) -> list[int]:
+    """Numbers of the whole images below a path, least first."""
+    system, root = pafs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+    found = [int(f.path.rsplit("image=", 1)[1].split("/")[0]) for f in system.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if f.base_name == "_SUCCESS" and "image=" in f.path]
+    return sorted(found)
+
+
 def upsert_sink(path: str, keys: list[str], version: str):
-    """A ``foreachBatch`` function that keeps the latest row per key in a Parquet table, one folder per batch.
+    """A ``foreachBatch`` function that keeps the latest row per key, of all batches, in a Parquet table.
 
-    A batch that is replayed writes the same folder again.
+    Each batch is merged with the image before it into a new image, ``<path>/image=<batch>``; a batch that is
+    replayed starts from the same image again.  ``latest_image`` reads the table.
     """
     from quillframe.operators.dedup import last_wins
 
     def write(batch: DataFrame, number: int) -> None:
-        last_wins(batch, keys, F.col(version)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        before = [k for k in _images(path) if k < number]
+        rows = batch.sparkSession.read.parquet(f"{path}/image={before[-1]}").unionByName(batch) if before else batch
+        last_wins(rows, keys, F.col(version)).write.mode("overwrite").parquet(f"{path}/image={number}")
 
     return write
+
+
+def latest_image(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``upsert_sink`` after its last whole batch."""
+    return spark.read.parquet(f"{path}/image={_images(path)[-1]}")
+
+
+def changes(rows: DataFrame, run: str, cursor: str, state_column: str, final: list[str], after: Column) -> DataFrame:
+    """What a reader with a cursor has not seen: lines beyond it, with ``terminal`` on each run's first line in a final state.
+
+    Lines after that one are left out.  ``rows`` is a table or the part of a stream's batch; ``after`` may differ by run.
+    """
+    ended = F.min(F.when(F.col(state_column).isin(final), F.col(cursor))).over(W.partitionBy(run))
+    seen = rows.withColumn("terminal", ended)
+    seen = seen.where(F.col("terminal").isNull() | (F.col(cursor) <= F.col("terminal")))
+    return seen.withColumn("terminal", F.coalesce(F.col(cursor) == F.col("terminal"), F.lit(False))).where(F.col(cursor) > after)
+
+
+def timeouts(events: DataFrame, run: str, at: str, now: Column, idle: float, most: float) -> DataFrame:
+    """``run, outcome, ended`` of runs that stood still for ``idle`` seconds, or lasted ``most``; the earlier one counts.
+
+    ``at`` is in seconds.  A run that did neither by ``now`` has the outcome 'running' and no end.
+    """
+    w = W.partitionBy(run).orderBy(at)
+    rows = events.select(run, F.col(at).cast("double").alias("at"), F.coalesce(F.lead(at).over(w), now).cast("double").alias("next"))
+    per = rows.groupBy(run).agg(F.min("at").alias("begun"), F.min(F.when(F.col("next") - F.col("at") > idle, F.col("at") + idle)).alias("idle_at"), F.max("next").alias("last"))
+    whole = F.when(F.greatest(F.col("last"), now.cast("double")) - F.col("begun") > most, F.col("begun") + most)
+    ended = F.least("idle_at", whole)
+    outcome = F.when(ended.isNull(), "running").when(F.coalesce(F.col("idle_at"), F.lit(float("inf"))) <= F.coalesce(whole, F.lit(float("inf"))), "idle").otherwise("too_long")
+    return per.select(run, outcome.alias("outcome"), ended.alias("ended"))

@@ -93,3 +93,14 @@ def test_differences(spark):
     pairs = [("a", F.lit("x"), F.lit("y")), ("b", F.lit(None).cast("string"), F.lit("y")), ("c", F.lit(None).cast("string"), F.lit("z"))]
     row = spark.range(1).select(n.differences(pairs, ("c",)).alias("d"), n.same_set(F.array(F.lit("A "), F.lit("b")), F.array(F.lit("B"), F.lit("a"), F.lit(""))).alias("s")).first()
     assert plain(row["d"]) == [("a", "x", "y"), ("c", None, "z")] and row["s"]
+
+
+def test_promotional_lines_are_patterns(spark):
+    df = spark.createDataFrame([("Read at innread.com now\nA line.\nSearch this tale on Google\nSHARE THIS STORY\nit (is) so\nx innreadxcom",)], "t string")
+    assert df.select(t.without_promotions("t", ("(is)",))).first()[0] == "A line.\n\nx innreadxcom"
+
+
+def test_recursive_halving(spark):
+    rows = [("a b c d e f g h",), ("abcdefghij",), ("",), ("one two",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(t.split_to("t", 4)).collect()]
+    assert got == [["a b", "c d", "e f", "g h"], ["abcdefghij"], [], ["one", "two"], []]

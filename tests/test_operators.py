@@ -6,6 +6,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillframe.operators import compare, dedup, queues, reconcile, segments, tables, telemetry
@@ -50,7 +51,50 @@ def test_ordinals(spark):
     got = rows(segments.ordinal_summary(df, "g", "n"), "g", "first", "segments", "repeated", "missing")
     assert got == [("a", 1, 3, [4], [2, 3]), ("c", 2, 1, [], [])]
     row = spark.range(1).select(segments.free_slots(F.array(F.lit(1), F.lit(3)), F.lit(3)).alias("s"), segments.free_slots(F.array(F.lit(1)), F.lit(0)).alias("z")).first()
-    assert row["s"] == [2, 4, 5] and row["z"] == []
+    assert row["s"] == [4, 5, 6] and row["z"] == []
+
+
+def test_slots_of_new_segments(spark):
+    """A file's own number counts, files without one go on after all so far, and taken numbers are skipped."""
+    cases = [([5, 6], [None, None], [7, 8]), ([], [None, 1, 1, 3], [1, 2, 3, 4]), (None, [4, None], [4, 5]), ([1, 2], [3, 3, None, 9, None], [3, 4, 5, 9, 10]), ([1], [], [])]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, have array<int>, want array<int>")
+    assert rows(df, "k", segments.slots(F.col("have"), F.col("want")).alias("s")) == [(k, c) for k, (*_, c) in enumerate(cases)]
+
+
+def test_names_of_helpers_may_be_columns(spark):
+    df = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), (None, 1, 30)], "k string, _n int, _same int")
+    assert rows(tables.last_n(df, ["k"], 1, F.desc("_n")).where("k is not null"), "k", "_n", "_same") == [("a", 2, 20)]
+    assert rows(tables.changes_only(df.where("k = 'a'"), ["k"], "_n", ["_same"]), "_n", "_same") == [(1, 10), (2, 20)]
+    clash = df.select("k", F.col("_n").alias("_count"), F.col("_same").alias("_coarse"))
+    assert rows(tables.numbered(clash, F.col("_coarse"), F.col("_coarse")), "position", "_count", "_coarse") == [(1, 1, 10), (2, 2, 20), (3, 1, 30)]
+    assert rows(tables.capped(df, "k", ["a"], 2, F.col("_same"), F.col("_same")).where("k = 'a'"), "_n") == [(2,)]
+    both = df.select("k", F.col("_n").alias("_IN_LEFT"))
+    assert compare.compared(both, df.select("k", "_same"), ["k"], F.lit(True)).columns == ["k", "_IN_LEFT", "_same", "outcome"]
+    with pytest.raises(ValueError):
+        queues.page(df.withColumn("Total", F.lit(1)), 1, 5, F.col("k"))
+    assert queues.page(df.withColumn("total", F.lit(1)), 1, 5, F.col("_n"), name="all").columns[-1] == "all"
+
+
+def test_whitelist_and_order(spark):
+    df = spark.createDataFrame([(1, ["b", "x", "a", "b"], True), (2, ["x"], None), (3, None, False)], "i int, c array<string>, s boolean")
+    assert rows(df, "i", queues.whitelisted(F.col("c"), ["a", "b"]).alias("w")) == [(1, ["b", "a"]), (2, ["a", "b"]), (3, ["a", "b"])]
+    assert [r["i"] for r in df.orderBy(*queues.selected_first(F.col("s"), F.desc("i"))).collect()] == [1, 3, 2]
+
+
+def test_boxes_against_all_pairs(spark):
+    rng = random.Random(9)
+    boxes = [(k, x := rng.randrange(-20, 20), y := rng.randrange(-20, 20), x + rng.randrange(0, 9), y + rng.randrange(0, 9)) for k in range(50)]
+    df = spark.createDataFrame(boxes, "k int, left int, top int, right int, bottom int")
+    full = [b for b in boxes if b[1] < b[3] and b[2] < b[4]]
+    want = sorted((a[0], b[0]) for a in full for b in full if a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4])
+    assert rows(compare.overlapping_boxes(df, df, "k", 4), "a", "b") == want
+
+
+def test_signature_of_an_archive(spark):
+    df = spark.range(20)
+    digest = tables.fingerprint(df).first()["digest"]
+    assert tables.is_current(df, digest).first()["current"] and not tables.is_current(df.where("id > 3"), digest).first()["current"]
+    assert tables.is_current(df, None).first()["current"] is False
 
 
 def test_capped_keeps_active_rows(spark):
@@ -132,6 +176,10 @@ def test_limiter_and_pacing(spark):
     events = spark.createDataFrame([("a", float(t)) for t in (0, 1, 2, 60, 61)] + [("b", 0.0)], "k string, t double")
     got = rows(telemetry.limited(events, "k", "t", 2, 60.0), "k", "t", "accepted", "retry_after")
     assert got == [("a", 0.0, True, 0), ("a", 1.0, True, 0), ("a", 2.0, False, 58), ("a", 60.0, True, 0), ("a", 61.0, True, 0), ("b", 0.0, True, 0)]
+    # Null is one key, and a time that is missing is rejected.
+    odd = spark.createDataFrame([(None, 0.0), (None, 1.0), (None, 2.0), ("a", None)], "k string, t double")
+    assert sorted((r["k"] or "", r["t"] or 0.0, r["accepted"]) for r in telemetry.limited(odd, "k", "t", 1, 60.0).collect()) == [("", 0.0, True), ("", 1.0, False), ("", 2.0, False), ("a", 0.0, False)]
+    assert telemetry.limited(odd.limit(0), "k", "t").count() == 0
     steps = spark.createDataFrame([("a", k, r, h) for k, (r, h) in enumerate([(True, None), (True, 7.0), (False, None), (False, None)])], "k string, n int, r boolean, h double")
     assert rows(telemetry.paced(steps, "k", "n", "r", "h", recover=2), "n", "interval", "cooldown") == [(0, 1.5, 60.0), (1, 2.0, 7.0), (2, 2.0, 0.0), (3, 1.5, 0.0)]
 

@@ -74,6 +74,19 @@ def test_paged_source(spark, tmp_path):
     assert spark.table("pages_seen").count() == 7
 
 
+@pytest.mark.parametrize("step", [1, 2, 16])
+def test_paged_source_stops_for_all_ranges(spark, tmp_path, step):
+    """The second page ends the reading, however pages are dealt out."""
+    spark.dataSource.register(PagedSource)
+    for page, n in ((1, 2), (2, 0), (3, 2), (4, 2)):
+        (tmp_path / f"page-{page}.json").write_text(json.dumps([{"id": page * 10 + k} for k in range(n)]))
+    read = spark.read.format("paged").option("path", str(tmp_path)).option("pagesPerPartition", step)
+    assert read.load().count() == 2
+    (tmp_path / "page-2.json").write_text(json.dumps([{"id": 20}]))
+    assert read.load().count() == 7 and read.option("stop", "short").option("size", 2).load().count() == 3
+    assert read.option("startPage", 9).load().count() == 0
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, "T", "one two"), ("b", 2, "U", 'say "x", y')], "series string, ordinal int, title string, body string")
     for form in ("json", "csv", "md"):
@@ -144,4 +157,9 @@ def test_checkpoints_and_sink(spark, tmp_path):
     sink = runs.upsert_sink(str(tmp_path / "out"), ["c"], "p")
     sink(pages, 0)
     sink(pages, 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert runs.latest_image(spark, str(tmp_path / "out")).count() == 2
+    # Over all batches each key has one row, the latest; a replay changes nothing.
+    more = spark.createDataFrame([("x", 2, False), ("y", 5, True), ("z", 1, False)], "c string, p int, f boolean")
+    for number in (1, 1):
+        sink(more, number)
+        assert sorted(tuple(r) for r in runs.latest_image(spark, str(tmp_path / "out")).select("c", "p").collect()) == [("x", 3), ("y", 5), ("z", 1)]
