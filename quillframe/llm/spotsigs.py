@@ -5,9 +5,9 @@ anchor (content words are the others; further anchors inside a chain are passed
 fingerprint is its set of signatures, as sorted 32-bit hashes in hexadecimal, 8 digits each; so
 it keeps all of them, and equal texts have equal fingerprints.  For texts with few common words
 (tables, other languages), one content word in ``SPARE``, by its hash, starts a chain too: a rule that
-looks at one place only, so that an edit elsewhere changes no signature.  A text of under ``SHORT``
-words, or where all that finds nothing, takes a chain at each of its words; one without words has
-the empty fingerprint.
+looks at one place only, so that an edit elsewhere changes no signature.  The rule is the same for texts
+of any length; only one where it finds nothing takes a chain at each of its words, and one without
+words has the empty fingerprint.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ from quillframe.llm.common import cut, small
 
 CHAIN = 3
 DIGITS = 8
-SPARE = 8
-SHORT = 40
+SPARE = 4
 #: Buckets of ids whose order one window finds.
 RUN = 4096
 
@@ -50,7 +49,7 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     chain = F.transform(content, lambda c, i: F.when(c["a"] | (F.pmod(F.hash(c["w"]), F.lit(SPARE)) == 0), F.hash(c["w"], *(F.get(F.col(content), i + k)["w"] for k in range(1, CHAIN)))))
     df = df.withColumn(spots, F.array_compact(chain))
     plain = F.transform(words, lambda w, i: F.hash(w, *(F.get(F.col(words), i + k) for k in range(1, CHAIN))))
-    df = df.withColumn(out, F.array_sort(F.array_distinct(F.when((F.size(words) >= SHORT) & (F.size(spots) > 0), F.col(spots)).otherwise(plain))))
+    df = df.withColumn(out, F.array_sort(F.array_distinct(F.when(F.size(spots) > 0, F.col(spots)).otherwise(plain))))
     return df.drop(words, content, spots)
 
 
