@@ -77,21 +77,28 @@ def headers(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip file of one member or several, in one pass."""
-    stream = zlib.decompressobj(_GZIP)
+    """The bytes of a gzip file of one member or several, in one pass; zeros between members are passed over.
+
+    A member without its end, which holds the checksum, is an error.
+    """
+    stream, begun = zlib.decompressobj(_GZIP), False
     for chunk in chunks:
         while chunk:
+            chunk = chunk if begun else chunk.lstrip(b"\0")
+            begun = begun or bool(chunk)
             out = stream.decompress(chunk, _CHUNK)
             if out:
                 yield out
             if stream.eof:
-                chunk = stream.unused_data.lstrip(b"\0")
-                stream = zlib.decompressobj(_GZIP)
+                chunk = stream.unused_data
+                stream, begun = zlib.decompressobj(_GZIP), False
             else:
                 chunk = stream.unconsumed_tail
     rest = stream.flush()
     if rest:
         yield rest
+    if begun and not stream.eof:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def records(parts: Iterator[bytes]) -> Iterator[bytes]:
@@ -249,11 +256,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Returns per row of ``pages``: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``.
     A revisit's payload is that of the record it refers to.  A null html is an empty payload, a null
-    url becomes ``urn:page:<id>``; other columns are ignored; an empty table gives an empty result.
+    url becomes ``urn:page:<id>``; other columns are ignored; an empty table gives an empty result.  Rows
+    that share an id, or have none, are records of their own.  Other numbers of records read than written are an error.
     """
     folder = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    manifest = normalised(archived(typed(pages), folder), folder)
+    written = archived(typed(pages), folder)
+    manifest = normalised(written, folder)
     found = cut(read(manifest, folder).withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"))
+    counts = [*(x.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0] for x in (written, manifest)), found.count()]
+    if len(set(counts)) > 1:
+        raise ValueError(f"records written, normalised and read differ: {counts}")
     # Only responses that something refers to can be looked up; they are one row per group of copies.
     sources = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("source"), F.col("payload_digest").alias("source_digest")).distinct()
     stored = found.where("record_type = 'response'").select(F.col("page_id").alias("source"), F.col("payload_digest").alias("source_digest"), F.col("payload_bytes").alias("source_bytes"))

@@ -235,6 +235,11 @@ def test_warc_round_trip_of_one_stream():
     assert warc.page_of(warc.headers(made[5])[0]["warc-record-id"]) is None
     with pytest.raises(ValueError):
         list(warc.records(iter([made[0][:-9]])))
+    # A cut trailer, or anything less, is an error; nothing at all is an empty archive.
+    for missing in (1, 8, len(whole) // 2):
+        with pytest.raises(ValueError):
+            list(warc.inflated(iter([whole[:-missing]])))
+    assert list(warc.inflated(iter([]))) == list(warc.inflated(iter([b"\0" * 5]))) == []
 
 
 def test_trigrams_and_model():
