@@ -24,10 +24,12 @@ def main() -> None:
     spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().collect()
     took = {}
     for name in HEADLINES:
-        began = time.perf_counter()
-        # The whole result is computed, and none of it is sent to the driver.
-        catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.perf_counter() - began, 3)
+        # The first run compiles; the second one counts.
+        for _ in range(2):
+            began = time.perf_counter()
+            # The whole result is computed, and none of it is sent to the driver.
+            catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            took[name] = round(time.perf_counter() - began, 3)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rstrip("/").rpartition("sf")[2]}))
 
