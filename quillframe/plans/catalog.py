@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.plans import fields, library, series, settings, signals, tables, texts  # noqa: F401
+from quillframe.plans import fields, library, series, settings, signals, stored, tables, texts  # noqa: F401
 from quillframe.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "reconcile_flagship"
