@@ -40,6 +40,13 @@ def combined(df: DataFrame, group: str, ordinal: str, title: Column, body: Colum
     return df.groupBy(group).agg(F.count("*").alias("segments"), rows.alias("rows")).select(group, "segments", F.array_join(F.transform("rows", lambda r: r["part"]), separator).alias("text"))
 
 
+def manifest(df: DataFrame, group: str, ordinal: str, title: Column, body: Column) -> DataFrame:
+    """``group, manifest``: a JSON object with the group, the number of its segments and these, in order."""
+    row = F.struct(F.col(ordinal).alias("number"), title.alias("title"), body.alias("content"))
+    held = df.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("chapters"))
+    return held.select(group, F.to_json(F.struct(F.col(group).alias("id"), F.size("chapters").alias("chapter_count"), "chapters")).alias("manifest"))
+
+
 def with_header(title: Column, url: Column, status: Column, segments: Column, text: Column) -> Column:
     """A combined text under a header; lines of unknown fields are left out."""
     return F.concat_ws("\n", F.concat(F.lit("# "), title), F.concat(F.lit("Source: "), url), F.concat(F.lit("Status: "), status), F.concat(F.lit("Chapters: "), segments.cast("string")), F.lit(""), text)

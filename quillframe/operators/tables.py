@@ -105,12 +105,13 @@ def write_replacing(df: DataFrame, path: str, partition: str) -> None:
 
 
 def write_segments(df: DataFrame, path: str, form: str, group: str) -> None:
-    """Segments as JSON lines, CSV with word counts, or Markdown texts, in a folder per group.
+    """Segments as JSON lines, CSV with word counts, or Markdown texts: a folder per group with one file, by ordinal.
 
-    ``df`` has ``group, ordinal, title, body``.
+    ``df`` has ``group, ordinal, title, body``.  A group is one task's work, as it is one file.
     """
     from quillframe.functions.text import word_count
 
+    df = df.repartition(group).sortWithinPartitions(group, "ordinal")
     if form == "json":
         df.write.mode("overwrite").partitionBy(group).json(path)
     elif form == "csv":

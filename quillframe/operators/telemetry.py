@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillframe.operators.helpers import unused
 
 def histogram(df: DataFrame, state: str, states: list[str], folded: dict[str, str] | None = None) -> DataFrame:
     """``state, n`` for each of ``states``, 0 where there is none; states outside the list are left out.
@@ -109,6 +110,14 @@ def simple_estimate(stories: Column, processed: Column, known: Column, crawled:
     return F.struct(left.alias("remaining_stories"), total.alias("total"), remaining.alias("remaining"), rate.alias("per_hour"), (remaining * 3600 / rate).alias("remaining_seconds"))
 
 
+def recent_lines(lines: DataFrame, run: str, at: str, message: str, order: str, most: int = 200) -> DataFrame:
+    """``run, at, message, order`` of each run's last ``most`` lines, of equal ones (time and message) the first."""
+    once = lines.groupBy(run, at, message).agg(F.min(order).alias(order))
+    newest = W.partitionBy(run).orderBy(F.desc(order))
+    place = unused("_place", once)
+    return once.withColumn(place, F.row_number().over(newest)).where(F.col(place) <= most).drop(place)
+
+
 def elapsed_seconds(started: Column, finished: Column, now: Column) -> Column:
     """Seconds of a run, not below 0; an open one ends now."""
     end = F.coalesce(finished, now)

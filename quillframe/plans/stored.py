@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillframe.functions import text, values
 from quillframe.operators import queues, segments, tables, telemetry
@@ -11,6 +12,33 @@ from quillframe.plans.fields import _case, _events, _raw
 from quillframe.plans.registry import query, table
 from quillframe.sources import files
 
+
+@query("""
+SELECT conv_id, md5(to_json({'id': conv_id, 'chapter_count': count(*), 'chapters': list({'number': turn, 'title': role, 'content': text} ORDER BY turn, role, text)})::VARCHAR) AS digest FROM conversations GROUP BY conv_id""")
+def conversation_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of each conversation's turns."""
+    found = segments.manifest(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role"), F.col("text"))
+    return found.select("conv_id", F.md5("manifest").alias("digest"))
+
+
+@query("""
+WITH d AS (SELECT user_id, event_id % 7 AS slot, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2, 3)
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 4""")
+def recent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last four lines of each user, equal ones once."""
+    lines = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 7).alias("slot"), "event_type", "event_id")
+    return telemetry.recent_lines(lines, "user_id", "slot", "event_type", "event_id", 4)
+
+
+@query("""
+SELECT event_id, CASE WHEN k = 0 THEN 'a,b,c' WHEN k = 1 THEN 'c,a' ELSE 'b' END AS kept, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, event_id) AS INTEGER) AS place FROM (SELECT *, event_id % 3 AS k FROM events)""")
+def chosen_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed kinds of each event, all where none is given, and its place with the selected ones first."""
+    given = F.element_at(F.array(F.array(F.lit("x")), F.array(F.lit("c"), F.lit("z"), F.lit("a"), F.lit("c")), F.array(F.lit("b"))), (F.col("event_id") % 3).cast("int") + 1)
+    order = W.partitionBy("user_id").orderBy(*queues.selected_first(F.col("event_type") == "purchase", F.col("event_id")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(queues.whitelisted(given, ["a", "b", "c"]), ",").alias("kept"), F.row_number().over(order).alias("place"))
+
+
 _PAYLOADS = {
     "j": _case(
         "'[{\"chapters\":[{\"id\":\"a' || k || '\",\"chapterName\":\"One\",\"index\":1},{\"id\":\"b\",\"chapterName\":\"Two\",\"index\":2}]},{\"chapters\":[{\"id\":\"c\"}]}]'",

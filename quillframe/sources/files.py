@@ -41,12 +41,15 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", number.alias("number"), F.when(has, F.trim(F.regexp_extract("text", f"(?i){head}", 2))).otherwise("").alias("title"), strip(body).alias("content"))
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """``path, name, size, modified, role, number`` of the files below a path; contents are not read."""
+def listing(spark: SparkSession, path: str, endings: tuple[str, ...] = ("md", "json", "csv")) -> DataFrame:
+    """``path, name, size, modified, role, number`` of the files below a path with one of the endings; contents are not read.
+
+    A file whose name holds ``_chapter_`` is a chapter; any other one is a combined text.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    role = F.when(F.rlike(name, F.lit("(?i)combined")), "combined").otherwise("chapter")
-    return files.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), role.alias("role"), F.regexp_extract(name, r"(?i)chapter[_ ]?(\d+)", 1).try_cast("int").alias("number"))
+    role = F.when(F.contains(name, F.lit("_chapter_")), "chapter").otherwise("combined")
+    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(endings))).select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), role.alias("role"), F.regexp_extract(name, r"(?i)chapter[_ ]?(\d+)", 1).try_cast("int").alias("number"))
 
 
 def folder_states(files: DataFrame) -> DataFrame:
@@ -71,6 +74,22 @@ def site_catalogue(spark: SparkSession, rows: list[dict[str, str]]) -> DataFrame
     return spark.createDataFrame([(r.get("name"), (r.get("domain") or "").lower()) for r in rows], "name string, domain string").where("domain <> ''")
 
 
+def scan_sites(spark: SparkSession, path: str) -> DataFrame:
+    """``site_name, base_url, domains, rate_limit, config_name`` from configuration files (YAML) below a path.
+
+    Plain keys at the left margin are read; domains may be one, a list in brackets, or lines with dashes.  A
+    missing name is the file's, a missing rate is 1.
+    """
+    files = whole_texts(spark, path).select(F.regexp_extract("path", r"([^/]+)\.ya?ml$", 1).alias("config_name"), "text").where("config_name <> ''")
+    bare = lambda c: F.btrim(F.btrim(c), F.lit("\"'"))
+    value = lambda key: bare(F.regexp_extract("text", rf"(?m)^{key}:[ \t]*([^\r\n#]*)", 1))
+    below = F.regexp_extract_all(F.regexp_extract("text", r"(?m)^domains:[ \t]*\r?\n((?:[ \t]*-[^\n]*(?:\n|$))+)", 1), F.lit(r"(?m)-[ \t]*([^\r\n#]*)"), 1)
+    domains = F.when(value("domains") == "", below).otherwise(F.split(F.translate(value("domains"), "[]", ""), ","))
+    domains = F.filter(F.transform(domains, bare), lambda d: d != "")
+    name = F.coalesce(F.nullif(value("site_name"), F.lit("")), F.col("config_name"))
+    return files.select(name.alias("site_name"), value("base_url").alias("base_url"), domains.alias("domains"), F.coalesce(value("rate_limit").try_cast("double"), F.lit(1.0)).alias("rate_limit"), "config_name")
+
+
 _REF = "struct<id:string,story_id:string,title:string,name:string,url:string,genre:string,category:string>"
 
 

@@ -29,9 +29,23 @@ def test_markdown_and_listing(spark, tmp_path):
     got = {r["number"]: (r["title"], r["content"]) for r in files.read_markdown(spark, str(tmp_path / "s" / "*.md")).collect()}
     assert got == {7: ("The title", "Body one."), 8: ("", "Only text")}
     listed = files.listing(spark, str(tmp_path / "s"))
-    assert {(r["name"], r["role"], r["number"]) for r in listed.collect()} == {("s_chapter_7.md", "chapter", 7), ("8.md", "chapter", None), ("s_combined.json", "combined", None)}
+    assert {(r["name"], r["role"], r["number"]) for r in listed.collect()} == {("s_chapter_7.md", "chapter", 7), ("8.md", "combined", None), ("s_combined.json", "combined", None)}
+    assert {r["name"] for r in files.listing(spark, str(tmp_path / "s"), ("json",)).collect()} == {"s_combined.json"}
     row = files.folder_states(listed).first()
-    assert (row["chunks"], row["final"], row["state"]) == (2, True, "completed")
+    assert (row["chunks"], row["final"], row["state"]) == (1, True, "completed")
+
+
+def test_site_files(spark, tmp_path):
+    (tmp_path / "one.yaml").write_text("site_name: One  # main\nbase_url: 'https://one.example'\ndomains:\n  - one.example\n  - \"www.one.example\"\nrate_limit: 2.5\nother:\n  base_url: no\n")
+    (tmp_path / "two.yaml").write_text("base_url: https://two.example\ndomains: [two.example, 'b.example']\n")
+    (tmp_path / "three.yaml").write_text("domains: three.example")
+    (tmp_path / "x.txt").write_text("site_name: x")
+    got = {r["config_name"]: tuple(r)[:4] for r in files.scan_sites(spark, str(tmp_path)).collect()}
+    assert got == {
+        "one": ("One", "https://one.example", ["one.example", "www.one.example"], 2.5),
+        "two": ("two", "https://two.example", ["two.example", "b.example"], 1.0),
+        "three": ("three", "", ["three.example"], 1.0),
+    }
 
 
 def test_catalogue_shapes(spark):
@@ -94,6 +108,11 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     got = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert {(r["body"], r["word_count"]) for r in got.collect()} == {("one two", "2"), ('say "x", y', "3")}
+    many = spark.createDataFrame([(f"s{k % 3}", k, "T", f"text {k}") for k in range(60)], "series string, ordinal int, title string, body string").repartition(8)
+    write_segments(many, str(tmp_path / "many"), "md", "series")
+    for k in range(3):
+        (one,) = (tmp_path / "many" / f"series=s{k}").glob("part-*")
+        assert [int(x.split()[1][:-1]) for x in one.read_text().splitlines() if x.startswith("Chapter")] == list(range(k, 60, 3))
     with pytest.raises(ValueError):
         write_segments(df, str(tmp_path / "x"), "xml", "series")
     write_replacing(df, str(tmp_path / "t"), "series")
