@@ -19,6 +19,8 @@ BROADCAST_ROWS = 400_000
 HUBS = 8
 #: Wide rows: at most so many bytes of them.
 BROADCAST_BYTES = 32 << 20
+#: Edges that one task reduces to stars at a time.
+PIECE_EDGES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -119,15 +121,50 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
         yield table, np.array([0, table.num_rows])
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties every node of a piece of the edges ``(a, b)`` to the least node that it hangs together with in that piece."""
+
+    def tied(piece: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(piece)
+        nodes, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+        one, two = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+        root = np.arange(len(nodes))
+        while (apart := root[one] != root[two]).any():
+            one, two = one[apart], two[apart]
+            np.minimum.at(root, np.maximum(root[one], root[two]), np.minimum(root[one], root[two]))
+            while ((above := root[root]) != root).any():
+                root = above
+        low = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[root[low]])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PIECE_EDGES:
+            yield tied(held)
+            held = []
+    if held:
+        yield tied(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges ``(a, b)``: ``(node, component)``, the component being its least node.
 
-    Alternates large-star and small-star steps (each a grouped minimum and a join back, both of
-    which Spark can split for a node with very many neighbours) until the edges no longer change.
-    Every round is written to the shared folder.  Nulls and self-loops are ignored.
+    First each piece of PIECE_EDGES edges is reduced to stars within its task.  Then large-star and
+    small-star steps alternate (each a grouped minimum and a join back, both of which Spark can split
+    for a node with very many neighbours) until all edges are stars: no node is tied to two others, and none
+    that is tied to another has one tied to it.  Every round is written to the shared folder.  Nulls and
+    self-loops are ignored.
     """
-    found = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    given = cut(edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    pieces = given.count() // PIECE_EDGES + 1
+    found = cut(given.coalesce(pieces).mapInArrow(_stars, "a long, b long").distinct())
+    discard(given)
     while True:
+        ties = found.select(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(0).alias("held")).unionByName(found.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("to"), F.lit(1).alias("held")))
+        ties = ties.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max("held").alias("held"))
+        if ties.where("low is not null and (low <> high or held = 1)").isEmpty():
+            break
         # Large star: every neighbour above u is tied to the least of u and its neighbours.
         both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
@@ -137,11 +174,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         tied = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = cut(tied.unionByName(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        changed = after.exceptAll(found).limit(1).count() or found.exceptAll(after).limit(1).count()
         discard(found, least, large, lower)
         found = after
-        if not changed:
-            break
     return found.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

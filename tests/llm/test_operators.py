@@ -12,7 +12,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, hostrules, langid, minhash, packing, quality, repeats, spotsigs, unigram, warc
+from quillframe.llm import bpe, common, hostrules, langid, minhash, packing, quality, repeats, spotsigs, unigram, warc
 from quillframe.llm.common import components
 from tests.llm.conftest import prose
 from tests.llm.test_units import best_split, thue_morse
@@ -106,6 +106,17 @@ def test_near_duplicates_awkward(awkward, nothing):
     assert minhash.near_duplicates(nothing).count() == 0 and minhash.keep_one(nothing).count() == 0
 
 
+@pytest.mark.parametrize("piece", [20, 1 << 18])
+def test_components_in_pieces(spark, monkeypatch, piece):
+    """A long path, hubs, repeated edges, loops and nulls, in one piece and in many."""
+    monkeypatch.setattr(common, "PIECE_EDGES", piece)
+    path = [(k, k + 1) for k in range(200)]
+    hub = [(500 + k, 499) for k in range(40)] * 2
+    got = components(spark.createDataFrame([*path, *hub, (900, 900), (901, None)], "a long, b long").repartition(5)).collect()
+    assert len(got) == 201 + 41
+    assert {r["node"]: r["component"] for r in got} == {**{k: 0 for k in range(201)}, **{k: 499 for k in range(499, 540)}}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (10, 11)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
