@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillframe.functions.values import log_event
+from quillframe.operators.upsertlog import UpsertLog
 
 
 def tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -108,32 +108,25 @@ def resumed(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key), key, "left_anti")
 
 
-def _images(path: str) -> list[int]:
-    """Numbers of the whole images below a path, least first."""
-    system, root = pafs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
-    found = [int(f.path.rsplit("image=", 1)[1].split("/")[0]) for f in system.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if f.base_name == "_SUCCESS" and "image=" in f.path]
-    return sorted(found)
+def upsert_sink(path: str, keys: list[str], version: str, buckets: int = 16):
+    """A ``foreachBatch`` function that keeps the latest row per key, of all batches, in an ``UpsertLog``.
 
-
-def upsert_sink(path: str, keys: list[str], version: str):
-    """A ``foreachBatch`` function that keeps the latest row per key, of all batches, in a Parquet table.
-
-    Each batch is merged with the image before it into a new image, ``<path>/image=<batch>``; a batch that is
-    replayed starts from the same image again.  ``latest_image`` reads the table.
+    A batch writes what it holds, and now and then merges small steps; one that is replayed adds nothing.
+    ``latest_image`` reads the table.
     """
-    from quillframe.operators.dedup import last_wins
 
     def write(batch: DataFrame, number: int) -> None:
-        before = [k for k in _images(path) if k < number]
-        rows = batch.sparkSession.read.parquet(f"{path}/image={before[-1]}").unionByName(batch) if before else batch
-        last_wins(rows, keys, F.col(version)).write.mode("overwrite").parquet(f"{path}/image={number}")
+        log = UpsertLog.create(batch.sparkSession, path, batch.schema, keys, version, buckets=buckets)
+        if log.append(batch, number):
+            log.compact()
+            log.vacuum(keep=8)
 
     return write
 
 
 def latest_image(spark: SparkSession, path: str) -> DataFrame:
     """The table of ``upsert_sink`` after its last whole batch."""
-    return spark.read.parquet(f"{path}/image={_images(path)[-1]}")
+    return UpsertLog(spark, path).read()
 
 
 def changes(rows: DataFrame, run: str, cursor: str, state_column: str, final: list[str], after: Column) -> DataFrame:
