@@ -8,6 +8,10 @@ from pyspark.sql import Window as W
 
 from quillframe.operators.dedup import last_wins
 from quillframe.operators.helpers import unused
+from quillframe.sources.store import written
+
+#: Spark's growing numbers have the task above this bit.
+TASK_BIT = 33
 
 
 def upserted(base: DataFrame, delta: DataFrame, keys: list[str], version: Column, keep_first: tuple[str, ...] = ()) -> DataFrame:
@@ -41,31 +45,32 @@ def not_expired(df: DataFrame, state: str, terminal: list[str], time: str, cutof
     return df.where(~F.coalesce(F.col(state).isin(terminal) & (F.col(time) < cutoff), F.lit(False)))
 
 
-def capped(df: DataFrame, state: str, terminal: list[str], most: int, coarse: Column, *order: Column) -> DataFrame:
+def capped(df: DataFrame, state: str, terminal: list[str], most: int, *order: Column) -> DataFrame:
     """Without the oldest terminal rows, so that ``most`` rows stay; active rows always stay.
 
-    ``coarse`` must not fall along ``order``.  Ranks are counted per coarse value and added up over
-    these, so no task sorts the whole table.
+    ``order`` ends in something unique, as in ``numbered``.
     """
     n, total = unused("_n", df), unused("_total", df)
-    done = numbered(df.where(F.col(state).isin(terminal)), coarse, *order, name=n)
+    done = numbered(df.where(F.col(state).isin(terminal)), *order, name=n)
     done = done.join(F.broadcast(df.agg(F.count("*").alias(total))), F.col(n) > F.col(total) - most)
     return df.where(~F.coalesce(F.col(state).isin(terminal), F.lit(False))).unionByName(done.drop(n, total))
 
 
-def numbered(df: DataFrame, coarse: Column, *order: Column, name: str = "position") -> DataFrame:
-    """Rows with their place (from 1) in the whole order.
+def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Rows with their place (from 1) in the whole order, which must end in something unique.
 
-    ``coarse`` is a coarser form of the order's first column, such as its day.  Rows are counted per
-    coarse value, the counts added up in one small table, and each coarse value numbered on its own.
+    Spark draws the bounds of ranges from a sample of the whole order, not of its first column only; so rows that share a time, even a
+    third of all, are dealt to ranges by what follows it, and tasks are of like size.  A row's place is the number of rows in the ranges before
+    its own, a sum over one small row per range, plus its place within.  The ranges are written once, as both steps must see the same.
     """
-    own, n, before, inside, other = (unused(c, df) for c in ("_coarse", "_count", "_before", "_in", "_other"))
-    rows = df.withColumn(own, coarse)
-    counts = rows.groupBy(own).agg(F.count("*").alias(n))
-    counts = counts.select(F.col(own).alias(other), (F.sum(n).over(W.orderBy(own).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)).alias(before))
-    placed = rows.withColumn(inside, F.row_number().over(W.partitionBy(own).orderBy(*order)))
-    # A null coarse value sorts first, as in the counts.
-    return placed.join(counts, F.col(own).eqNullSafe(F.col(other))).withColumn(name, F.col(before) + F.col(inside)).drop(own, n, before, inside, other)
+    own, n, before, other = (unused(c, df) for c in ("_own", "_count", "_before", "_range"))
+    # The upper bits of this number are those of the task, and tasks follow the ranges.
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(own, F.monotonically_increasing_id()))
+    ranges = F.shiftright(own, TASK_BIT).alias(other)
+    counts = rows.groupBy(ranges).agg(F.count("*").alias(n))
+    counts = counts.select(other, (F.sum(n).over(W.orderBy(other).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)).alias(before))
+    inside = F.col(own).bitwiseAND((1 << TASK_BIT) - 1) + 1
+    return rows.join(F.broadcast(counts), F.shiftright(own, TASK_BIT) == F.col(other)).withColumn(name, F.col(before) + inside).drop(own, before, other)
 
 
 def last_n(df: DataFrame, keys: list[str], most: int, *order: Column) -> DataFrame:
@@ -139,13 +144,10 @@ def probed(items: DataFrame, files: DataFrame, item: str, name: str, wanted: lis
     return items.join(flags, item, "left").fillna(False, [f"has_{w}" for w in wanted])
 
 
-def retried(df: DataFrame, chosen: Column, priority: str, coarse: Column, *order: Column) -> DataFrame:
-    """Chosen rows get retry priorities above all others, the first in order the lowest.
-
-    ``coarse`` is a coarser form of the order's first column, by which places are counted.
-    """
+def retried(df: DataFrame, chosen: Column, priority: str, *order: Column) -> DataFrame:
+    """Chosen rows get retry priorities above all others, the first in order the lowest; ``order`` as in ``numbered``."""
     n, top = unused("_n", df), unused("_top", df)
     highest = df.agg(F.coalesce(F.max(priority), F.lit(0)).alias(top))
-    picked = numbered(df.where(chosen), coarse, *order, name=n)
+    picked = numbered(df.where(chosen), *order, name=n)
     rest = df.where(~F.coalesce(chosen, F.lit(False)))
     return rest.unionByName(picked.join(F.broadcast(highest)).withColumn(priority, (F.col(top) + F.col(n)).cast(df.schema[priority].dataType)).drop(n, top))

@@ -81,7 +81,7 @@ SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orde
 def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table held to nine tenths of its rows by dropping the oldest finished jobs."""
     orders = table(spark, sf_dir, "orders")
-    return changes.capped(orders, "o_orderstatus", ["F"], 9 * orders.count() // 10, F.to_date("o_orderdate"), F.col("o_orderdate"), F.col("o_orderkey")).select("o_orderkey")
+    return changes.capped(orders, "o_orderstatus", ["F"], 9 * orders.count() // 10, F.col("o_orderdate"), F.col("o_orderkey")).select("o_orderkey")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus IN ('F', 'P') AND o_orderdate < TIMESTAMP '1995-01-01')")
@@ -189,7 +189,7 @@ def changes_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place, CAST((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 250 + 1 AS INTEGER) AS folder, lpad(CAST((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 250 + 1 AS VARCHAR), 6, '0') AS label FROM orders")
 def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every job's place in the whole queue, and the folder of 250 that holds it."""
-    rows = changes.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.to_date("o_orderdate"), F.col("o_orderdate"), F.col("o_orderkey"), name="place")
+    rows = changes.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderdate"), F.col("o_orderkey"), name="place")
     folder = queues.bucket(F.col("place"), 250)
     return rows.select("o_orderkey", "place", folder.alias("folder"), queues.bucket_label(folder, 6).alias("label"))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -21,6 +22,16 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, so that what follows sees the same rows in the same places, and starts from files.
+
+    It stays until the folder is cleared.
+    """
+    path = f"{scratch(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Names, sizes and short texts below a path."""
 

@@ -66,8 +66,8 @@ def test_names_of_helpers_may_be_columns(spark):
     assert rows(tables.last_n(df, ["k"], 1, F.desc("_n")).where("k is not null"), "k", "_n", "_same") == [("a", 2, 20)]
     assert rows(tables.changes_only(df.where("k = 'a'"), ["k"], "_n", ["_same"]), "_n", "_same") == [(1, 10), (2, 20)]
     clash = df.select("k", F.col("_n").alias("_count"), F.col("_same").alias("_coarse"))
-    assert rows(tables.numbered(clash, F.col("_coarse"), F.col("_coarse")), "position", "_count", "_coarse") == [(1, 1, 10), (2, 2, 20), (3, 1, 30)]
-    assert rows(tables.capped(df, "k", ["a"], 2, F.col("_same"), F.col("_same")).where("k = 'a'"), "_n") == [(2,)]
+    assert rows(tables.numbered(clash, F.col("_coarse")), "position", "_count", "_coarse") == [(1, 1, 10), (2, 2, 20), (3, 1, 30)]
+    assert rows(tables.capped(df, "k", ["a"], 2, F.col("_same")).where("k = 'a'"), "_n") == [(2,)]
     both = df.select("k", F.col("_n").alias("_IN_LEFT"))
     assert compare.compared(both, df.select("k", "_same"), ["k"], F.lit(True)).columns == ["k", "_IN_LEFT", "_same", "outcome"]
     with pytest.raises(ValueError):
@@ -99,13 +99,13 @@ def test_signature_of_an_archive(spark):
 
 def test_capped_keeps_active_rows(spark):
     df = spark.createDataFrame([(1, "done", 1), (2, "done", 2), (3, "run", 0), (4, "done", 2), (5, None, 0)], "i int, s string, t int")
-    assert rows(tables.capped(df, "s", ["done"], 3, F.col("t"), F.col("t"), F.col("i")), "i") == [(3,), (4,), (5,)]
-    assert rows(tables.capped(df, "s", ["done"], 99, F.col("t"), F.col("t"), F.col("i")), "i") == [(1,), (2,), (3,), (4,), (5,)]
+    assert rows(tables.capped(df, "s", ["done"], 3, F.col("t"), F.col("i")), "i") == [(3,), (4,), (5,)]
+    assert rows(tables.capped(df, "s", ["done"], 99, F.col("t"), F.col("i")), "i") == [(1,), (2,), (3,), (4,), (5,)]
 
 
 def test_numbered_with_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 5), (4, 1)], "i int, t int")
-    assert rows(tables.numbered(df, F.col("t"), F.col("t"), F.col("i")), "position", "i") == [(1, 1), (2, 4), (3, 2), (4, 3)]
+    assert rows(tables.numbered(df, F.col("t"), F.col("i")), "position", "i") == [(1, 1), (2, 4), (3, 2), (4, 3)]
 
 
 def test_upsert_and_feed(spark):
@@ -215,3 +215,15 @@ def test_every_twentieth_title_is_asked(spark):
     names = asked.select(F.col("query").alias("name"))
     whole, blocks = (sorted(uni.most_alike(asked, names, block=b, asked_block=a).collect()) for b, a in ((4096, 256), (3, 2)))
     assert whole == blocks
+
+
+def test_numbered_with_a_hot_time(spark):
+    """A third of all rows share a time: places are right, and no task has them all."""
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000).alias("t"))
+    spread = df.repartitionByRange(12, "t", F.desc("id")).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert spread < 2 * 30_000 / 12
+    got = tables.numbered(df, F.col("t"), F.desc("id"))
+    want = sorted(((500 if i % 3 == 0 else i % 1000), -i) for i in range(30_000))
+    assert [(r["t"], -r["id"]) for r in sorted(got.collect(), key=lambda r: r["position"])] == want
+    assert got.agg(F.countDistinct("position"), F.min("position"), F.max("position")).first()[:] == (30_000, 1, 30_000)
+    assert tables.numbered(df.where("false"), F.col("t"), F.col("id")).count() == 0
