@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.operators.helpers import unused
+from quillframe.operators.space import met, rectangles
 
 
 def present(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -50,17 +51,16 @@ def with_fallback(left: DataFrame, by_id: DataFrame, by_title: DataFrame, id_key
 def near(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of points within ``radius`` of each other.
 
-    Points are laid on a grid of that width and meet in their own cell and the eight around it, so this
-    is a join on equal cells, not on every pair.
+    Points meet the squares around others in the cells of a quadtree, which are the smaller the more points lie there.
     """
-    cell = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).withColumns({"cx": F.floor(F.col("px") / radius), "cy": F.floor(F.col("py") / radius)})
-    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    left = cell.select(F.col("k").alias("a"), F.col("px").alias("ax"), F.col("py").alias("ay"), "cx", "cy", F.explode(steps).alias("s"))
-    left = left.select("a", "ax", "ay", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
-    right = cell.select(F.col("k").alias("b"), F.col("px").alias("bx"), F.col("py").alias("by"), "cx", "cy")
+    px, py = (F.col(c).cast("double") for c in (x, y))
+    own = (px.alias("px"), py.alias("py"))
+    # Squares are a little wider than need be, so that rounding of their edges loses no pair.
+    wide = lambda p: F.lit(radius) * 1.000001 + F.abs(p) * 1e-12
+    pairs = met(rectangles(points, key, px, py, px, py, *own), rectangles(points, key, px - wide(px), py - wide(py), px + wide(px), py + wide(py), *own))
     square = lambda c: c * c
-    close = square(F.col("ax") - F.col("bx")) + square(F.col("ay") - F.col("by")) <= radius * radius
-    return left.join(right, ["cx", "cy"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
+    close = square(F.col("a_px") - F.col("b_px")) + square(F.col("a_py") - F.col("b_py")) <= radius * radius
+    return pairs.where((F.col("a_id") < F.col("b_id")) & close).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def near_boxes(boxes: DataFrame, key: str, x: str, y: str, size: str, largest: float, share: float = 0.5) -> DataFrame:
@@ -76,22 +76,11 @@ def near_boxes(boxes: DataFrame, key: str, x: str, y: str, size: str, largest: f
     return rows.where(dx * dx + dy * dy <= radius * radius).select("a", "b")
 
 
-def overlapping_boxes(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
-    """Pairs ``(a, b)`` of rectangles ``left, top, right, bottom`` that share more than an edge.
-
-    Rectangles are posted under every cell of a ``width``-wide grid that they touch, and a pair counts in the cell
-    that holds the upper left corner of what they share.
-    """
-
-    def posted(df: DataFrame, name: str) -> DataFrame:
-        df = df.where("left < right and top < bottom").select(F.col(key).alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("left", "top", "right", "bottom")))
-        span = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"{name}_{low}") / width), F.floor(F.col(f"{name}_{high}") / width)))
-        return df.withColumn("cx", span("left", "right")).withColumn("cy", span("top", "bottom"))
-
-    pairs = posted(a, "a").join(posted(b, "b"), ["cx", "cy"])
-    left, top = F.greatest("a_left", "b_left"), F.greatest("a_top", "b_top")
-    meet = (left < F.least("a_right", "b_right")) & (top < F.least("a_bottom", "b_bottom"))
-    return pairs.where(meet & (F.col("cx") == F.floor(left / width)) & (F.col("cy") == F.floor(top / width))).select("a", "b")
+def overlapping_boxes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Pairs ``(a, b)`` of rectangles ``left, top, right, bottom`` that share more than an edge."""
+    sides = [rectangles(df.where("left < right and top < bottom"), key, "left", "top", "right", "bottom") for df in (a, b)]
+    inside = (F.greatest("a_l", "b_l") < F.least("a_r", "b_r")) & (F.greatest("a_t", "b_t") < F.least("a_b", "b_b"))
+    return met(*sides).where(inside).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def contents(targets: DataFrame, files: DataFrame, item: str, ordinal: str, text: str, name: str, declared: DataFrame | None = None) -> DataFrame:

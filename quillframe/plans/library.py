@@ -152,7 +152,7 @@ def rectangle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rectangles that share more than an edge, over all parts."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("long")
     boxes = table(spark, sf_dir, "part").select(k.alias("k"), (k * 3).alias("left"), size.alias("top"), (k * 3 + k % 11).alias("right"), (size + k % 17).alias("bottom"))
-    return compare.overlapping_boxes(boxes, boxes, "k", 16)
+    return compare.overlapping_boxes(boxes, boxes, "k")
 
 
 @query("SELECT s AS state, (SELECT count(*) FROM orders WHERE o_orderstatus = s OR s = 'F' AND o_orderstatus = 'P') AS n FROM (VALUES ('F'), ('O'), ('X')) v(s)")

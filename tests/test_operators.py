@@ -87,7 +87,7 @@ def test_boxes_against_all_pairs(spark):
     df = spark.createDataFrame(boxes, "k int, left int, top int, right int, bottom int")
     full = [b for b in boxes if b[1] < b[3] and b[2] < b[4]]
     want = sorted((a[0], b[0]) for a in full for b in full if a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4])
-    assert rows(compare.overlapping_boxes(df, df, "k", 4), "a", "b") == want
+    assert rows(compare.overlapping_boxes(df, df, "k"), "a", "b") == want
 
 
 def test_signature_of_an_archive(spark):
