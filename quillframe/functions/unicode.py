@@ -32,7 +32,7 @@ def visible(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
@@ -47,7 +47,7 @@ def title_likeness(a: Column, b: Column) -> Column:
     Only pairs that are neither pass through Python.
     """
     x, y = title_key_words(unescape(F.coalesce(a, F.lit("")))), title_key_words(unescape(F.coalesce(b, F.lit(""))))
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(_ratio(x, y))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(ratio(x, y))
 
 
 def _letters(keys: list[str]) -> np.ndarray:
@@ -82,7 +82,7 @@ def _best_of_blocks(keep: int):
     return run
 
 
-def most_alike(asked: DataFrame, names: DataFrame, keep: int = 3, block: int = 4096, asked_block: int = 256) -> DataFrame:
+def most_alike_in_blocks(asked: DataFrame, names: DataFrame, keep: int = 3, block: int = 4096, asked_block: int = 256) -> DataFrame:
     """``name, query, score, r``: the ``keep`` names most like each ``query``, of equal scores the first in order.
 
     ``asked`` has distinct ``query``, ``names`` distinct ``name``.  Every block of queries meets every block of names.

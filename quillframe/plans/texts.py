@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import names, text, values
 from quillframe.functions import unicode as uni
+from quillframe.operators import likeness
 from quillframe.operators.compare import suffix_match
 from quillframe.plans.registry import query, table
 
@@ -28,10 +29,18 @@ def title_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the title of every twentieth part the three most alike names of all parts."""
     part = table(spark, sf_dir, "part").where("p_name is not null")
     asked = part.where("p_partkey % 20 = 0").select(F.concat("p_name", F.lit(" two")).alias("query")).distinct()
-    found = uni.most_alike(asked, part.select(F.col("p_name").alias("name")).distinct())
+    found = likeness.most_alike(asked, part.select(F.col("p_name").alias("name")).distinct())
     return found.select(F.col("name").alias("p_name"), "query", "score", "r")
 
 
+@query()
+def accepted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer's name with a slip in it, the name of a customer that is like enough to be taken for it."""
+    names = table(spark, sf_dir, "customer").where("c_name is not null").select(F.col("c_name").alias("name")).distinct()
+    slip = F.concat(F.substring("name", 1, 5), F.substring("name", 7, 100), F.lit("!"))
+    return likeness.accepted(names.select(slip.alias("query")).distinct(), names, 0.9)
+
+
 @query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(p_name || ': ' || p_type || '?.', '[<>:\"/\\|?*]', '', 'g'), '^[\s.]+|[\s.]+$', '', 'g'), '\s+', '_', 'g'), '_') AS name FROM part")
 def filename_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names made of titles."""

@@ -213,7 +213,7 @@ def test_every_twentieth_title_is_asked(spark):
         want[r["query"]].append((r["score"], r["p_name"]))
     assert len(want) > 5 and got == {q: sorted(x, key=lambda v: (-v[0], v[1]))[:3] for q, x in want.items()}
     names = asked.select(F.col("query").alias("name"))
-    whole, blocks = (sorted(uni.most_alike(asked, names, block=b, asked_block=a).collect()) for b, a in ((4096, 256), (3, 2)))
+    whole, blocks = (sorted(uni.most_alike_in_blocks(asked, names, block=b, asked_block=a).collect()) for b, a in ((4096, 256), (3, 2)))
     assert whole == blocks
 
 
