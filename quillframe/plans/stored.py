@@ -10,7 +10,7 @@ from quillframe.functions import text, values
 from quillframe.operators import queues, segments, tables, telemetry
 from quillframe.plans.fields import _case, _events, _raw
 from quillframe.plans.registry import query, table
-from quillframe.sources import files
+from quillframe.sources import files, footers
 
 
 @query("""
@@ -166,3 +166,9 @@ def unechoed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments without the leading paragraphs that repeat their headings."""
     kept = text.without_echoes(F.split("p", r"\|"), F.lit("Chapter 3: Start"), F.lit("The  Series"))
     return _events(spark, sf_dir, **_ECHOES).select("k", F.array_join(kept, "|").alias("body"))
+
+
+@query("SELECT min(l_orderkey) AS least_l_orderkey, max(l_orderkey) AS highest_l_orderkey, min(l_linenumber) AS least_l_linenumber, max(l_linenumber) AS highest_l_linenumber FROM lineitem")
+def highest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least and the highest keys of a table, from the footers of its files."""
+    return footers.extremes(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey", "l_linenumber")

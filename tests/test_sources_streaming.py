@@ -7,9 +7,10 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringStartsWith
 
 from quillframe.operators.tables import write_replacing, write_segments
-from quillframe.sources import files
+from quillframe.sources import files, footers, paged
 from quillframe.sources.paged import PagedSource
 from quillframe.streaming import runs
 
@@ -182,3 +183,62 @@ def test_checkpoints_and_sink(spark, tmp_path):
     for number in (1, 1):
         sink(more, number)
         assert sorted(tuple(r) for r in runs.latest_image(spark, str(tmp_path / "out")).select("c", "p").collect()) == [("x", 3), ("y", 5), ("z", 1)]
+
+
+def pages_of(folder, n, size=5):
+    """Pages by descending time, ids rising within; every seventh record lacks a category."""
+    folder.mkdir()
+    for p in range(1, n + 1):
+        rows = [{"id": 100 * p + k, "title": f"{'abc'[k % 3]} title {p}", "category": None if (p + k) % 7 == 0 else f"c{p % 4}", "updated": f"2024-{13 - p:02d}-{k + 1:02d}"} for k in range(size)]
+        (folder / f"page-{p}.json").write_text(json.dumps(rows))
+    return str(folder)
+
+
+def test_pages_are_skipped(spark, tmp_path):
+    """Which pages are opened for which filters, and that the rows are those that Spark finds without any pushing."""
+    folder = pages_of(tmp_path / "p", 12)
+    paged.index_pages(spark, folder)
+    wanted = [
+        ([EqualTo(("id",), 503)], [5]),
+        ([In(("id",), (503, 1101, None))], [5, 11]),
+        ([GreaterThanOrEqual(("updated",), "2024-11-03"), LessThan(("updated",), "2024-12-02")], [1, 2]),
+        ([StringStartsWith(("updated",), "2024-05")], [8]),
+        ([EqualTo(("category",), "c2"), LessThanOrEqual(("page",), 7)], [2, 6]),
+        ([IsNull(("category",)), GreaterThan(("id",), 1000)], [10, 11, 12]),
+        ([IsNotNull(("category",)), EqualTo(("id",), 7)], []),
+    ]
+    everything = spark.read.format("paged").option("path", folder).load()
+    for filters, pages in wanted:
+        reader = paged.FilteringReader({"path": folder})
+        assert list(reader.pushFilters(filters)) == []
+        parts = reader.partitions()
+        assert [k for p in parts for k in p.pages] == pages
+        got = sorted(r for p in parts for r in reader.read(p))
+        kept = [tuple(r) for r in everything.collect() if all(paged.condition(f).holds(r[f.attribute[0]]) for f in filters)]
+        assert got == sorted(kept, key=lambda r: r[:2])
+    # A filter on a part of a value is left to Spark; a page that has changed is read whatever the index says.
+    reader = paged.FilteringReader({"path": folder})
+    assert len(list(reader.pushFilters([StringContains(("title",), "x"), Not(EqualTo(("id",), 1))]))) == 2
+    (tmp_path / "p" / "page-9.json").write_text(json.dumps([{"id": 503, "title": "moved", "category": "c0", "updated": "2024-01-01"}]))
+    list(reader.pushFilters([EqualTo(("id",), 503)]))
+    assert [k for p in reader.partitions() for k in p.pages] == [5, 9]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("paged").option("path", folder).option("pushdown", "true").load()
+        assert sorted(r["page"] for r in df.where("id in (503, 1101) and title like '%m%'").collect()) == [9]
+        assert df.where("updated >= '2024-11-03' and category is null").count() == everything.where("updated >= '2024-11-03' and category is null").count()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_the_highest_key(spark, tmp_path):
+    for n in [0, 1, 2, 3, 7, 8, 9, 100, 1023, 1024, 99_999]:
+        asked = []
+        assert paged.highest(lambda k, n=n, asked=asked: asked.append(k) or k <= n) == n
+        assert len(asked) <= 2 * max(n, 1).bit_length() + 2
+    assert paged.highest_page(pages_of(tmp_path / "p", 11)) == 11
+    path = f"{tmp_path}/t"
+    spark.range(5, 1000, 1, 4).selectExpr("id", "cast(id as int) % 7 as seven").write.parquet(path)
+    plan = footers._from_footers(spark, path, "id", "seven")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(id), MAX(id), MIN(seven), MAX(seven)]" in plan
+    assert footers.extremes(spark, path, "id", "seven").first()[:] == (5, 999, 0, 6)
