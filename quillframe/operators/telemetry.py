@@ -1,20 +1,14 @@
-"""Telemetry of runs: histograms, rates, estimates, idleness, limits.
-
-All of it works per key; a key's samples are folded in order where a result depends on the ones before.
-"""
+"""Telemetry of runs: histograms, rates, estimates, idleness."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillframe.operators.helpers import unused
 
+
 def histogram(df: DataFrame, state: str, states: list[str], folded: dict[str, str] | None = None) -> DataFrame:
     """``state, n`` for each of ``states``, 0 where there is none; states outside the list are left out.
 
@@ -142,78 +136,6 @@ def breaker(events: DataFrame, key: str, order: str, blocked: Column, success: C
     return rows.groupBy(key, "stretch").agg(F.count_if(blocked).alias("blocks"), F.min(F.when(F.col("_blocks") >= limit, F.col(order))).alias("opens_at"))
 
 
-def _fold(df: DataFrame, key: str, order: str, columns: list[str], step, schema: str) -> DataFrame:
-    """Folds each key's rows in order: ``step(state, *values)`` gives the added values, ``step(None)`` a new state.
-
-    Null is a key like any other.  A partition holds many keys, and its sorted rows stream through in Arrow
-    batches, so that a key with very many rows needs no more memory than its state.
-    """
-    rows = df.repartition(key).sortWithinPartitions(key, order)
-    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    types = [{"boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}[k] for k in kinds]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, None
-        for batch in batches:
-            out = []
-            for own, *values in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
-                if state is None or own != current:
-                    current, state = own, step(None)
-                out.append(step(state, *values))
-            added = zip(*out, strict=True) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(added, types, strict=True))], [*batch.schema.names, *names])
-
-    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), schema])
-    return rows.mapInArrow(run, full)
-
-
-def limited(events: DataFrame, key: str, at: str, limit: int = 10, window: float = 60.0) -> DataFrame:
-    """Events with ``accepted`` and ``retry_after``: at most ``limit`` accepted ones per key in ``window`` seconds.
-
-    ``at`` is in seconds.  A rejected event does not count; so this depends on what came before, and
-    each key's events are folded in order.  An event without a time is rejected, with no time to retry.
-    """
-
-    def step(state, when=None):
-        if state is None:
-            return deque()
-        if when is None:
-            return False, None
-        while state and when - state[0] >= window:
-            state.popleft()
-        if len(state) >= limit:
-            return False, max(1, int(window - (when - state[0])))
-        state.append(when)
-        return True, 0
-
-    return _fold(events, key, at, [at], step, "accepted boolean, retry_after int")
-
-
-def paced(events: DataFrame, key: str, order: str, rejected: str, hint: str, base: float = 1.0, most: float = 5.0, recover: int = 250) -> DataFrame:
-    """Events with the ``interval`` and ``cooldown`` that hold after them.
-
-    A rejection adds 0.5 s to the interval, and the cooldown is the server's hint, or 60 s doubled with each one,
-    900 s at most.  ``recover`` successes in a row take 0.5 s off again.
-    """
-
-    def step(state, refused=None, given=None):
-        if state is None:
-            return {"events": 0, "interval": base, "successes": 0}
-        cooldown = 0.0
-        if refused:
-            state["events"] += 1
-            state["successes"] = 0
-            state["interval"] = min(most, state["interval"] + 0.5)
-            cooldown = float(min(900, 60 * 2 ** min(state["events"] - 1, 10)) if given is None else given)
-        else:
-            state["successes"] += 1
-            if state["successes"] >= recover:
-                state.update(events=0, successes=0, interval=max(base, state["interval"] - 0.5))
-        return state["interval"], cooldown
-
-    return _fold(events, key, order, [rejected, hint], step, "interval double, cooldown double")
-
-
 def rollup(rows: DataFrame, run: str, item: str, at: str, value: str, initial: str, active: Column) -> DataFrame:
     """``run, items, net, live, updated`` per run: the sum of its items' gains since their initial values, not below 0.
 

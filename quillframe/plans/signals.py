@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillframe.operators import telemetry
+from quillframe.operators import limits, telemetry
 from quillframe.plans.registry import query, table
 
 
@@ -102,7 +102,7 @@ SELECT user_id, event_id, "at", accepted, retry_after FROM s""")
 def sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events under a limit of two per user and day; rejected ones don't count."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return telemetry.limited(events, "user_id", "at", limit=2, window=86400.0)
+    return limits.limited(events, "user_id", "at", limit=2, window=86400.0)
 
 
 @query("""
@@ -115,4 +115,4 @@ SELECT user_id, event_id, rejected, hint, interval, cooldown FROM s WHERE r > 0"
 def adaptive_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval and cooldown after each event, errors being rejections."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("rejected"), F.when(F.col("event_id") % 10 == 0, 30.0).alias("hint"))
-    return telemetry.paced(events, "user_id", "event_id", "rejected", "hint", recover=2)
+    return limits.paced(events, "user_id", "event_id", "rejected", "hint", recover=2)

@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.operators import compare, dedup, queues, reconcile, segments, tables, telemetry
+from quillframe.operators import compare, dedup, limits, queues, reconcile, segments, tables, telemetry
 
 
 def rows(df, *columns):
@@ -174,14 +174,14 @@ def test_breaker_and_spells(spark):
 
 def test_limiter_and_pacing(spark):
     events = spark.createDataFrame([("a", float(t)) for t in (0, 1, 2, 60, 61)] + [("b", 0.0)], "k string, t double")
-    got = rows(telemetry.limited(events, "k", "t", 2, 60.0), "k", "t", "accepted", "retry_after")
+    got = rows(limits.limited(events, "k", "t", 2, 60.0), "k", "t", "accepted", "retry_after")
     assert got == [("a", 0.0, True, 0), ("a", 1.0, True, 0), ("a", 2.0, False, 58), ("a", 60.0, True, 0), ("a", 61.0, True, 0), ("b", 0.0, True, 0)]
     # Null is one key, and a time that is missing is rejected.
     odd = spark.createDataFrame([(None, 0.0), (None, 1.0), (None, 2.0), ("a", None)], "k string, t double")
-    assert sorted((r["k"] or "", r["t"] or 0.0, r["accepted"]) for r in telemetry.limited(odd, "k", "t", 1, 60.0).collect()) == [("", 0.0, True), ("", 1.0, False), ("", 2.0, False), ("a", 0.0, False)]
-    assert telemetry.limited(odd.limit(0), "k", "t").count() == 0
+    assert sorted((r["k"] or "", r["t"] or 0.0, r["accepted"]) for r in limits.limited(odd, "k", "t", 1, 60.0).collect()) == [("", 0.0, True), ("", 1.0, False), ("", 2.0, False), ("a", 0.0, False)]
+    assert limits.limited(odd.limit(0), "k", "t").count() == 0
     steps = spark.createDataFrame([("a", k, r, h) for k, (r, h) in enumerate([(True, None), (True, 7.0), (False, None), (False, None)])], "k string, n int, r boolean, h double")
-    assert rows(telemetry.paced(steps, "k", "n", "r", "h", recover=2), "n", "interval", "cooldown") == [(0, 1.5, 60.0), (1, 2.0, 7.0), (2, 2.0, 0.0), (3, 1.5, 0.0)]
+    assert rows(limits.paced(steps, "k", "n", "r", "h", recover=2), "n", "interval", "cooldown") == [(0, 1.5, 60.0), (1, 2.0, 7.0), (2, 2.0, 0.0), (3, 1.5, 0.0)]
 
 
 def test_whole_tables_are_compared(spark):
