@@ -170,21 +170,6 @@ def page_text(s: pd.Series) -> pd.Series:
     return s.map(read)
 
 
-# Common words of prose.
-PROSE = (
-    "you the and was were are his her had with that this from she he they them but not for when would could what who "
-    "which been their there here all have has out into your its one two over just more very only some any than then after "
-    "back down even like know said well came looked felt seemed went asked told wanted thought didn't don't it's i'm you're we're "
-    "they're can't won't isn't wasn't aren't doesn't how why where nothing something anything everything because about around still"
-).split()
-
-
-def prose_share(c: Column) -> Column:
-    """Share of common words among a paragraph's distinct words, in lower case; null without words."""
-    found = F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda w: w.isin(PROSE))) / F.size(found))
-
-
 def story_cards(found: Column) -> Column:
     """Complete series among a page's cards: ``(id, title, author, segments, reviews)``; of equal ids the last."""
     row = lambda x: F.struct(

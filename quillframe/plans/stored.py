@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillframe.functions import text, values
-from quillframe.operators import queues, segments, tables, telemetry
+from quillframe.operators import merkle, queues, segments, tables, telemetry
 from quillframe.plans.fields import _case, _events, _raw
 from quillframe.plans.registry import query, table
 from quillframe.sources import files, footers
@@ -172,3 +172,15 @@ def unechoed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def highest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least and the highest keys of a table, from the footers of its files."""
     return footers.extremes(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH l AS (SELECT md5(CAST(l_orderkey AS VARCHAR))[1:2] AS node, md5(concat_ws(chr(31), l_linenumber, l_linestatus, l_orderkey, l_partkey, l_returnflag, coalesce(CAST(l_suppkey AS VARCHAR), chr(0)))) AS h FROM lineitem),
+q AS (SELECT node, count(*) AS n, sum(('0x' || h[1:8])::BIGINT::HUGEINT) AS a, sum(('0x' || h[9:16])::BIGINT::HUGEINT) AS b, sum(('0x' || h[17:24])::BIGINT::HUGEINT) AS c, sum(('0x' || h[25:32])::BIGINT::HUGEINT) AS d FROM l GROUP BY node),
+two AS (SELECT node, n, md5(concat_ws(',', n, a, b, c, d)) AS digest FROM q),
+one AS (SELECT node[1:1] AS node, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(digest, ',' ORDER BY node)) AS digest FROM two GROUP BY node[1:1])
+SELECT * FROM two UNION ALL SELECT * FROM one UNION ALL SELECT '', CAST(sum(n) AS BIGINT), md5(string_agg(digest, ',' ORDER BY node)) FROM one""")
+def table_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of digests over a table's parts, by which copies are compared."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    return merkle.tree(merkle.leaves(lines, ["l_orderkey"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.functions import names, text, values
+from quillframe.functions import names, prose, text, values
 from quillframe.functions import unicode as uni
 from quillframe.operators import likeness
 from quillframe.operators.compare import suffix_match
@@ -86,7 +86,7 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of pages: size, share of common words, digest."""
     pages = table(spark, sf_dir, "pages").select("page_id", uni.page_text("html").alias("t"))
-    return pages.select("page_id", F.length("t").alias("size"), F.round(uni.prose_share(F.col("t")), 9).alias("prose"), F.md5("t").alias("digest"))
+    return pages.select("page_id", F.length("t").alias("size"), F.round(prose.prose_share(F.col("t")), 9).alias("prose"), F.md5("t").alias("digest"))
 
 
 @query()
@@ -180,3 +180,40 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = W.partitionBy("p_brand").orderBy(names.natural_key("p_type"), "p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
+
+
+_WORDS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in prose.PROSE) + "]"
+
+
+@query(rf"""
+WITH p AS (
+  SELECT doc_id, [trim(x, E' \t\n\r') FOR x IN list_concat(list_concat(
+    CASE WHEN doc_id % 5 = 0 THEN ['CHAPTER ONE HUNDRED', 'Chapter 12: the beginning of it all', 'Add to Library or Vote for it'] ELSE [] END, regexp_split_to_array(text, '\.|\n')),
+    CASE WHEN doc_id % 3 = 0 THEN ['Next chapter of the book and the previous one, which was ' || repeat('good ', 50), 'What was said after that is not there'] ELSE [] END)] AS ps,
+    doc_id % 11 = 0 AS listing
+  FROM documents WHERE text IS NOT NULL
+), v AS (
+  SELECT doc_id, ps, listing, [CASE
+    WHEN length(x) < 10 THEN 'skip'
+    WHEN upper(x) = x AND lower(x) <> x AND length(x) < 50 THEN 'skip'
+    WHEN regexp_matches(x, '(?i)(^|\s)\d*chapter\s+\d+') THEN 'skip'
+    WHEN regexp_matches(lower(x), '{"|".join(prose.LABELS)}') THEN CASE WHEN length(x) < 200 THEN 'skip' ELSE 'end' END
+    WHEN contains(lower(x), 'next') AND contains(lower(x), 'previous') THEN 'end'
+    WHEN len([w FOR w IN list_distinct(regexp_split_to_array(lower(x), '\s+')) IF w <> '' AND list_contains({_WORDS}, w)]) < 0.03 * len([w FOR w IN list_distinct(regexp_split_to_array(lower(x), '\s+')) IF w <> '']) THEN CASE WHEN length(x) < 200 THEN 'skip' ELSE 'end' END
+    ELSE 'keep' END FOR x IN ps] AS vs
+  FROM p
+), e AS (SELECT doc_id, listing, ps, vs, CASE WHEN list_contains(vs, 'end') THEN list_position(vs, 'end') - 1 ELSE len(ps) END AS n FROM v
+), k AS (SELECT doc_id, listing, i, ps[i] AS x FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM e) WHERE vs[i] = 'keep'
+), d AS (SELECT doc_id, x, min(i) AS i FROM k WHERE NOT listing GROUP BY doc_id, x
+), b AS (SELECT doc_id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY i)) AS digest FROM d GROUP BY doc_id HAVING count(*) >= 3)
+SELECT p.doc_id, CAST(coalesce(b.n, 0) AS INTEGER) AS paragraphs, coalesce(digest, md5('')) AS digest FROM p LEFT JOIN b ON p.doc_id = b.doc_id""")
+def prose_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prose of every text between a page's head and its foot, both built around it; every eleventh page is a list of contents."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    when = lambda n, parts: F.when(F.col("doc_id") % n == 0, F.array(*map(F.lit, parts))).otherwise(F.array().cast("array<string>"))
+    head = when(5, ["CHAPTER ONE HUNDRED", "Chapter 12: the beginning of it all", "Add to Library or Vote for it"])
+    foot = when(3, ["Next chapter of the book and the previous one, which was " + "good " * 50, "What was said after that is not there"])
+    paragraphs = F.transform(F.concat(head, F.split("text", r"\.|\n"), foot), lambda x: F.trim(x, F.lit(" \t\n\r")))
+    links = F.array_repeat(F.lit("/book/0000123"), F.when(F.col("doc_id") % 11 == 0, 6).otherwise(5))
+    found = docs.select("doc_id", prose.prose_body(paragraphs, links).alias("kept"))
+    return found.select("doc_id", F.size("kept").alias("paragraphs"), F.md5(F.array_join("kept", "\n")).alias("digest"))

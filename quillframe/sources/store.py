@@ -69,9 +69,16 @@ class Store:
         stream = self.fs.create(temporary, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._move(temporary, final)
+
+    def _move(self, old, new) -> None:
+        kinds = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        context.rename(temporary, final, self.gateway.new_array(rename, 0))
+        context.rename(old, new, self.gateway.new_array(kinds, 0))
+
+    def rename(self, old: str, new: str) -> None:
+        """Gives a file or folder another name, which must not be taken."""
+        self._move(self._at(old), self._at(new))
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._at(name), True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillframe.functions import names as n
+from quillframe.functions import prose
 from quillframe.functions import text as t
 from quillframe.functions import unicode as u
 from quillframe.functions import values as v
@@ -84,7 +85,7 @@ def test_python_backed(spark):
 def test_cards_and_page_text(spark):
     page = '<article><h4><a href="/stories/111">T</a></h4> by Jane Doe \u2022 Complete \u2022 20 chapters Show Reviews (66)</article><script>x</script>'
     df = spark.createDataFrame([(page,), (None,)], "h string").select(u.cards("h").alias("c"), u.page_text("h").alias("t"))
-    rows = df.select(u.story_cards(F.col("c")).alias("o"), "t", u.prose_share(F.col("t")).alias("p")).collect()
+    rows = df.select(u.story_cards(F.col("c")).alias("o"), "t", prose.prose_share(F.col("t")).alias("p")).collect()
     assert plain(rows[0]["o"]) == [("111", "T", "Jane Doe", 20, 66)] and "x" not in rows[0]["t"].split("\n")
     assert rows[1]["o"] == [] and rows[1]["t"] == "" and rows[1]["p"] is None
 
