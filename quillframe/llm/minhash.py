@@ -13,7 +13,10 @@
    yields fewer than n pairs.
 5. Within each family of classes that hang together, sets are compared whole, and only
    pairs that reach the similarity are links.
-6. Large lists and families are dealt to blocks.  A few hubs of the group visit all of its blocks.
+6. A large family is refined first.  Two sets that reach the similarity share one of each other's rarest shingles,
+   as far as each has more than it may lack; so only members that share such shingles stay together.  Texts that have no more in
+   common than a frequent part, such as a template, share none and are not compared at all.
+7. Large lists and families are dealt to blocks.  A few hubs of the group visit all of its blocks.
    What hangs together by then, in its largest part, needs no further visit, and only the others visit
    all blocks in turn.  No pair of members that could join two parts goes uncompared.
 """
@@ -182,6 +185,44 @@ def _shingles(width: int):
     return make
 
 
+def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in (p for b in batches for p in text_pieces(b)):
+        sets = list(shingle_sets(texts(batch), width))
+        edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("cid"), lists], ["grp", "cid", "shingles"])
+
+
+def refined(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+    """``members`` with families of several blocks split by their rarest shingles; members that share none with another one go.
+
+    Of n shingles a set of the wanted similarity shares ``ceil(n * percent / 100)`` at least, so one of the ``n - that + 1`` rarest of its family
+    is shared.  Shingles are counted per family, and the pairs of (family, rare shingle) tie members to each other: all of it
+    is linear in the shingles.  The parts are refined again, as what is rare in a part is another matter, while that leaves half as much in large ones.
+    """
+    done, left = members.where("n_blocks = 1"), members.where("n_blocks > 1")
+    load = lambda: left.groupBy("grp").agg(F.max("n_blocks").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    before = 2 * load()
+    while (now := load()) and 2 * now <= before:
+        before = now
+        texts_of = docs.join(small(cut(left.select("grp", "cid"))), F.col("doc_id") == F.col("cid")).select("grp", "cid", "text")
+        sets = cut(texts_of.mapInArrow(lambda batches: _listed(batches, width), "grp long, cid long, shingles array<long>"))
+        tokens = sets.select("grp", "cid", F.explode("shingles").alias("token"))
+        shared = cut(tokens.groupBy("grp", "token").agg(F.count("*").alias("n"), F.min("cid").alias("least")).where("n > 1"))
+        held = tokens.join(shared, ["grp", "token"]).groupBy("grp", "cid").agg(F.sort_array(F.collect_list(F.struct("n", "token", "least"))).alias("held"))
+        held = held.join(sets.select("grp", "cid", F.size("shingles").alias("size")), ["grp", "cid"])
+        # Shingles of one member only are the rarest; what they leave of the first places goes to shared ones.
+        places = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("held"))
+        rare = held.where(places > 0).select("cid", F.explode(F.slice("held", F.lit(1), places.cast("int"))).alias("h"))
+        parts = components(rare.select(F.col("cid").alias("a"), F.col("h.least").alias("b")))
+        finer = parts.withColumnsRenamed({"node": "cid", "component": "grp"})
+        sized = finer.join(classes.select("cid", "n_shingles"), "cid").groupBy("grp").agg(F.ceil(F.sum("n_shingles") / FAMILY_BLOCK).alias("n_blocks"))
+        finer = cut(finer.join(cut(sized), "grp").select("grp", "cid", "n_blocks"))
+        left = finer.where("n_blocks > 1")
+        done = done.select("grp", "cid", "n_blocks").unionByName(finer.where("n_blocks = 1"))
+    return cut(done.select("grp", "cid", "n_blocks").unionByName(left.select("grp", "cid", "n_blocks")))
+
+
 def links(docs: DataFrame, classes: DataFrame, percent: int, width: int, coordinates: int) -> DataFrame:
     """Spanning links ``(a, b)`` among classes ``(cid, n_shingles, sig)`` of ``docs``, each confirmed on whole sets."""
     needed = matches_needed(coordinates, percent / 100)
@@ -195,7 +236,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int, coordin
     candidates = grouped_links(cut(listed.select("grp", "cid", "n_blocks", "item")), Signatures, needed)
     family = cut(components(candidates).withColumnsRenamed({"node": "cid", "component": "grp"}))
     sized = family.join(classes.select("cid", "n_shingles"), "cid").groupBy("grp").agg(F.ceil(F.sum("n_shingles") / FAMILY_BLOCK).alias("n_blocks"))
-    members = cut(family.join(cut(sized), "grp"))
+    members = refined(docs, cut(family.join(cut(sized), "grp")), classes, percent, width)
     whole = docs.join(small(members), F.col("doc_id") == F.col("cid")).select("grp", "cid", "n_blocks", "text")
     whole = whole.mapInArrow(_shingles(width), "grp long, cid long, n_blocks long, item binary")
     return grouped_links(cut(whole), Sets, percent)

@@ -92,6 +92,33 @@ def test_one_family_of_a_third_of_all_rows(spark, monkeypatch):
     assert got == want
 
 
+def test_texts_that_share_a_template(spark, monkeypatch):
+    """A template in most texts makes one family; only the near copies among them are compared, and all links are found."""
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 2000)
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(60)]
+    texts = []
+    for _ in range(150):
+        words = [*common[:30], *(f"w{rng.randrange(10**6)}" for _ in range(24)), *common[30:]]
+        texts.append(" ".join(words))
+        if rng.random() < 0.2:
+            words[rng.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    rows = list(enumerate(rng.sample(texts, len(texts)) + near_copies(60, 2)))
+    compared = []
+    whole = minhash.grouped_links
+
+    def counted(members, kind, bar):
+        compared.append((kind, members.where("n_blocks > 1").count()))
+        return whole(members, kind, bar)
+
+    monkeypatch.setattr(minhash, "grouped_links", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 85)
+    # No large family is left to be compared block by block.
+    assert [n for kind, n in compared if kind is minhash.Sets] == [0]
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     want = brute_components(rows, 85)
