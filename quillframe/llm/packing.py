@@ -23,7 +23,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.bpe import SpanEncoder, word_merges
@@ -37,6 +37,8 @@ SHARD_TOKENS = 1_500_000
 #: Terms by which a document is compared, those under which it is listed, and documents of a list that meet.
 RARE, POSTED, LIST_BLOCK = 16, 8, 256
 K1, B = 1.2, 0.75
+#: Bits for the shards of a task in a sequence's number.
+SHARD_BITS = 13
 COMMON = 8
 _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
@@ -147,7 +149,7 @@ def _mates(weight: np.ndarray):
 
 
 def by_content(pool: DataFrame, idf: np.ndarray, shard_tokens: int) -> DataFrame:
-    """``deal, shard`` of every row of ``pool``: rows that are linked, and then those with like rarest terms, share a shard."""
+    """``dealt, kind, shard, part`` of every row of ``pool``: rows that are linked, and then those with like rarest terms, share a shard."""
     order = np.argsort(-idf, kind="stable")
     rank = np.empty(1 << 16, np.int64)
     rank[order] = np.arange(1 << 16)
@@ -161,25 +163,25 @@ def by_content(pool: DataFrame, idf: np.ndarray, shard_tokens: int) -> DataFrame
     best = mates.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
     found = rare.join(components(best), F.col("deal") == F.col("node"), "left")
     found = cut(found.select("deal", "size", F.coalesce("component", "deal").alias("component"), F.substring("terms", 1, 2).alias("first")))
-    sums = cut(found.groupBy("component").agg(F.sum("size").alias("tokens"), F.hex(F.min("first")).alias("first")))
-    large = F.col("tokens") > shard_tokens // 2
-    # Two rows per shard at most, and one per id of the vocabulary.
-    alone = sums.where(large).select("component", "tokens").collect()
-    groups = sums.where(~large).groupBy("first").agg(F.sum("tokens").alias("tokens")).orderBy("first").collect()
-    shard, filled, at, parts = 0, 0, {}, {}
-    for key, tokens in [*((r["component"], r["tokens"]) for r in alone), *((r["first"], r["tokens"]) for r in groups)]:
-        if filled and filled + tokens > shard_tokens:
-            shard, filled = shard + 1, 0
-        at[key], parts[key] = shard, max(1, round(tokens / shard_tokens))
-        shard, filled = (shard + parts[key], 0) if tokens > shard_tokens else (shard, filled + tokens)
-    spark = pool.sparkSession
-    table = lambda keys, name, kind: F.broadcast(spark.createDataFrame([(k, at[k], parts[k]) for k in keys], f"{name} {kind}, {name}_at long, {name}_parts long"))
-    placed = sums.select("component", "first").join(table([r["first"] for r in groups], "g", "string"), F.col("first") == F.col("g"), "left")
-    placed = placed.join(table([r["component"] for r in alone], "c", "long"), F.col("component") == F.col("c"), "left")
-    # A large component is split by rows, a common first term by components.
-    split = placed.select("component", "c_at", "c_parts", (F.col("g_at") + F.pmod(F.xxhash64("component"), "g_parts")).alias("whole"))
-    out = found.select("deal", "component").join(small(cut(split)), "component")
-    return cut(out.select(F.col("deal").alias("dealt"), F.coalesce(F.col("c_at") + F.pmod(F.xxhash64("deal"), "c_parts"), F.col("whole")).alias("shard")))
+    sums = cut(found.groupBy("component").agg(F.sum("size").alias("tokens"), F.min("first").alias("first")))
+    half = shard_tokens // 2
+    # Of components with like first terms, in the order of these: at most one row per id of the vocabulary.
+    groups = sums.where(F.col("tokens") <= half).groupBy("first").agg(F.sum("tokens").alias("in_group"))
+    before = F.sum("in_group").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    groups = cut(groups.withColumn("bin", F.floor(F.coalesce(before, F.lit(0)) / half)))
+    spread = lambda tokens: F.greatest(F.lit(1), F.round(tokens / shard_tokens).cast("long"))
+    large, common = F.col("tokens") > half, F.col("in_group") > half
+    # Three kinds of shards: parts of a large component, parts of a common first term, and terms next to each other up to a shard's size.
+    placed = sums.join(F.broadcast(groups), "first", "left").select(
+        "component",
+        F.when(large, 0).when(common, 1).otherwise(2).alias("kind"),
+        F.when(large, F.col("component")).when(common, F.conv(F.hex("first"), 16, 10).cast("long")).otherwise(F.col("bin")).alias("shard"),
+        F.when(large, spread(F.col("tokens"))).alias("parts"),
+        F.when(~large & common, F.pmod(F.xxhash64("component"), spread(F.col("in_group")))).otherwise(0).alias("part"),
+    )
+    out = found.select("deal", "component").join(small(cut(placed)), "component")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("deal"), "parts")).otherwise(F.col("part"))
+    return cut(out.select(F.col("deal").alias("dealt"), "kind", "shard", part.alias("part")))
 
 
 class Index:
@@ -232,13 +234,14 @@ def fill(lengths: np.ndarray, index: Index, window: int) -> Iterator[list[tuple[
             unused[seed] = False
         taken = [(seed, start, int(lengths[seed] - start))]
         room = window - taken[0][2]
-        scores = None
+        scores, most = None, 32
         while room > 0 and unused.any():
             if scores is None:
                 scores = index.scores(seed)
             rest = np.flatnonzero(unused)
-            # Enough of the best ones; more of them if these are short.
-            some = rest[np.argpartition(-scores[rest], 31)[:32]] if len(rest) > 32 else rest
+            # Enough of the best ones; twice as many each time if these are short.
+            some = rest[np.argpartition(-scores[rest], most - 1)[:most]] if len(rest) > most else rest
+            most *= 2
             for other in some[np.lexsort((some, -scores[some]))]:
                 size = min(int(lengths[other]), room)
                 taken.append((int(other), 0, size))
@@ -268,9 +271,12 @@ def _packed(window: int, idf: np.ndarray, mean_length: float):
         yield _pieces(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in runs(batches, ["shard"]):
+        # Shards are numbered by task, so that no order over all of them is needed.
+        shard = TaskContext.get().partitionId() << SHARD_BITS
+        for table, cuts in runs(batches, ["kind", "shard", "part"]):
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from pack_shard(table.column("shard")[int(a)].as_py(), table.slice(a, z - a))
+                yield from pack_shard(shard, table.slice(a, z - a))
+                shard += 1
 
     return run
 
@@ -287,7 +293,7 @@ def packed(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard
     whole = made.where(F.col("doc_tokens") >= window)
     full = F.floor(F.col("doc_tokens") / window)
     pieces = whole.mapInArrow(_whole_windows(window), _PIECE)
-    # Sequences of the shards have numbers below 2**62.
+    # Sequences of the shards have numbers below 2**62: tasks below 2**17, shards of a task, windows of a shard.
     pieces = pieces.withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id())
     pool = made.where(F.col("doc_tokens") % window > 0).withColumn("start", (full * window).cast("long"))
     pool = pool.withColumn("ids", F.expr("substring(ids, cast(2 * start + 1 as int))"))
@@ -300,11 +306,12 @@ def packed(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard
     held = np.array([r["n"] for r in counts])
     idf[[r["term"] for r in counts]] = np.log(1 + (n - held + 0.5) / (held + 0.5))
     if tokens <= shard_tokens:
-        dealt = pool.withColumn("shard", F.lit(0).cast("long"))
+        dealt = pool.withColumns({"kind": F.lit(2), "shard": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
     else:
         dealt = pool.join(small(by_content(pool, idf, shard_tokens)), F.col("deal") == F.col("dealt"))
-    dealt = dealt.select("shard", "deal", "doc_id", "doc_tokens", "start", "ids")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "deal")
+    keys = ["kind", "shard", "part"]
+    dealt = dealt.select(*keys, "deal", "doc_id", "doc_tokens", "start", "ids")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "deal")
     return pieces.unionByName(dealt.mapInArrow(_packed(window, idf, tokens / n), _PIECE))
 
 
