@@ -66,19 +66,23 @@ def upload_eligibility(items: DataFrame, targets: DataFrame, facts: DataFrame) -
     return rows.select("item", outcome.alias("outcome"), F.when(outcome == "uploadable", F.coalesce(gaps(F.col("ordinals")), F.array().cast("array<int>"))).alias("missing"))
 
 
-def update_eligibility(items: DataFrame, targets: DataFrame, facts: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
-    """``item, outcome, new_segments`` of the source items that may extend a target.
+def _by_title(items: DataFrame, targets: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``title, extended, others, known, top, wanted``: numbers of a title's items, its target's maximum, and whether it is wanted.
 
-    ``items`` has ``item, prefix, title``; ``targets`` has ``title, true_max`` with unique titles.  Items with another
-    prefix count only if their title is known and has no EXTENDED sibling.  ``rewritten`` holds
-    ``item, ordinal`` of files that are marked as rewritten.
+    One aggregation over all sides, with partial sums, so a title that very many items share costs no more than another.
     """
-    extended = items.where("prefix = 'EXTENDED'")
-    known = targets.select("title")
-    stray = items.where("prefix <> 'EXTENDED'").join(known, "title", "left_semi").join(extended.select("title"), "title", "left_anti")
-    rows = extended.select("item", "title", F.lit(False).alias("stray")).unionByName(stray.select("item", "title", F.lit(True).alias("stray")))
-    shared = rows.groupBy("title").agg(F.count("*").alias("n")).where("n > 1").select("title", F.lit(True).alias("shared"))
-    rows = rows.join(shared, "title", "left").join(targets.select("title", "true_max"), "title", "left").join(facts, "item", "left")
+    none = {"extended": F.lit(0), "others": F.lit(0), "known": F.lit(False), "top": F.lit(None).cast(targets.schema["true_max"].dataType), "asked": F.lit(False)}
+    side = lambda df, **own: df.select("title", *((own.get(n, c)).alias(n) for n, c in none.items()))
+    is_extended = F.coalesce(F.col("prefix") == "EXTENDED", F.lit(False)).cast("int")
+    rows = side(items, extended=is_extended, others=1 - is_extended).unionByName(side(targets, known=F.lit(True), top=F.col("true_max")))
+    if wanted is not None:
+        rows = rows.unionByName(side(wanted, asked=F.lit(True)))
+    return rows.groupBy("title").agg(F.sum("extended").alias("extended"), F.sum("others").alias("others"), F.bool_or("known").alias("known"), F.max("top").alias("top"), F.bool_or("asked").alias("wanted"))
+
+
+def _update_outcomes(rows: DataFrame, facts: DataFrame, rewritten: DataFrame | None) -> DataFrame:
+    """``rows`` (``item, title, prefix, stray, shared, true_max``) with ``outcome`` and ``new_segments``."""
+    rows = rows.join(facts, "item", "left")
     if rewritten is not None:
         rows = rows.join(rewritten.groupBy("item").agg(F.collect_set("ordinal").alias("rewritten")), "item", "left")
     else:
@@ -98,7 +102,22 @@ def update_eligibility(items: DataFrame, targets: DataFrame, facts: DataFrame, r
         (F.size(gaps(F.col("new"))) > 0, "non_sequential"),
         otherwise="updatable",
     )
-    return rows.select("item", outcome.alias("outcome"), F.when(outcome == "updatable", F.size("new")).otherwise(0).alias("new_segments"))
+    return rows.withColumn("outcome", outcome).withColumn("new_segments", F.when(F.col("outcome") == "updatable", F.size("new")).otherwise(0))
+
+
+def update_eligibility(items: DataFrame, targets: DataFrame, facts: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
+    """``item, outcome, new_segments`` of the source items that may extend a target.
+
+    ``items`` has ``item, prefix, title``; ``targets`` has ``title, true_max`` with unique titles.  Items with another
+    prefix count only if their title is known and has no EXTENDED sibling.  ``rewritten`` holds
+    ``item, ordinal`` of files that are marked as rewritten.
+    """
+    rows = items.select("item", "prefix", "title").join(_by_title(items, targets), "title", "left")
+    extended = F.col("prefix") == "EXTENDED"
+    rows = rows.where(F.coalesce(extended | (F.col("known") & (F.col("extended") == 0)), F.lit(False)))
+    shared = F.when(F.col("extended") > 0, F.col("extended") > 1).otherwise(F.col("others") > 1)
+    rows = rows.select("item", "title", "prefix", (~extended).alias("stray"), shared.alias("shared"), F.col("top").alias("true_max"))
+    return _update_outcomes(rows, facts, rewritten).select("item", "outcome", "new_segments")
 
 
 def finished_eligibility(items: DataFrame, targets: DataFrame, facts: DataFrame, finished: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
@@ -108,20 +127,17 @@ def finished_eligibility(items: DataFrame, targets: DataFrame, facts: DataFrame,
     rules are those of ``update_eligibility``.  An item without a target counts from 0.  A finished title with a target
     and without any such item has the outcome 'no_drive_folder' and no item.
     """
-    wanted = finished.select("title").where("coalesce(cast(title as string), '') <> ''").distinct()
-    mine = items.join(wanted, "title", "left_semi")
-    # Titles without a target count from 0 here; strays still need a target.
-    extended = mine.where("prefix = 'EXTENDED'").select("title").distinct()
-    known = targets.select("title", "true_max")
-    counted = known.unionByName(extended.join(known, "title", "left_anti").withColumn("true_max", F.lit(0)))
-    stray = mine.where("prefix <> 'EXTENDED'").join(known, "title", "left_semi")
-    judged = update_eligibility(mine.where("prefix = 'EXTENDED'").unionByName(stray), counted, facts, rewritten)
+    wanted = finished.select("title").where("coalesce(cast(title as string), '') <> ''")
+    titles = _by_title(items, targets, wanted).where("wanted")
+    extended = F.col("prefix") == "EXTENDED"
+    # A title without items stays, with nulls for one.
+    rows = titles.join(items.select("item", "prefix", "title"), "title", "left")
+    rows = rows.where(F.coalesce(extended, F.lit(False)) | (F.col("known") & (F.col("extended") == 0)))
     # Strays of one title are all of the wrong prefix; only EXTENDED ones can share a title.
-    judged = judged.join(mine.select("item", "title", "prefix"), "item")
-    judged = judged.withColumn("outcome", F.when(F.col("prefix") != "EXTENDED", "wrong_prefix").otherwise(F.col("outcome")))
-    absent = wanted.join(known, "title", "left_semi").join(judged.select("title"), "title", "left_anti")
-    lone = absent.select("title", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit("no_drive_folder").alias("outcome"), F.lit(0).alias("new_segments"))
-    return judged.select("title", "item", "outcome", "new_segments").unionByName(lone)
+    rows = rows.select("item", "title", "prefix", (~extended).alias("stray"), (extended & (F.col("extended") > 1)).alias("shared"), F.when(F.col("known"), F.col("top")).otherwise(0).alias("true_max"))
+    judged = _update_outcomes(rows, facts, rewritten)
+    lone = F.col("item").isNull()
+    return judged.select("title", "item", F.when(lone, "no_drive_folder").otherwise(F.col("outcome")).alias("outcome"), F.when(lone, 0).otherwise(F.col("new_segments")).alias("new_segments"))
 
 
 def metadata_differences(source: str, target: str) -> Column:

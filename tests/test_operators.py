@@ -227,3 +227,12 @@ def test_numbered_with_a_hot_time(spark):
     assert [(r["t"], -r["id"]) for r in sorted(got.collect(), key=lambda r: r["position"])] == want
     assert got.agg(F.countDistinct("position"), F.min("position"), F.max("position")).first()[:] == (30_000, 1, 30_000)
     assert tables.numbered(df.where("false"), F.col("t"), F.col("id")).count() == 0
+
+
+@pytest.mark.parametrize(("name", "most"), [("reconcile_flagship", 4), ("finished_eligibility", 5)])
+def test_scans_of_eligibility(spark, name, most):
+    """Tables are aggregated by title once, not once for each rule."""
+    from quillframe.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("FileScan parquet") <= most
