@@ -13,7 +13,7 @@ HEADLINES = [
     "reconcile_flagship", "upload_eligibility", "full_compare", "title_reconcile", "gap_detect", "duplicate_titles",
     "latest_per_key", "rank_wins", "upsert_merge", "change_feed", "status_histogram", "newest_page", "retention_trim",
     "recent_rate", "completion_estimate", "idle_islands", "circuit_breaker", "sliding_limit", "series_combine",
-    "clean_segments", "chunk_text", "word_count", "range_overlap", "missing_segments",
+    "clean_segments", "chunk_text", "word_count", "range_overlap", "missing_segment_rows",
 ]
 
 
@@ -22,16 +22,16 @@ def main() -> None:
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), partitions=8, memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().collect()
-    took = {}
+    first, took = {}, {}
     for name in HEADLINES:
-        # The first run compiles; the second one counts.
-        for _ in range(2):
+        # The first run compiles; the second one counts, and both are told.
+        for runs in (first, took):
             began = time.perf_counter()
             # The whole result is computed, and none of it is sent to the driver.
             catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            took[name] = round(time.perf_counter() - began, 3)
+            runs[name] = round(time.perf_counter() - began, 3)
     spark.stop()
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rstrip("/").rpartition("sf")[2]}))
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "first_runs": first, "sf": folder.rstrip("/").rpartition("sf")[2]}))
 
 
 if __name__ == "__main__":

@@ -132,14 +132,17 @@ def whitelisted(items: Column, allowed: list[str]) -> Column:
     return F.when(F.size(given) > 0, given).otherwise(every)
 
 
-def discovered(df: DataFrame, keyword: str | None = None, text: tuple[str, ...] = (), categories: tuple[str, Iterable] | None = None, status: tuple[str, str] | None = None, least: tuple[str, int] | None = None, since: tuple[str, Column] | None = None) -> DataFrame:
+def discovered(df: DataFrame, keyword: str | None = None, text: tuple[str, ...] = (), categories: tuple[str, Iterable | DataFrame] | None = None, status: tuple[str, str] | None = None, least: tuple[str, int] | None = None, since: tuple[str, Column] | None = None) -> DataFrame:
     """Catalogue search: every condition that is given must hold.
 
-    ``categories``, ``status`` ('all' is no condition), ``least`` and ``since`` name their column first.
+    ``categories``, ``status`` ('all' is no condition), ``least`` and ``since`` name their column first.  Categories may be a table
+    with that column; then none of them is no category.
     """
     if keyword:
         df = searched(df, keyword, *text)
-    if categories and list(categories[1]):
+    if categories and isinstance(categories[1], DataFrame):
+        df = df.join(categories[1].select(categories[0]), categories[0], "left_semi")
+    elif categories and list(categories[1]):
         df = df.where(F.col(categories[0]).isin(list(categories[1])))
     if status and status[1] != "all":
         df = df.where(F.col(status[0]) == status[1])

@@ -23,16 +23,18 @@ def upserted(base: DataFrame, delta: DataFrame, keys: list[str], version: Column
     new = last_wins(delta, keys, version)
     untouched = base.join(new.select(*keys), keys, "left_anti")
     if keep_first:
-        old = base.select(*keys, *(F.col(c).alias(f"_old_{c}") for c in keep_first))
-        new = new.join(old, keys, "left").withColumns({c: F.coalesce(f"_old_{c}", c) for c in keep_first}).drop(*(f"_old_{c}" for c in keep_first))
+        before = {c: unused(f"_old_{c}", base, delta) for c in keep_first}
+        old = base.select(*keys, *(F.col(c).alias(name) for c, name in before.items()))
+        new = new.join(old, keys, "left").withColumns({c: F.coalesce(name, c) for c, name in before.items()}).drop(*before.values())
     return untouched.unionByName(new.select(*base.columns))
 
 
 def change_feed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, change`` (insert, update or delete) between two images with unique keys."""
     image = lambda df, name: df.select(*keys, F.to_json(F.struct(*(c for c in sorted(df.columns) if c not in keys)), {"ignoreNullFields": "false"}).alias(name))
-    both = image(before, "_old").join(image(after, "_new"), keys, "full")
-    change = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_old") != F.col("_new"), "update")
+    old, new = unused("_old", before, after), unused("_new", before, after)
+    both = image(before, old).join(image(after, new), keys, "full")
+    change = F.when(F.col(old).isNull(), "insert").when(F.col(new).isNull(), "delete").when(F.col(old) != F.col(new), "update")
     return both.select(*keys, change.alias("change")).where("change is not null")
 
 
