@@ -3,7 +3,7 @@
 1. Every word falls into a bucket by its hash, and its shape (cases, length, signs at its end) into
    another.  A bucket's index vector has a few entries of +1 or -1.  A word's context vector is the
    sum of the index vectors of its neighbours and their shapes, added up over all texts.
-2. The context vectors, weighted down by frequency and scaled to length one, are the word vectors.
+2. The context vectors, divided by their counts, centred and scaled to length one, are the word vectors.
 3. A text is pooled: mean and spread of its words' vectors, and mean absolute step between neighbours.
 4. A network of two layers is trained on a bounded sample of labelled texts that are not held out;
    a temperature fitted on a part set aside calibrates its probabilities.
