@@ -26,11 +26,15 @@ RUN = 4096
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
-    "the of and to in a is that it was for on with as are by at from this be or an which had not have "
-    "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an er hat aus bei "
-    "de la le et les des en un une du dans est que pour qui sur au il par pas plus "
-    "el y los se del las por con una su para como más o al lo sus"
-).split()
+    "the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "for", "on", "with", "as", "are", "by",
+    "at", "from", "this", "be", "or", "an", "which", "had", "not", "have",
+    "der", "die", "das", "und", "in", "den", "von", "zu", "mit", "sich", "des", "auf", "für", "ist", "im", "dem",
+    "nicht", "ein", "eine", "als", "auch", "es", "an", "er", "hat", "aus", "bei",
+    "de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "dans", "est", "que", "pour", "qui", "sur",
+    "au", "il", "par", "pas", "plus",
+    "el", "y", "los", "se", "del", "las", "por", "con", "una", "su", "para", "como", "más", "o", "al", "lo",
+    "sus",
+)
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
