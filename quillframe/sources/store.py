@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where a local session that names no checkpoint folder keeps its tables.
+OWN_FOLDER = "quillframe.checkpoint.dir"
+
 
 def scratch(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: the session's checkpoint folder.
 
     A session in local mode that names none gets a temporary folder; on a cluster that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # A running session does not let its checkpoint folder be set.
+        spark.conf.set(OWN_FOLDER, folder)
     return folder.rstrip("/")
 
 
