@@ -5,10 +5,15 @@ the other, and each of these takes at most two of the letter pairs (grams) of a
 more each must share a gram among its ``2 * D + 1`` rarest with the other's, where ``D`` is the most edits that a key of its length can
 need.  Only these are posted and joined, only between keys of like length, and pairs whose letters in common allow
 ``least`` are compared.  Keys of very few different grams could lose all of them; they are posted under a gram of their own as well.
+
+Names of one template ("customer 000012345") share all their grams with very many others.  Where only the best name is asked for, keys
+that few edits turn one into the other are found first: they become the same string without a letter or two, whatever the others are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +27,10 @@ GRAM = 2
 BARE = "\x00"
 #: Below this the index would hold nearly all grams of a key.
 LOWEST = 0.8
+#: Edits up to which the best name is sought by leaving letters out; the second only for keys of so many letters, as their pairs count.
+EDITS, SHORT = 2, 24
+#: So few queries are not worth the second edit; the index answers them.
+FEW = 1000
 
 
 def _keys(df: DataFrame, column: str) -> DataFrame:
@@ -74,11 +83,56 @@ def alike(asked: DataFrame, names: DataFrame, least: float = 0.96) -> DataFrame:
     return found.select("query", "name", "score")
 
 
+def _without(keys: DataFrame, letters: int, out: str) -> DataFrame:
+    """``at, out``: each key under a hash of every string that it becomes without so many of its letters."""
+    made = F.array("key")
+    for _ in range(letters):
+        less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: F.concat(F.substring(s, F.lit(1), k - 1), F.substring(s, k + 1, F.length(s))))
+        made = F.array_distinct(F.flatten(F.transform(made, less)))
+    return keys.where(F.length("key") >= letters).select(F.explode(F.transform(made, lambda s: F.xxhash64(s))).alias("at"), F.col("key").alias(out))
+
+
+def edited(asked: DataFrame, names: DataFrame, edits: int) -> DataFrame:
+    """``(a, b)``: pairs of a ``key`` of each side that so many insertions and deletions turn one into the other, and few others."""
+    # Spark takes the strings of a key for one row, so it would broadcast them.
+    sides = [_without(asked, n, "a").join(_without(names, edits - n, "b").hint("merge"), "at").select("a", "b") for n in range(edits + 1)]
+    return reduce(DataFrame.unionByName, sides).distinct()
+
+
 def accepted(asked: DataFrame, names: DataFrame, least: float = 0.96) -> DataFrame:
-    """``query, name, score``: the best name of each query, if it is good enough to be taken; of equal scores the first name."""
-    found = alike(asked, names, least)
-    best = found.groupBy("query").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("name"))).alias("best"))
-    return best.select("query", "best.name", "best.score")
+    """``query, name, score``: the best name of each query, if it is good enough to be taken; of equal scores the first name.
+
+    With ``e`` edits a key of ``m`` letters has a likeness of ``2 * m / (2 * m + e)`` at most.  So a query is settled once its best name
+    is better than one more edit allows, or once that is below ``least``.  Only the rest are sought through the index.
+    """
+    if least < LOWEST:
+        raise ValueError(f"the index needs a likeness of {LOWEST} or more")
+    asked = written(_keys(asked, "query").where("key <> ''"))
+    # Of names with equal keys only the first can be taken.
+    names = written(_keys(names, "name").where("key <> ''").groupBy("key").agg(F.min("name").alias("name")))
+    keys, left = names.select("key"), written(asked.select("key").distinct())
+    best, settled = left.select(F.col("key").alias("a"), F.lit("").alias("name"), F.lit(0.0).alias("score")).limit(0), []
+
+    def better(best: DataFrame, pairs: DataFrame) -> DataFrame:
+        scored = pairs.withColumn("score", F.when(F.col("a") == F.col("b"), 1.0).otherwise(ratio("a", "b"))).where(F.col("score") >= least)
+        found = scored.join(names.withColumnRenamed("key", "b"), "b").select("a", "name", "score").unionByName(best)
+        return found.groupBy("a").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("name"))).alias("best")).select("a", "best.*")
+
+    for edits in range(EDITS + 1):
+        tried = left.where(F.length("key") <= SHORT) if edits > 1 else left
+        n = tried.count()
+        if not n or edits > 1 and n <= FEW:
+            break
+        best = written(better(best, edited(tried, keys, edits)))
+        allowed = 2 * F.length("key") / (2 * F.length("key") + edits + 1)
+        done = tried.join(best.withColumnRenamed("a", "key"), "key", "left").where((F.col("score") > allowed + 1e-9) | (allowed < least - 1e-9))
+        done = written(done.select("key", "name", "score"))
+        settled.append(done.where("name is not null"))
+        left = written(left.join(done, "key", "left_anti"))
+        best = best.join(left.withColumnRenamed("key", "a"), "a", "left_semi")
+    if not left.isEmpty():
+        settled.append(better(best, candidates(left, keys, least)).withColumnRenamed("a", "key"))
+    return asked.join(reduce(DataFrame.unionByName, settled), "key").select("query", "name", "score")
 
 
 def most_alike(asked: DataFrame, names: DataFrame, keep: int = 3, levels: tuple[float, ...] = (0.96, 0.9)) -> DataFrame:

@@ -63,3 +63,23 @@ def test_few_candidates(spark):
     found = likeness.candidates(one, two, 0.96).collect()
     assert len(found) < 0.01 * len(names[::20]) * len(names)
     assert {(n[:6] + n[7:], n) for n in names[::20]} <= {(r["a"], r["b"]) for r in found}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_accepted_among_names_of_one_template(spark, monkeypatch, few):
+    monkeypatch.setattr(likeness, "FEW", few)
+    names = [f"Customer#{k:09d}" for k in range(0, 6000, 17)] + ["CUSTOMER 000000017", "A much longer name of a customer of ours", "a", "ab"]
+    asked = sorted({*(n[:5] + n[6:] + "!" for n in names[:300:3]), *(n[:10] + "7" + n[11:] for n in names[:40]), *(n[:3] + "x" + n[4:12] for n in names[:20]), "A much longer nome of a customer of ours", "b", "ab!", "", "!"})
+    got = likeness.accepted(spark.createDataFrame([(x,) for x in asked], "query string"), spark.createDataFrame([(x,) for x in names] + [(None,)], "name string"), 0.8)
+    want = [min((-score(q, n), n) for n in names) for q in asked]
+    assert sorted(map(tuple, got.collect())) == sorted((q, n, -s) for q, (s, n) in zip(asked, want, strict=True) if s <= -0.8)
+
+
+def test_names_of_one_template_are_not_all_compared(spark, monkeypatch):
+    asked_for = []
+    monkeypatch.setattr(likeness, "candidates", lambda *a: asked_for.append(a))
+    names = spark.range(3000).selectExpr("concat('Customer#', lpad(id, 9, '0')) as name")
+    got = likeness.accepted(names.selectExpr("concat('Custoer#', substring(name, 10), '!') as query"), names, 0.9)
+    assert got.count() == 3000 and not asked_for
+    keys = names.selectExpr("replace(lower(name), '#', ' ') as key")
+    assert likeness.edited(keys.selectExpr("replace(key, 'm', '') as key"), keys, 1).count() == 3000
