@@ -46,6 +46,21 @@ def test_near_and_overlapping_against_all_pairs(spark):
     assert rows(compare.overlapping(df, df, "low", "high", 5), "a_k", "b_k") == want
 
 
+def test_overlapping_in_crowded_cells_is_spread(spark, monkeypatch):
+    ranges = [(k, "x" if k % 4 else None, k % 3, k % 3 + k % 7 - 1) for k in range(600)] + [(1, "x", 1, 2)] * 9 + [(2, None, None, 4), (3, None, 4, None)]
+    df = spark.createDataFrame(ranges, "k int, t string, low int, high int").repartition(3)
+    kept = [r for r in ranges if None not in r[2:] and r[2] <= r[3]]
+    want = sorted(repr((*a, *b)) for a in kept for b in kept if a[2] <= b[3] and b[2] <= a[3])
+    for chunk, block in ((1 << 14, 4096), (50, 40)):
+        monkeypatch.setattr(compare, "CHUNK", chunk)
+        monkeypatch.setattr(compare, "BLOCK", block)
+        found = compare.overlapping(df, df, "low", "high", 8)
+        assert found.columns == [f"{s}_{c}" for s in ("a", "b") for c in ("k", "t", "low", "high")]
+        assert sorted(repr(tuple(r)) for r in found.collect()) == want
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.8 * len(want)
+
+
 def test_ordinals(spark):
     df = spark.createDataFrame([("a", 1), ("a", 4), ("a", 4), ("b", None), ("c", 2)], "g string, n int")
     got = rows(segments.ordinal_summary(df, "g", "n"), "g", "first", "segments", "repeated", "missing")
