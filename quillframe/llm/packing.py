@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -59,12 +60,18 @@ def token_ids(texts: list[str], encoder: SpanEncoder) -> list[np.ndarray]:
     return [np.append(ids[a:z], END).astype("<u2") for a, z in zip(edge[:-1], edge[1:], strict=True)]
 
 
+@functools.cache
+def word_encoder(path: str) -> SpanEncoder:
+    """The encoder of a worker, with the words that its earlier tasks have met; its store is bounded."""
+    return SpanEncoder(word_merges(path))
+
+
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, doc_tokens, deal, ids``; ``deal`` spreads rows evenly whatever their keys are."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, n = SpanEncoder(word_merges(path)), TaskContext.get().partitionId(), 0
+        encoder, task, n = word_encoder(path), TaskContext.get().partitionId(), 0
         for batch in (p for b in batches for p in text_pieces(b, 2 << 20)):
             ids = token_ids([t or "" for t in batch.column("text").to_pylist()], encoder)
             deal = (np.int64(task) << np.int64(36)) + np.arange(n, n + len(ids))

@@ -38,6 +38,17 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, kinds, edges
 
 
+def _byte_places(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where each code point's UTF-8 bytes start, edges having none; with the end of all."""
+    width = np.ones(len(points), np.uint8)
+    for least in (0x80, 0x800, 0x10000):
+        width += points >= least
+    width[edges] = 0
+    byte = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(width, out=byte[1:])
+    return byte
+
+
 def _contractions(points: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the apostrophes ``at``, which start a contraction, and the length of its letters."""
     first = points[np.minimum(at + 1, len(points) - 1)]
@@ -72,9 +83,7 @@ def split_gapless(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     start[quotes + 1 + length] = True
     start[edges] = False
     at = np.flatnonzero(start)
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    width[edges] = 0
-    byte = np.concatenate([[0], np.cumsum(width)])
+    byte = _byte_places(points, edges)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     per_text = np.diff(np.searchsorted(at, edges))
     starts = byte[at]
@@ -97,9 +106,7 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     word = kinds[at] < SPACE
     word |= kinds[at] == OTHER
     at, ends = at[word], ends[word]
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    width[edges] = 0
-    byte = np.concatenate([[0], np.cumsum(width)])
+    byte = _byte_places(points, edges)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     return data, byte[at], byte[ends], np.diff(np.searchsorted(at, edges))
 

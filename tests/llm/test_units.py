@@ -290,3 +290,14 @@ def test_digest_of_ids(ranks):
     path, library = ranks
     ids = np.array(library.encode_ordinary("hello world"), "<u4")
     assert hashlib.sha256(ids.tobytes()).hexdigest() == hashlib.sha256(np.array(encoded(["hello world"], path)[0], "<u4").tobytes()).hexdigest()
+
+
+def test_a_worker_keeps_the_words_of_earlier_tasks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.word_encoder(path)
+    first = [x.tolist() for x in packing.token_ids(ODD, encoder)]
+    held = len(encoder.one)
+    assert held and packing.word_encoder(path) is encoder
+    again = [x.tolist() for x in packing.token_ids(ODD, packing.word_encoder(path))]
+    assert again == first == [x.tolist() for x in packing.token_ids(ODD, bpe.SpanEncoder(bpe.word_merges(path)))]
+    assert len(encoder.one) == held
