@@ -75,3 +75,8 @@ def test_an_archive_is_refreshed_in_part(spark, tmp_path):
     assert trees[0] == trees[1] and trees[0][""][0] == 2000
     assert sum(trees[0][n] != trees[2][n] for n in trees[0]) == 3
     assert merkle.tree(merkle.leaves(rows().where("false"), ["k"])).count() == 0
+
+
+def test_each_paragraph_is_judged_once(spark):
+    df = spark.createDataFrame([(1, [TALK])], "k int, p array<string>").select(prose.prose_body(F.col("p"), F.col("p")).alias("o"))
+    assert df._jdf.queryExecution().analyzed().toString().count("chapter\\s+") == 1
